@@ -42,10 +42,10 @@ from . import textkit as tk
 from .links import components
 from .store import Scratch
 
-#: Frequent tokens that every task may hold: at most this many (12 bytes each).
-MOST_HEAVY = 1 << 20
+#: Frequent tokens that every task may hold: at most this many (16 bytes each).
+MOST_HEAVY = 1 << 18
 _SEEN = 4  # a task reports tokens of at least so many of its documents
-_WORDS = 16  # 64-bit words of a parity bitmap
+_WORDS = 16  # 64-bit words of the smallest parity bitmap
 _BLOOM = 1 << 23
 _BLOCK = 512
 
@@ -213,15 +213,18 @@ def _star_pairs(heavy: DataFrame, percent: int) -> DataFrame:
     return both.select(F.least("key", "_k").alias("a"), F.greatest("key", "_k").alias("b"))
 
 
-def _whole_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """(key, n, bits, tokens) of the wanted keys and few others: a bloom filter of fixed size picks them in one scan."""
+def _picked(docs: DataFrame, wanted: DataFrame, k: int, whole: bool) -> DataFrame:
+    """(key, n, data) of the wanted keys and few others: a bloom filter of fixed size picks them in one scan.
+
+    ``data`` is the set itself (whole) or its parity bitmap.
+    """
     spots = wanted.select(F.explode(F.array(F.pmod("key", F.lit(_BLOOM)), F.pmod(F.shiftright("key", 24), F.lit(_BLOOM)))).alias("s"))
     words = spots.groupBy((F.col("s") / 32).cast("int").alias("i")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("s") % 32).cast("int"))).alias("w")).collect()  # at most _BLOOM / 32 rows
     bloom = np.zeros(_BLOOM // 32, np.uint32)
     for r in words:
         bloom[r.i] = r.w
     shared = docs.sparkSession.sparkContext.broadcast(bloom)
-    schema = pa.schema([("key", pa.int64()), ("n", pa.int64()), ("bits", pa.list_(pa.int64())), ("tokens", pa.binary())])
+    schema = pa.schema([("key", pa.int64()), ("n", pa.int64()), ("data", pa.binary())])
 
     def task(batches):
         bloom, seen = shared.value, set()
@@ -236,11 +239,23 @@ def _whole_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
                     continue
                 seen.add(x)
                 t = v[off[d] : off[d + 1]]
-                odd = np.bincount((t & tk.U(64 * _WORDS - 1)).astype(np.int64), minlength=64 * _WORDS) & 1
-                rows.append({"key": x, "n": len(t), "bits": np.packbits(odd.astype(np.uint8)).view(np.int64), "tokens": squeeze(t)})
+                rows.append({"key": x, "n": len(t), "data": squeeze(t) if whole else parity(t)})
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    return docs.select("text").mapInArrow(task, "key long, n long, bits array<long>, tokens binary")
+    return docs.select("text").mapInArrow(task, "key long, n long, data binary").dropDuplicates(["key"])
+
+
+def parity(t: np.ndarray) -> bytes:
+    """One bit for each of 2^m >= n buckets (1,024 at least): whether it holds an odd number of tokens."""
+    width = max(64 * _WORDS, 1 << (len(t) - 1).bit_length())
+    odd = np.bincount((t & tk.U(width - 1)).astype(np.int64), minlength=width) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def folded(bits: bytes, words: int) -> np.ndarray:
+    """The bitmap over fewer buckets: bucket b of the smaller one takes all b + i * width."""
+    x = np.frombuffer(bits, np.uint64)
+    return np.bitwise_xor.reduce(x.reshape(-1, words), axis=0) if len(x) > words else x
 
 
 def squeeze(t: np.ndarray) -> bytes:
@@ -253,24 +268,33 @@ def unsqueeze(b: bytes) -> np.ndarray:
     return np.frombuffer(b, "<u4", n).astype(np.int64) << 8 | np.frombuffer(b, np.uint8, n, 4 * n)
 
 
-def _most_apart(a, b, percent: int):
-    """The largest symmetric difference that sets of sizes a and b may have and still link."""
-    return a + b - 2 * F.ceil(percent * (a + b) / (100 + percent))
+def most_apart(total, percent: int):
+    """The largest symmetric difference of two linked sets with so many tokens in all."""
+    return total - 2 * -(-percent * total // (100 + percent))
 
 
-def _near_by_bits(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b, apart) of the pairs whose parity bitmaps allow a link."""
-    x = sets.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("bits").alias("xa"))
-    y = sets.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("xb"))
-    apart = F.aggregate(F.zip_with("xa", "xb", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
-    out = pairs.join(x, "a").join(y, "b").withColumn("apart", apart)
-    return out.filter(F.col("apart") <= _most_apart(F.col("na"), F.col("nb"), percent)).select("a", "b", "apart")
+def _near_by_bits(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
+    """(a, b, apart) of the pairs whose parity bitmaps allow a link; apart in per mille of the tokens."""
+    x = bits.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("data").alias("xa"))
+    y = bits.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("data").alias("xb"))
+
+    def task(batches):
+        for b in batches:
+            total = b.column(2).to_numpy() + b.column(4).to_numpy()
+            apart = np.zeros(b.num_rows, np.int64)
+            for i, (p, q) in enumerate(zip(b.column(3).to_pylist(), b.column(5).to_pylist(), strict=True)):
+                words = min(len(p), len(q)) // 8
+                apart[i] = np.bitwise_count(folded(p, words) ^ folded(q, words)).sum()
+            ok = pa.array(apart <= most_apart(total, percent))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(1000 * apart // np.maximum(total, 1))], names=["a", "b", "apart"]).filter(ok)
+
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "na", "xa", "nb", "xb").mapInArrow(task, "a long, b long, apart long")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(a, b) of the pairs that link, counted on whole sets."""
-    x = sets.select(F.col("key").alias("a"), F.col("tokens").alias("ta"))
-    y = sets.select(F.col("key").alias("b"), F.col("tokens").alias("tb"))
+    x = sets.select(F.col("key").alias("a"), F.col("data").alias("ta"))
+    y = sets.select(F.col("key").alias("b"), F.col("data").alias("tb"))
 
     def task(batches):
         for b in batches:
@@ -292,21 +316,21 @@ def _across(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return out.filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).drop("ra", "rb")
 
 
-def _block_pairs(heavy: DataFrame, sets: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+def _block_pairs(heavy: DataFrame, bits: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) across components within the lists of frequent tokens, blocks against blocks."""
     r = roots.select(F.col("node").alias("key"), "root")
     m = heavy.select("token", "key").distinct().join(r, "key", "left").withColumn("root", F.coalesce("root", "key"))
     mixed = m.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("m")).filter("lo != hi")
-    m = m.join(mixed.select("token", F.ceil(F.col("m") / _BLOCK).alias("blocks")), "token").join(sets.select("key", "n", "bits"), "key")
+    m = m.join(mixed.select("token", F.ceil(F.col("m") / _BLOCK).alias("blocks")), "token").join(bits, "key")
     m = m.withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")))
-    blocks = m.groupBy("token", "block").agg(F.collect_list(F.struct("key", "n", "root", "bits")).alias("rows"))  # about _BLOCK rows each
+    blocks = m.groupBy("token", "block").agg(F.collect_list(F.struct("key", "n", "root", "data")).alias("rows"))  # about _BLOCK rows each
     x = blocks.select("token", F.col("block").alias("i"), F.col("rows").alias("x"))
     y = blocks.select("token", F.col("block").alias("j"), F.col("rows").alias("y"))
 
     def columns(rows):
         f = rows.flatten() if isinstance(rows, pa.ListArray) else rows
-        key, n, root, bits = f.flatten()
-        return key.to_numpy(), n.to_numpy(), root.to_numpy(), bits.flatten().to_numpy().reshape(-1, _WORDS)
+        key, n, root, data = f.flatten()
+        return key.to_numpy(), n.to_numpy(), root.to_numpy(), np.array([folded(x, _WORDS) for x in data.to_pylist()])
 
     def task(batches):
         for b in batches:
@@ -317,7 +341,7 @@ def _block_pairs(heavy: DataFrame, sets: DataFrame, roots: DataFrame, percent: i
                 for w in range(_WORDS):
                     apart += np.bitwise_count(p[3][i, w] ^ q[3][j, w])
                 total = p[1][i] + q[1][j]
-                ok = (apart <= total - 2 * -(-percent * total // (100 + percent))) & (100 * np.minimum(p[1][i], q[1][j]) >= percent * np.maximum(p[1][i], q[1][j]))
+                ok = (apart <= most_apart(total, percent)) & (100 * np.minimum(p[1][i], q[1][j]) >= percent * np.maximum(p[1][i], q[1][j]))
                 a, c = p[0][i[ok]], q[0][j[ok]]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, c)), pa.array(np.maximum(a, c))], names=["a", "b"])
 
@@ -331,9 +355,15 @@ def linked(docs: DataFrame, k: int = 5, percent: int = 80, scratch: Scratch | No
     rows = scanned.filter("tokens is null").select("doc_id", "n", "key")
     counts = scanned.filter("tokens is not null").select(F.explode(F.arrays_zip("tokens", "counts")).alias("x")).groupBy(F.col("x.tokens").alias("token")).agg(F.sum("x.counts").alias("c"))
     counts = scratch.keep(counts, "counts")
-    # a token is heavy from so many documents on that at most MOST_HEAVY tokens can be
     total = rows.agg(F.sum("n")).first()[0] or 0
-    floor = max(16, -(-total // MOST_HEAVY))
+    # a token is heavy from the least count on that leaves at most MOST_HEAVY of them, 16 at least
+    level = F.floor(F.log2("c") * 8)
+    floor, size = 1 << 62, 0
+    for r in sorted(counts.filter("c >= 16").groupBy(level.alias("l")).agg(F.count("*").alias("n"), F.min("c").alias("c")).collect(), reverse=True):  # at most 512 rows
+        size += r.n
+        if size > MOST_HEAVY:
+            break
+        floor = r.c
     found = counts.filter(F.col("c") >= floor).toPandas()
     order = np.argsort(found["token"].to_numpy(np.int64).view(tk.U))
     heavy, df = found["token"].to_numpy(np.int64).view(tk.U)[order], found["c"].to_numpy(np.int64)[order]
@@ -344,9 +374,11 @@ def linked(docs: DataFrame, k: int = 5, percent: int = 80, scratch: Scratch | No
     hot = scratch.keep(all_entries.filter("heavy").select("token", "key", "n", "rare").distinct(), "heavy")
     pairs = scratch.keep(_light_pairs(all_entries, percent, small).unionByName(_star_pairs(hot, percent)).distinct(), "pairs")
     scratch.drop(all_entries)
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).unionByName(hot.select("key")).distinct()
-    sets = scratch.keep(_whole_sets(docs, wanted, k).dropDuplicates(["key"]), "sets")
-    near = scratch.keep(_near_by_bits(pairs, sets, percent), "near")
+    both = lambda t: t.select(F.explode(F.array("a", "b")).alias("key"))
+    bits = scratch.keep(_picked(docs, both(pairs).unionByName(hot.select("key")).distinct(), k, whole=False), "bits")
+    near = scratch.keep(_near_by_bits(pairs, bits, percent), "near")
+    scratch.drop(pairs)
+    sets = scratch.keep(_picked(docs, both(near).distinct(), k, whole=True), "sets")
     ends = near.select(F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y"), "apart"), F.struct(F.col("b").alias("x"), F.col("a").alias("y"), "apart"))).alias("e")).select("e.*")
     nearest = ends.groupBy("x").agg(F.min(F.struct("apart", "y")).alias("m")).select(F.least("x", "m.y").alias("a"), F.greatest("x", "m.y").alias("b")).distinct()
     links = scratch.keep(_verified(nearest, sets, percent), "links")
@@ -355,10 +387,15 @@ def linked(docs: DataFrame, k: int = 5, percent: int = 80, scratch: Scratch | No
     links = links.unionByName(more)
     if not more.isEmpty():
         roots = scratch.keep(components(links, scratch), "roots")
-    last = scratch.keep(_verified(_block_pairs(hot, sets, roots, percent), sets, percent), "links")
-    if not last.isEmpty():
-        roots = scratch.keep(components(links.unionByName(last), scratch), "roots")
-    scratch.drop(sets, pairs, near)
+    scratch.drop(sets)
+    rest = scratch.keep(_block_pairs(hot, bits, roots, percent), "rest")
+    if not rest.isEmpty():
+        sets = scratch.keep(_picked(docs, both(rest).distinct(), k, whole=True), "sets")
+        last = scratch.keep(_verified(rest, sets, percent), "links")
+        if not last.isEmpty():
+            roots = scratch.keep(components(links.unionByName(last), scratch), "roots")
+        scratch.drop(sets)
+    scratch.drop(bits, near, rest)
     return rows, roots
 
 

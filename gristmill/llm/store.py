@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -42,3 +43,5 @@ class Scratch:
         for df in tables:
             p = jvm.org.apache.hadoop.fs.Path(df._gristmill_path)
             p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+        gc.collect()
+        jvm.System.gc()  # lets Spark's cleaner delete shuffle files of plans that are gone
