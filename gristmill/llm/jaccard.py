@@ -11,8 +11,9 @@ the single tokens (k = 1) of their prefix, in which small sets stand too if they
 are large enough to link with a large one. The size that divides small from
 large is the one of least estimated cost (rows emitted and list entries met).
 
-Lists of light tokens are met in one shuffle. Lists of frequent tokens can hold
-a third of all sets, so they are handled by contraction: each list's most
+Lists of light tokens are met in one shuffle; short ones give all their pairs.
+Long lists, and those of frequent tokens, which can hold a third of all sets and
+are never dealt to one task, are handled by contraction: each list's most
 central set is compared with the others first; once linked sets form
 components, blocks of a list are compared with blocks, and only pairs across
 components go on. Candidates are thinned by exact bounds (sizes, and parity
@@ -48,6 +49,7 @@ _SEEN = 4  # a task reports tokens of at least so many of its documents
 _WORDS = 16  # 64-bit words of the smallest parity bitmap
 _BLOOM = 1 << 23
 _BLOCK = 512
+_LONG = 16  # sets in a list from which on it is handled by contraction, not pair by pair
 
 
 def token_sets(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -173,36 +175,49 @@ def _entries(docs: DataFrame, k: int, percent: int, heavy, df, small: int) -> Da
     return docs.select("text").mapInArrow(task, "token long, key long, n int, subset boolean, heavy boolean, rare int")
 
 
-def pairs_of_lists(token, key, n, subset, percent: int, small: int) -> np.ndarray:
-    """Distinct (a, b) with a < b of keys that share a list and whose sizes allow a link."""
-    order = np.lexsort((key, token))
-    token, key, n, subset = token[order], key[order], n[order], subset[order]
-    fresh = np.ones(len(token), bool)
-    fresh[1:] = (token[1:] != token[:-1]) | (key[1:] != key[:-1])
-    token, key, n, subset = token[fresh], key[fresh], n[fresh].astype(np.int64), subset[fresh]
+def pairs_of_lists(token, key, n, subset, percent: int, small: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (a, b), a < b, of keys that share a short list and whose sizes allow a link; rows of the long lists."""
+    row = np.lexsort((key, token))
+    fresh = np.ones(len(row), bool)
+    fresh[1:] = (token[row[1:]] != token[row[:-1]]) | (key[row[1:]] != key[row[:-1]])
+    row = row[fresh]
+    token, key, n, subset = token[row], key[row], n[row].astype(np.int64), subset[row]
     start = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1]))) if len(token) else np.zeros(0, int)
     size = np.diff(np.append(start, len(token)))
     found = []
-    for m in np.unique(size[size > 1]):
+    for m in np.unique(size[(size > 1) & (size <= _LONG)]):
         at = start[size == m]
         i, j = np.triu_indices(m, 1)
         for part in np.array_split(at, max(1, len(at) * len(i) // 2_000_000)):
             a, b = (part[:, None] + i).ravel(), (part[:, None] + j).ravel()
             ok = (100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b])) & (subset[a] | (np.maximum(n[a], n[b]) > small))
             found.append(np.stack((key[a[ok]], key[b[ok]]), 1))
-    return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+    pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+    return pairs, row[np.repeat(size > _LONG, size)]
 
 
-def _light_pairs(entries: DataFrame, percent: int, small: int) -> DataFrame:
+_MET = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("token", pa.int64()), ("key", pa.int64()), ("n", pa.int32()), ("rare", pa.int32())])
+
+
+def _met(entries: DataFrame, percent: int, small: int) -> DataFrame:
+    """Pairs (a, b) of short lists, and the entries (token, key, n, rare) of long ones."""
+
     def task(batches):
-        got = [[b.column(i).to_numpy(zero_copy_only=False) for i in range(4)] for b in batches]
+        got = [[b.column(i).to_numpy(zero_copy_only=False) for i in range(5)] for b in batches]
         if got:
-            p = pairs_of_lists(*(np.concatenate(c) for c in zip(*got, strict=True)), percent, small)
+            token, key, n, subset, rare = (np.concatenate(c) for c in zip(*got, strict=True))
+            got.clear()
+            p, long = pairs_of_lists(token, key, n, subset, percent, small)
             for i in range(0, len(p), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(p[i : i + 100_000, 0]), pa.array(p[i : i + 100_000, 1])], names=["a", "b"])
+                q = p[i : i + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.array(q[:, 0]), pa.array(q[:, 1]), *(pa.nulls(len(q), t) for t in _MET.types[2:])], schema=_MET)
+            for i in range(0, len(long), 100_000):
+                r = long[i : i + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(r), pa.int64()), pa.nulls(len(r), pa.int64()), *(pa.array(c[r], t) for c, t in zip((token, key, n, rare), _MET.types[2:], strict=True))], schema=_MET)
 
-    # no token here is in more than a bounded number of sets: the frequent ones go another way
-    return entries.filter("not heavy").select("token", "key", "n", "subset").repartition("token").mapInArrow(task, "a long, b long")
+    # a token known to be frequent is not dealt here, so no list is a large part of a task
+    rows = entries.filter("not heavy").select("token", "key", "n", "subset", "rare").repartition("token")
+    return rows.mapInArrow(task, "a long, b long, token long, key long, n int, rare int")
 
 
 def _star_pairs(heavy: DataFrame, percent: int) -> DataFrame:
@@ -371,9 +386,12 @@ def linked(docs: DataFrame, k: int = 5, percent: int = 80, scratch: Scratch | No
     sizes = {r.n: r["count"] for r in rows.filter("n between 1 and 200").groupBy("n").count().collect()}
     small = boundary(sizes, float(light) / max(1, total), percent)
     all_entries = scratch.keep(_entries(docs, k, percent, heavy, df, small), "entries")
-    hot = scratch.keep(all_entries.filter("heavy").select("token", "key", "n", "rare").distinct(), "heavy")
-    pairs = scratch.keep(_light_pairs(all_entries, percent, small).unionByName(_star_pairs(hot, percent)).distinct(), "pairs")
+    met = scratch.keep(_met(all_entries, percent, small), "met")
+    hot = all_entries.filter("heavy").select("token", "key", "n", "rare").distinct()
+    hot = scratch.keep(hot.unionByName(met.filter("token is not null").select("token", "key", "n", "rare")), "hot")
     scratch.drop(all_entries)
+    pairs = scratch.keep(met.filter("token is null").select("a", "b").unionByName(_star_pairs(hot, percent)).distinct(), "pairs")
+    scratch.drop(met)
     both = lambda t: t.select(F.explode(F.array("a", "b")).alias("key"))
     bits = scratch.keep(_picked(docs, both(pairs).unionByName(hot.select("key")).distinct(), k, whole=False), "bits")
     near = scratch.keep(_near_by_bits(pairs, bits, percent), "near")
