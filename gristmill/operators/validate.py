@@ -95,5 +95,9 @@ def unknown_keys(payload: Column) -> Column:
     for where, keys in ALLOWED.items():
         part = payload if where == "$" else F.get_json_object(payload, where)
         extra = F.array_except(F.coalesce(F.json_object_keys(part), F.array().cast("array<string>")), F.array(*map(F.lit, keys)))
-        blocks.append(F.transform(extra, lambda k, w=where: F.concat(F.lit(f"{w}."), k)))
+        blocks.append(F.transform(extra, _under(where)))
     return F.flatten(F.array(*blocks))
+
+
+def _under(where: str):
+    return lambda key: F.concat(F.lit(f"{where}."), key)
