@@ -59,9 +59,11 @@ def best_paths(nodes: DataFrame, keep: int = 1) -> DataFrame:
     jump = scratch.keep(known.select("tree", "node", F.col("_n").alias("up"), "score"), "jump0")
     jumps = [jump]
     while not jump.filter("up is not null").isEmpty():
+        # only messages that have not reached their root are joined again
         far = jump.select(F.col("tree").alias("_t"), F.col("node").alias("_n"), F.col("up").alias("_up"), F.col("score").alias("_s"))
-        both = jump.join(far, (jump.tree == F.col("_t")) & (jump.up == F.col("_n")), "left")
-        jump = scratch.keep(both.select("tree", "node", F.col("_up").alias("up"), (F.col("score") + F.coalesce("_s", F.lit(0.0))).alias("score")), "jump")
+        live = jump.filter("up is not null")
+        live = live.join(far, (live.tree == F.col("_t")) & (live.up == F.col("_n"))).select("tree", "node", F.col("_up").alias("up"), (F.col("score") + F.col("_s")).alias("score"))
+        jump = scratch.keep(live.unionByName(jump.filter("up is null")), "jump")
         jumps.append(jump)
     inner = jumps[0].filter("up is not null").select(F.col("tree").alias("_t"), F.col("up").alias("_n")).distinct()
     leaves = jump.join(inner, (jump.tree == F.col("_t")) & (jump.node == F.col("_n")), "left_anti")
@@ -99,8 +101,8 @@ def op6(conversations: DataFrame) -> DataFrame:
     more = spark.createDataFrame([(-7, 0, "user", odd), (-7, 1, "assistant", odd)], "conv_id long, turn long, role string, text string")
     rows = conversations.select("conv_id", "turn", "role", "text").unionByName(more)
     order = W.partitionBy("conv_id").orderBy("turn", "role", "text")
-    rows = rows.select(F.coalesce(F.xxhash64("conv_id"), F.lit(0)).alias("tree"), "conv_id", "role", "text", F.row_number().over(order).cast("long").alias("node"))
-    rows = Scratch(spark).keep(rows.withColumn("tree", F.coalesce(F.col("conv_id"), F.lit(-(1 << 63)))), "nodes")
+    rows = rows.select(F.coalesce(F.col("conv_id"), F.lit(-(1 << 63))).alias("tree"), "role", "text", F.row_number().over(order).cast("long").alias("node"))
+    rows = Scratch(spark).keep(rows, "nodes")
     nodes = rows.select("tree", "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"), (F.coalesce("role", F.lit("")) == "assistant").cast("double").alias("score"))
     path = best_paths(nodes).select(F.col("tree").alias("_t"), "leaf", "back", F.col("node").alias("_n"))
     turns = rows.join(path, (rows.tree == F.col("_t")) & (rows.node == F.col("_n"))).select("tree", "leaf", (-F.col("back")).alias("at"), "role", "text")
