@@ -103,7 +103,7 @@ def _scan(docs: DataFrame, k: int) -> DataFrame:
             yield out(b.column(0), np.diff(off), key)
             pile.append(v)
             count += len(v)
-            if count > 6_000_000:
+            if count > 2_000_000:
                 tokens, counts = fold(2)
                 count = 0
         tokens, counts = fold(_SEEN)

@@ -23,7 +23,7 @@ from . import textkit as tk
 
 BUCKETS = 1 << 18
 #: At most about this many labelled rows are fitted, chosen by a hash of doc_id.
-SAMPLE = 8000
+SAMPLE = 5000
 THRESHOLD = 0.3
 
 _SHAPE = np.arange(256, dtype=np.uint8)
@@ -60,7 +60,7 @@ def indicators(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 def descend(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, c: float = 1.0, rounds: int = 8, seed: int = 7) -> tuple[np.ndarray, float]:
     """Dual coordinate descent for the hinge loss over rows of feature numbers."""
     w, bias, alpha = np.zeros(len(ratio)), 0.0, np.zeros(len(rows))
-    xs = [(r, ratio[r] / max(1e-9, np.sqrt((ratio[r] ** 2).sum()))) for r in rows]
+    xs = [(r, (ratio[r] / max(1e-9, np.sqrt((ratio[r] ** 2).sum()))).astype(np.float32)) for r in rows]
     norm = np.array([2.0 if len(r) else 1.0 for r in rows])
     rng = np.random.default_rng(seed)
     for _ in range(rounds):
@@ -99,11 +99,14 @@ def fit(texts: list[bytes], labels: list[int]) -> dict:
     rows: list[np.ndarray] = []
     for i in range(0, len(texts), 200):
         f, off = indicators(texts[i : i + 200])
+        f = f.astype(np.int32)
         rows += [f[a:b] for a, b in zip(off[:-1], off[1:], strict=True)]
     held = np.arange(len(rows)) % 5 == 4
     if len(set(y01[held])) < 2 or len(set(y01[~held])) < 2:
         held = np.zeros(len(rows), bool)
-    count = [np.bincount(np.concatenate([r for r, v, h in zip(rows, y01, held, strict=True) if v == k and not h]), minlength=BUCKETS) + 1.0 for k in (0, 1)]
+    count = np.ones((2, BUCKETS))
+    for i in np.flatnonzero(~held):
+        count[y01[i], rows[i]] += 1  # a row's features are distinct
     ratio = np.log(count[1] / count[1].sum()) - np.log(count[0] / count[0].sum())
     ratio[np.abs(count[0] + count[1]) < 2.5] = 0.0
     fitted = np.flatnonzero(~held)

@@ -18,7 +18,7 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
-_CHUNK = 3_000_000
+_CHUNK = 1_000_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -104,16 +104,19 @@ def encoded(column: pa.Array) -> list[bytes]:
 
 def parts(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = _CHUNK) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Slices of the batches with at most ``most`` bytes of text, or one document."""
-    for b in batches:
-        texts = encoded(b.column(b.schema.get_field_index(text)))
-        i = 0
-        while i < len(texts):
-            j, size = i + 1, len(texts[i])
-            while j < len(texts) and size + len(texts[j]) <= most:
-                size += len(texts[j])
-                j += 1
-            yield b.slice(i, j - i), texts[i:j]
-            i = j
+    for whole in batches:
+        # a batch can hold thousands of texts; few of them are Python objects at a time
+        for at in range(0, whole.num_rows, 256):
+            b = whole.slice(at, 256)
+            texts = encoded(b.column(b.schema.get_field_index(text)))
+            i = 0
+            while i < len(texts):
+                j, size = i + 1, len(texts[i])
+                while j < len(texts) and size + len(texts[j]) <= most:
+                    size += len(texts[j])
+                    j += 1
+                yield b.slice(i, j - i), texts[i:j]
+                i = j
 
 
 def per_document_unique(values: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
