@@ -102,7 +102,7 @@ class Encoder:
         pieces = [self.sp.id_to_piece(i) for i in range(self.sp.get_piece_size())]
         self.length = np.array([1 if self.sp.is_byte(i) else 0 if self.sp.is_control(i) else len(p.encode()) for i, p in enumerate(pieces)])
         self.unknown = self.sp.unk_id()
-        self.by_word = not self.map.units and self.dummy and not self.squeeze and self.mark and not any(MARK in p.lstrip(MARK) for p in pieces)
+        self.by_word = not self.map.units and self.dummy and not self.squeeze and self.mark and MARK in pieces and not any(MARK in p.lstrip(MARK) for p in pieces)
         self.ends = [self.sp.bos_id()], [self.sp.eos_id()]
         self.known: dict[str, bytes] = {}
         self.remember = remember
@@ -152,7 +152,9 @@ class Encoder:
         if ids is None:
             if len(self.known) >= self.remember:
                 self.known.clear()
-            ids = self.known[chunk] = np.array(self.sp.encode(chunk[1:]), "<u4").tobytes()
+            # the library gives an empty text no mark, so a lone last space is looked up
+            found = self.sp.encode(chunk[1:]) if chunk != " " else [self.sp.piece_to_id(MARK)]
+            ids = self.known[chunk] = np.array(found, "<u4").tobytes()
         return ids
 
     def ids(self, text: str) -> bytes:
