@@ -75,7 +75,7 @@ def need(n, percent: int):
 
 
 def _scan(docs: DataFrame, k: int) -> DataFrame:
-    """Rows (doc_id, n, key) for documents, and (tokens, counts) for each task's frequent tokens."""
+    """Rows (doc_id, th, n, key) for documents, th a hash of the text, and (tokens, counts) for each task's frequent tokens."""
 
     def task(batches):
         pile: list[np.ndarray] = []
@@ -93,14 +93,14 @@ def _scan(docs: DataFrame, k: int) -> DataFrame:
             pile.clear()
             return v[w >= least], w[w >= least]
 
-        def out(ids, n, key, t=None, c=None):
+        def out(ids, th, n, key, t=None, c=None):
             m = len(key)
             lists = [pa.array([t] if t is not None else [None] * m, pa.list_(pa.int64())), pa.array([c] if c is not None else [None] * m, pa.list_(pa.int64()))]
-            return pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(key, pa.int64()), *lists], names=["doc_id", "n", "key", "tokens", "counts"])
+            return pa.RecordBatch.from_arrays([ids, th, pa.array(n, pa.int64()), pa.array(key, pa.int64()), *lists], names=["doc_id", "th", "n", "key", "tokens", "counts"])
 
         for b, texts in tk.parts(batches):
             v, off, key = token_sets(texts, k)
-            yield out(b.column(0), np.diff(off), key)
+            yield out(b.column(0), b.column(2), np.diff(off), key)
             pile.append(v)
             count += len(v)
             if count > 2_000_000:
@@ -108,9 +108,9 @@ def _scan(docs: DataFrame, k: int) -> DataFrame:
                 count = 0
         tokens, counts = fold(_SEEN)
         for i in range(0, len(tokens), 50_000):
-            yield out(pa.nulls(1, pa.int64()), [0], [0], tokens[i : i + 50_000].view(np.int64), counts[i : i + 50_000])
+            yield out(pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), [0], [0], tokens[i : i + 50_000].view(np.int64), counts[i : i + 50_000])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(task, "doc_id long, n long, key long, tokens array<long>, counts array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("th")).mapInArrow(task, "doc_id long, th long, n long, key long, tokens array<long>, counts array<long>")
 
 
 def boundary(sizes: dict[int, int], repeat: float, percent: int) -> int:
@@ -364,10 +364,10 @@ def _block_pairs(heavy: DataFrame, bits: DataFrame, roots: DataFrame, percent: i
 
 
 def linked(docs: DataFrame, k: int = 5, percent: int = 80, scratch: Scratch | None = None) -> tuple[DataFrame, DataFrame]:
-    """Documents (doc_id, n, key) and the components (node, root) of set keys with links."""
+    """Documents (doc_id, th, n, key) and the components (node, root) of set keys with links."""
     scratch = scratch or Scratch(docs.sparkSession)
     scanned = scratch.keep(_scan(docs, k), "scan")
-    rows = scanned.filter("tokens is null").select("doc_id", "n", "key")
+    rows = scanned.filter("tokens is null").select("doc_id", "th", "n", "key")
     counts = scanned.filter("tokens is not null").select(F.explode(F.arrays_zip("tokens", "counts")).alias("x")).groupBy(F.col("x.tokens").alias("token")).agg(F.sum("x.counts").alias("c"))
     counts = scratch.keep(counts, "counts")
     total = rows.agg(F.sum("n")).first()[0] or 0
@@ -418,16 +418,16 @@ def linked(docs: DataFrame, k: int = 5, percent: int = 80, scratch: Scratch | No
 
 
 def grouped(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row."""
+    """(doc_id, th, n_shingles, component_id, root) for every row; root tells components apart where ids repeat, null without words."""
     rows, roots = linked(docs, k, percent)
     least = rows.filter("key != 0").groupBy("key").agg(F.min("doc_id").alias("low"))
     r = roots.select(F.col("node").alias("key"), "root")
     known = least.join(r, "key", "left").withColumn("root", F.coalesce("root", "key"))
     lowest = known.groupBy("root").agg(F.min("low").alias("component_id"))
-    member = known.select("key", "root").join(lowest, "root").select("key", "component_id")
+    member = known.select("key", "root").join(lowest, "root").select("key", "root", "component_id")
     out = rows.join(member, "key", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out.select("doc_id", "th", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "root")
 
 
 def op2(docs: DataFrame) -> DataFrame:
-    return grouped(docs, k=4, percent=85)
+    return grouped(docs, k=4, percent=85).select("doc_id", "n_shingles", "component_id")
