@@ -27,9 +27,13 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def join_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = jaccard.grouped(docs)
-    drop = groups.filter("doc_id != component_id").select("doc_id").distinct()
-    return docs.join(drop, "doc_id", "left_anti").select(*docs.columns).dropDuplicates(["doc_id"])
+    """Rows are told apart by doc_id and text; exact repeats of a row count as one. Rows without words all stay."""
+    id_ = lambda: F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
+    groups = jaccard.grouped(docs).filter("root is not null").groupBy("root").agg(F.min(F.struct(id_().alias("_d"), F.col("th").alias("_th"))).alias("r"))
+    has_words = F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    told = docs.filter(has_words).withColumn("_d", id_()).withColumn("_th", F.xxhash64("text"))
+    kept = told.join(groups.select("r.*"), ["_d", "_th"]).dropDuplicates(["_d", "_th"])
+    return kept.select(*docs.columns).unionByName(docs.filter(~has_words))
 
 
 def cut_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
