@@ -18,6 +18,7 @@ very long texts are encoded whole; repeated rows are encoded once each.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 import struct
 
@@ -147,26 +148,28 @@ class Encoder:
             where += [a] * len(new)
         return bytes(norm), np.array([*where, len(text)])
 
-    def _word(self, chunk: str) -> bytes:
-        ids = self.known.get(chunk)
-        if ids is None:
-            if len(self.known) >= self.remember:
-                self.known.clear()
-            # the library gives an empty text no mark, so a lone last space is looked up
-            found = self.sp.encode(chunk[1:]) if chunk != " " else [self.sp.piece_to_id(MARK)]
-            ids = self.known[chunk] = np.array(found, "<u4").tobytes()
-        return ids
-
-    def ids(self, text: str) -> bytes:
-        """Ids between begin and end, as little-endian 32-bit integers."""
-        if not self.by_word or MARK in text:
-            body = np.array(self.sp.encode(text), "<u4").tobytes()
-        elif text:
-            get, chunks = self.known.get, _CHUNKS.findall(" " + text)
-            body = b"".join([get(c) or self._word(c) for c in chunks])
-        else:
-            body = b""
-        return np.array(self.ends[0], "<u4").tobytes() + body + np.array(self.ends[1], "<u4").tobytes()
+    def _learn(self, chunks: set[str]) -> None:
+        """Puts the words of ``chunks`` into the table, in one call of the library."""
+        new = list(chunks - self.known.keys())
+        if len(self.known) + len(new) > self.remember:
+            self.known.clear()
+            new = list(chunks)
+        # the library gives an empty text no mark, so a lone last space is looked up
+        found = [[self.sp.piece_to_id(MARK)] if c == " " else g for c, g in zip(new, self.sp.encode([c[1:] for c in new], num_threads=1), strict=True)]
+        flat = np.fromiter(itertools.chain.from_iterable(found), "<u4").tobytes()
+        ends = itertools.accumulate((4 * len(g) for g in found), initial=0)
+        self.known.update((c, flat[i:j]) for c, (i, j) in zip(new, itertools.pairwise(ends), strict=True))
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        """Begin id, ids and end id of each text, as little-endian 32-bit integers."""
+        plain = [_CHUNKS.findall(" " + t) if t and self.by_word and MARK not in t else None for t in texts]
+        self._learn({c for p in plain if p for c in p})
+        begin, end = (np.array(x, "<u4").tobytes() for x in self.ends)
+        out = []
+        for t, p in zip(texts, plain, strict=True):
+            body = b"".join(map(self.known.__getitem__, p)) if p else np.array(self.sp.encode(t), "<u4").tobytes()
+            out.append(begin + body + end)
+        return out
 
     def spans(self, text: bytes, ids: np.ndarray) -> np.ndarray:
         """Start and end source byte of every id; begin and end ids get empty spans.
@@ -205,7 +208,7 @@ def encode_documents(docs: DataFrame, model: str, columns: list[str], spans: boo
     def task(batches):
         e = encoder(model)
         for b, texts in tk.parts(batches, most=500_000):
-            ids = [np.frombuffer(e.ids(t.decode("utf-8", "replace")), "<u4") for t in texts]
+            ids = [np.frombuffer(x, "<u4") for x in e.ids([t.decode("utf-8", "replace") for t in texts])]
             out = [b.column(b.schema.get_field_index(c)) for c in columns] + [pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32()))]
             names = [*columns, "ids"]
             if spans:
@@ -228,8 +231,7 @@ def digest_documents(docs: DataFrame, model: str) -> DataFrame:
         hexed = lambda x: hashlib.sha256(x).hexdigest()
         for b, texts in tk.parts(batches, most=500_000):
             rows: list[list] = [[], [], [], []]
-            for t in texts:
-                ids = e.ids(t.decode("utf-8", "replace"))
+            for t, ids in zip(texts, e.ids([t.decode("utf-8", "replace") for t in texts]), strict=True):
                 s = e.spans(t, np.frombuffer(ids, "<u4"))
                 for r, v in zip(rows, (len(ids) // 4, hexed(ids), hexed(e.decode(ids).encode()), int((s[:, 1] - s[:, 0]).sum())), strict=True):
                     r.append(v)
