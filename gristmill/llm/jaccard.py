@@ -49,7 +49,7 @@ _SEEN = 4  # a task reports tokens of at least so many of its documents
 _WORDS = 16  # 64-bit words of the smallest parity bitmap
 _BLOOM = 1 << 23
 _BLOCK = 512
-_LONG = 16  # sets in a list from which on it is handled by contraction, not pair by pair
+_LONG = 4  # sets in the longest list that gives all its pairs (1.5 for an entry at most); longer ones are handled by contraction
 
 
 def token_sets(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -382,7 +382,8 @@ def linked(docs: DataFrame, k: int = 5, percent: int = 80, scratch: Scratch | No
     found = counts.filter(F.col("c") >= floor).toPandas()
     order = np.argsort(found["token"].to_numpy(np.int64).view(tk.U))
     heavy, df = found["token"].to_numpy(np.int64).view(tk.U)[order], found["c"].to_numpy(np.int64)[order]
-    light = counts.filter(F.col("c") < floor).agg(F.sum(F.col("c") * (F.col("c") - 1)).alias("p")).first().p or 0
+    # an entry of a short list meets the rest of it, one of a long list its lead and blocks of numpy rows
+    light = counts.filter(F.col("c") < floor).agg(F.sum(F.col("c") * F.least(F.col("c") - 1, F.lit(_LONG))).alias("p")).first().p or 0
     sizes = {r.n: r["count"] for r in rows.filter("n between 1 and 200").groupBy("n").count().collect()}
     small = boundary(sizes, float(light) / max(1, total), percent)
     all_entries = scratch.keep(_entries(docs, k, percent, heavy, df, small), "entries")
