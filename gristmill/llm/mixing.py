@@ -162,11 +162,13 @@ def mix_documents(docs: DataFrame, shards: int = 16, docs_per_block: int = DOCS_
 
 def mixed_rows(docs: DataFrame, shards: int = 16) -> DataFrame:
     """The mix itself: every drawn copy of every document with its shard and place in the shard."""
-    mixed = mix_documents(docs, shards).filter("times > 0").select("doc_id", "copy", F.col("source").alias("_source"), F.explode("draws").alias("draw"))
+    mixed = mix_documents(docs, shards).filter("times > 0").select("row_key", "doc_id", "copy", F.col("source").alias("_source"), F.explode("draws").alias("draw"))
     told = docs.withColumn("_th", F.xxhash64("text")).withColumn("_copy", F.row_number().over(W.partitionBy("doc_id", "source", "_th").orderBy(F.lit(0))))
-    m = mixed.select(F.col("doc_id").alias("_d"), F.col("copy").alias("_c"), "_source", "draw")
-    out = told.join(m, told.doc_id.eqNullSafe(F.col("_d")) & (told["_copy"] == F.col("_c")) & told.source.eqNullSafe(F.col("_source")))
-    return out.drop("_d", "_c", "_source", "_th", "_copy")
+    # copies are numbered among rows of one doc_id, source and text; the row key holds the text
+    told = told.withColumn("_key", F.xxhash64(F.lit(SEED), "doc_id", "_th", "_copy"))
+    m = mixed.select(F.col("row_key").alias("_k"), F.col("doc_id").alias("_d"), F.col("copy").alias("_c"), "_source", "draw")
+    out = told.join(m, (told["_key"] == F.col("_k")) & told.doc_id.eqNullSafe(F.col("_d")) & (told["_copy"] == F.col("_c")) & told.source.eqNullSafe(F.col("_source")))
+    return out.drop("_k", "_d", "_c", "_source", "_th", "_copy", "_key")
 
 
 def op4(docs: DataFrame) -> DataFrame:

@@ -121,6 +121,19 @@ def test_mix(spark, sf):
         assert target[s] - most <= taken[s] <= target[s] + 1e-6
 
 
+def test_stage_mixes_rows_of_one_id_apart(spark):
+    import corpus_pipeline as p
+
+    words = lambda a, n: " ".join(f"{a}{i}" for i in range(n))
+    rows = [(None, words(f"n{i}", 5 + i), "web") for i in range(30)] + [(7, words(f"s{i}", 40 + i), "web") for i in range(12)] + [(8, words("t", 9), "zz")] * 3 + [(8, words("u", 11), "zz"), (9, None, None), (None, "a b", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    want: Counter = Counter()
+    for r in mixing.op4(docs).collect():
+        want[(r.doc_id, r["size"])] += r.times
+    got = Counter((r.doc_id, len(WORD.findall(r.text or ""))) for r in p.mix(spark, docs, "").collect())
+    assert got == +want
+
+
 def test_chat_against_sql(spark, sf):
     q, sql = registry.queries()["op6_chat_format"], registry.oracle_sql()["op6_chat_format"]
     n, mine, theirs = compare.difference(q(spark, sf), compare.tables(sf), sql)
