@@ -216,6 +216,54 @@ def test_passages(spark):
     assert cut[9] is None and cut[None] == " ".join(shared) and cut[7] == ""
 
 
+def covered(got, doc: int, start: int, end: int) -> bool:
+    """Whether the document's later occurrences hold all words from start to end."""
+    held = {w for r in got if r.doc_id == doc and not r.is_first for w in range(r.start_word, r.end_word)}
+    return held >= set(range(start, end))
+
+
+def test_passages_with_inserted_and_deleted_words(spark):
+    rng = random.Random(6)
+    words = lambda n: [f"v{rng.randrange(9000)}" for _ in range(n)]
+    texts, places = {}, {}
+    for k in range(60):  # 88 words with one edit have a similarity of 0.8 or more
+        n = rng.randrange(88, 99)
+        passage, at = words(n), rng.randrange(30, n - 30)
+        other = {0: passage[:at] + ["new"] + passage[at:], 1: passage[:at] + passage[at + 1 :], 2: passage[:at] + ["new"] + passage[at + 1 :]}[k % 3]
+        before = rng.randrange(40)
+        texts[2 * k], texts[2 * k + 1] = words(rng.randrange(40)) + passage + words(20), words(before) + other + words(30)
+        places[2 * k + 1] = (before, before + len(other))
+    docs = spark.createDataFrame([(d, " ".join(w)) for d, w in texts.items()], "doc_id long, text string").repartition(5)
+    got = passages.op10(docs).collect()
+    assert [d for d, (a, z) in places.items() if not covered(got, d, a, z)] == []
+    assert {r.doc_id for r in got if not r.is_first} == set(places)
+
+
+def test_passages_of_two_documents():
+    """Against all stretches of an edited copy, by longest common subsequences of runs."""
+    import numpy as np
+
+    rng = random.Random(8)
+    for _ in range(60):
+        x = [rng.randrange(1 << 30) for _ in range(rng.randrange(20, 60))]
+        y = list(x)
+        for _ in range(rng.randrange(4)):
+            at = rng.randrange(len(y))
+            y[at : at + rng.randrange(3)] = [rng.randrange(1 << 30) for _ in range(rng.randrange(3))]
+        y = [1] * rng.randrange(5) + y + [2] * rng.randrange(5)
+        place = {v: k for k, v in enumerate(y)}
+        same = [(a, place[v]) for a, v in enumerate(x) if v in place]
+        want: set[int] = set()
+        for p in range(len(same)):
+            for q in range(p, len(same)):
+                (a, b), (z, w), s = same[p], same[q], q - p + 1
+                if min(z - a, w - b) + 1 >= 12 and 9 * s >= 4 * (z - a + w - b + 2):
+                    want |= set(range(a, z + 1))
+        found = passages.passages_of(np.array(x, "<u4"), np.array(y, "<u4"), 12)
+        assert {k for a, z, *_ in found for k in range(a, z)} == want
+        assert all(s >= 0.8 for *_, s in found)
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     pages = spark.createDataFrame([], "page_id long, url string, html string")
