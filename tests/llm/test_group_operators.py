@@ -239,6 +239,28 @@ def test_passages_with_inserted_and_deleted_words(spark):
     assert {r.doc_id for r in got if not r.is_first} == set(places)
 
 
+def test_passages_behind_a_first_that_fails(spark):
+    rng = random.Random(7)
+    words = lambda n: [f"v{rng.randrange(9000)}" for _ in range(n)]
+    boiler, line = words(30), words(14)
+    texts = {d: words(rng.randrange(60)) + boiler + words(40) for d in range(30)} | {d: words(rng.randrange(60)) + line + words(50) + line for d in range(30, 60)}
+    places = {}
+    for k in range(60, 90, 3):  # two passages in the boilerplate's company, and one that begins with the line
+        for j, passage in enumerate((boiler + words(25), words(25) + boiler, line + words(40))):
+            a, z = 300 + 10 * k + j, 1300 + 10 * k + j
+            texts[a], texts[z] = words(20) + passage + words(20), words(35) + passage + words(9)
+            places[z] = (35, 35 + len(passage))
+    for k in range(20):  # a first copy with every 20th word changed, then two exact copies
+        passage = words(60)
+        bad = [f"x{i}" if i % 20 == 19 else w for i, w in enumerate(passage)]
+        texts[3000 + k], texts[4000 + k], texts[5000 + k] = words(9) + bad, words(12) + passage, passage + words(15)
+        places[5000 + k] = (0, 60)
+    docs = spark.createDataFrame([(d, " ".join(w)) for d, w in texts.items()], "doc_id long, text string").repartition(5)
+    got = passages.op10(docs).collect()
+    assert [d for d, (a, z) in places.items() if not covered(got, d, a, z)] == []
+    assert {r.doc_id for r in got if not r.is_first} == set(places)
+
+
 def test_passages_of_two_documents():
     """Against all stretches of an edited copy, by longest common subsequences of runs."""
     import numpy as np
@@ -259,7 +281,7 @@ def test_passages_of_two_documents():
                 (a, b), (z, w), s = same[p], same[q], q - p + 1
                 if min(z - a, w - b) + 1 >= 12 and 9 * s >= 4 * (z - a + w - b + 2):
                     want |= set(range(a, z + 1))
-        found = passages.passages_of(np.array(x, "<u4"), np.array(y, "<u4"), 12)
+        found = passages.passages_of(np.array(x, "<u4"), np.array(y, "<u4"), 12, 1)
         assert {k for a, z, *_ in found for k in range(a, z)} == want
         assert all(s >= 0.8 for *_, s in found)
 
