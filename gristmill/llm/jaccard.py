@@ -11,18 +11,21 @@ the single tokens (k = 1) of their prefix, in which small sets stand too if they
 are large enough to link with a large one. The size that divides small from
 large is the one of least estimated cost (rows emitted and list entries met).
 
-Lists of light tokens are met in one shuffle; short ones give all their pairs.
-Long lists, and those of frequent tokens, which can hold a third of all sets and
-are never dealt to one task, are handled by contraction: each list's most
-central set is compared with the others first; once linked sets form
-components, blocks of a list are compared with blocks, and only pairs across
-components go on. Candidates are thinned by exact bounds (sizes, and parity
-bitmaps: the popcount of the xor never exceeds the symmetric difference), then
+Lists are read from one shuffle sorted by token, as a stream; those of frequent
+tokens, which can hold a third of all sets, are dealt over many tasks. Lists with
+the same members are one list. Lists are handled by contraction: each list's most
+central set is compared with the others first, which is one pair an entry; once
+linked sets form components, blocks of a list that still spans several are
+compared with blocks, in numpy, and only pairs across components that may link go
+on. Candidates are thinned by exact bounds (sizes, and parity bitmaps as wide as
+the sets: the popcount of the xor never exceeds the symmetric difference), then
 verified on whole sets: each set's nearest candidate first, then whatever still
 joins different components. Nothing is capped and no link is lost; what is
 skipped is a link inside a known component.
 
-Shingle hashes have 64 bits, set comparison uses 40 of them.
+Shingle hashes have 64 bits, set comparison uses 40 of them: two sets of 1,000
+tokens have a common false token with a chance of about one in a million, and
+one such token decides only at the very threshold.
 
 Edge cases: null text or text without words: an empty set, its own component;
 fewer words than a shingle: the whole sequence is the one element; repeated
@@ -47,9 +50,12 @@ from .store import Scratch
 MOST_HEAVY = 1 << 18
 _SEEN = 4  # a task reports tokens of at least so many of its documents
 _WORDS = 16  # 64-bit words of the smallest parity bitmap
-_BLOOM = 1 << 23
 _BLOCK = 512
-_LONG = 4  # sets in the longest list that gives all its pairs (1.5 for an entry at most); longer ones are handled by contraction
+#: What a candidate pair costs, in list entries of 24 bytes: two bitmaps of 128 bytes and more, and two sets.
+PAIR_COST = 16
+_SPREAD = 64  # parts over which the list of a frequent token is dealt
+#: Bits a wanted key has in the filter that thins a scan, and its largest size; beyond it a join alone picks the rows.
+_BITS, _MOST_BITS = 16, 1 << 26
 
 
 def token_sets(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -114,11 +120,16 @@ def _scan(docs: DataFrame, k: int) -> DataFrame:
 
 
 def boundary(sizes: dict[int, int], repeat: float, percent: int) -> int:
-    """The largest size that counts as small: least cost over all choices."""
+    """The largest size that counts as small: least cost over all choices.
+
+    A small set emits the pairs of its prefix. A large one, or one that can link
+    with a large one, emits single tokens, each of which meets another list entry
+    with probability ``repeat``.
+    """
     most = max((n for n in sizes if n <= 200), default=0)
     p = lambda n: n - need(n, percent) + 1
     small = {n: c * p(n) * (p(n) + 1) // 2 for n, c in sizes.items() if n <= 200}
-    large = {n: c * p(n) * (1 + repeat) for n, c in sizes.items() if n <= 200}
+    large = {n: c * p(n) * (1 + PAIR_COST * repeat) for n, c in sizes.items() if n <= 200}
     cost = lambda x: sum(c for n, c in small.items() if n <= x) + sum(c for n, c in large.items() if n >= need(x + 1, percent))
     return min(range(5, max(most, 5) + 1), key=cost)
 
@@ -175,69 +186,78 @@ def _entries(docs: DataFrame, k: int, percent: int, heavy, df, small: int) -> Da
     return docs.select("text").mapInArrow(task, "token long, key long, n int, subset boolean, heavy boolean, rare int")
 
 
-def pairs_of_lists(token, key, n, subset, percent: int, small: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (a, b), a < b, of keys that share a short list and whose sizes allow a link; rows of the long lists."""
-    row = np.lexsort((key, token))
-    fresh = np.ones(len(row), bool)
-    fresh[1:] = (token[row[1:]] != token[row[:-1]]) | (key[row[1:]] != key[row[:-1]])
-    row = row[fresh]
-    token, key, n, subset = token[row], key[row], n[row].astype(np.int64), subset[row]
-    start = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1]))) if len(token) else np.zeros(0, int)
-    size = np.diff(np.append(start, len(token)))
-    found = []
-    for m in np.unique(size[(size > 1) & (size <= _LONG)]):
-        at = start[size == m]
-        i, j = np.triu_indices(m, 1)
-        for part in np.array_split(at, max(1, len(at) * len(i) // 2_000_000)):
-            a, b = (part[:, None] + i).ravel(), (part[:, None] + j).ravel()
-            ok = (100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b])) & (subset[a] | (np.maximum(n[a], n[b]) > small))
-            found.append(np.stack((key[a[ok]], key[b[ok]]), 1))
-    pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
-    return pairs, row[np.repeat(size > _LONG, size)]
-
+_MET = pa.schema([("token", pa.int64()), ("key", pa.int64()), ("n", pa.int32()), ("rare", pa.int32())])
 
-_MET = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("token", pa.int64()), ("key", pa.int64()), ("n", pa.int32()), ("rare", pa.int32())])
 
+def shared_rows(batches):
+    """Of sorted rows (token, key, n, rare, heavy), those whose token another key has too, and all heavy ones; repeats of a row go.
 
-def _met(entries: DataFrame, percent: int, small: int) -> DataFrame:
-    """Pairs (a, b) of short lists, and the entries (token, key, n, rare) of long ones."""
+    One row is held back from batch to batch, so lists of any length pass.
+    """
+    held, listed = None, False  # the last row, and whether the row before it has its token
+    for b in batches:
+        cols = [b.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
+        if held is not None:
+            cols = [np.concatenate((h, c)) for h, c in zip(held, cols, strict=True)]
+        token, key = cols[0], cols[1]
+        if not len(token):
+            continue
+        fresh = np.ones(len(token), bool)
+        fresh[1:] = (token[1:] != token[:-1]) | (key[1:] != key[:-1])
+        cols = [c[fresh] for c in cols]
+        token = cols[0]
+        same = token[1:] == token[:-1]
+        keep = cols[4].astype(bool)
+        keep[1:] |= same
+        keep[:-1] |= same
+        keep[0] |= listed
+        listed = bool(keep[-1]) if len(token) == 1 else bool(same[-1])
+        held = [c[-1:] for c in cols]
+        yield [c[:-1][keep[:-1]] for c in cols[:4]]
+    if held is not None and (listed or held[4][0]):
+        yield [c for c in held[:4]]
+
+
+def _met(entries: DataFrame) -> DataFrame:
+    """(token, key, n, rare) of the lists with more than one set, and of all frequent tokens."""
 
     def task(batches):
-        got = [[b.column(i).to_numpy(zero_copy_only=False) for i in range(5)] for b in batches]
-        if got:
-            token, key, n, subset, rare = (np.concatenate(c) for c in zip(*got, strict=True))
-            got.clear()
-            p, long = pairs_of_lists(token, key, n, subset, percent, small)
-            for i in range(0, len(p), 100_000):
-                q = p[i : i + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(q[:, 0]), pa.array(q[:, 1]), *(pa.nulls(len(q), t) for t in _MET.types[2:])], schema=_MET)
-            for i in range(0, len(long), 100_000):
-                r = long[i : i + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(r), pa.int64()), pa.nulls(len(r), pa.int64()), *(pa.array(c[r], t) for c, t in zip((token, key, n, rare), _MET.types[2:], strict=True))], schema=_MET)
-
-    # a token known to be frequent is not dealt here, so no list is a large part of a task
-    rows = entries.filter("not heavy").select("token", "key", "n", "subset", "rare").repartition("token")
-    return rows.mapInArrow(task, "a long, b long, token long, key long, n int, rare int")
-
-
-def _star_pairs(heavy: DataFrame, percent: int) -> DataFrame:
-    """Each frequent token's most central set (fewest rare tokens) with the others."""
-    lead = heavy.groupBy("token").agg(F.min(F.struct("rare", "n", "key")).alias("l")).select(F.col("token").alias("_t"), F.col("l.key").alias("_k"), F.col("l.n").alias("_n"))
-    both = heavy.join(lead, heavy.token == F.col("_t")).filter(F.col("key") != F.col("_k"))
-    both = both.filter(100 * F.least("n", "_n") >= percent * F.greatest("n", "_n"))
-    return both.select(F.least("key", "_k").alias("a"), F.greatest("key", "_k").alias("b"))
+        for cols in shared_rows(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _MET.types, strict=True)], schema=_MET)
+
+    # a token known to be frequent is dealt over many tasks, so no list is a large part of one
+    part = F.when(F.col("heavy"), F.pmod(F.xxhash64("key"), F.lit(_SPREAD))).otherwise(0)
+    rows = entries.select("token", "key", "n", "rare", "heavy").repartition("token", part).sortWithinPartitions("token", "key")
+    return rows.mapInArrow(task, "token long, key long, n int, rare int")
+
+
+def _lists(met: DataFrame) -> DataFrame:
+    """(token, key, n, lead, lead_n) of each different list of more than one set; it is led by its most central set (fewest rare tokens)."""
+    lists = met.groupBy("token").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("key")).alias("x"), F.bit_xor(F.xxhash64(F.lit(7), "key")).alias("y"), F.min(F.struct("rare", "n", "key")).alias("l")).filter("m > 1")
+    one = lists.groupBy("m", "x", "y").agg(F.min(F.struct("token", "l")).alias("t"))
+    one = one.select(F.col("t.token").alias("_t"), F.col("t.l.key").alias("lead"), F.col("t.l.n").alias("lead_n"))
+    return met.join(one, met.token == F.col("_t")).select("token", "key", "n", "lead", "lead_n")
+
+
+def _star_pairs(lists: DataFrame, percent: int) -> DataFrame:
+    """Each list's leading set with the others."""
+    both = lists.filter((F.col("key") != F.col("lead")) & (100 * F.least("n", "lead_n") >= percent * F.greatest("n", "lead_n")))
+    return both.select(F.least("key", "lead").alias("a"), F.greatest("key", "lead").alias("b")).distinct()
 
 
 def _picked(docs: DataFrame, wanted: DataFrame, k: int, whole: bool) -> DataFrame:
-    """(key, n, data) of the wanted keys and few others: a bloom filter of fixed size picks them in one scan.
+    """(key, n, data) of the wanted keys; ``data`` is the set itself (whole) or its parity bitmap.
 
-    ``data`` is the set itself (whole) or its parity bitmap.
+    A filter sized by the number of keys thins the one scan; the join decides.
     """
-    spots = wanted.select(F.explode(F.array(F.pmod("key", F.lit(_BLOOM)), F.pmod(F.shiftright("key", 24), F.lit(_BLOOM)))).alias("s"))
-    words = spots.groupBy((F.col("s") / 32).cast("int").alias("i")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("s") % 32).cast("int"))).alias("w")).collect()  # at most _BLOOM / 32 rows
-    bloom = np.zeros(_BLOOM // 32, np.uint32)
-    for r in words:
-        bloom[r.i] = r.w
+    wanted = wanted.select(F.col("key").alias("_w"))
+    bits = 1 << max(20, (wanted.count() * _BITS - 1).bit_length())
+    bloom = None
+    if bits <= _MOST_BITS:
+        spots = wanted.select(F.explode(F.array(F.pmod("_w", F.lit(bits)), F.pmod(F.shiftright("_w", 24), F.lit(bits)))).alias("s"))
+        words = spots.groupBy((F.col("s") / 32).cast("int").alias("i")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("s") % 32).cast("int"))).alias("w")).toPandas()  # at most _MOST_BITS / 32 rows
+        bloom = np.zeros(bits // 32, np.uint32)
+        bloom[words["i"].to_numpy(np.int64)] = words["w"].to_numpy(np.int64).astype(np.uint32)
     shared = docs.sparkSession.sparkContext.broadcast(bloom)
     schema = pa.schema([("key", pa.int64()), ("n", pa.int64()), ("data", pa.binary())])
 
@@ -246,7 +266,7 @@ def _picked(docs: DataFrame, wanted: DataFrame, k: int, whole: bool) -> DataFram
         for _, texts in tk.parts(batches):
             v, off, key = token_sets(texts, k)
             has = np.ones(len(key), bool)
-            for s in (key % _BLOOM, (key >> 24) % _BLOOM):
+            for s in (key % bits, (key >> 24) % bits) if bloom is not None else ():
                 has &= (bloom[s >> 5] >> (s & 31).astype(np.uint32) & 1).astype(bool)
             rows = []
             for d in np.flatnonzero(has):
@@ -257,7 +277,8 @@ def _picked(docs: DataFrame, wanted: DataFrame, k: int, whole: bool) -> DataFram
                 rows.append({"key": x, "n": len(t), "data": squeeze(t) if whole else parity(t)})
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    return docs.select("text").mapInArrow(task, "key long, n long, data binary").dropDuplicates(["key"])
+    found = docs.select("text").mapInArrow(task, "key long, n long, data binary")
+    return found.join(wanted, found.key == F.col("_w"), "left_semi").dropDuplicates(["key"])
 
 
 def parity(t: np.ndarray) -> bytes:
@@ -331,10 +352,38 @@ def _across(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return out.filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).drop("ra", "rb")
 
 
-def _block_pairs(heavy: DataFrame, bits: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) across components within the lists of frequent tokens, blocks against blocks."""
+def may_link(p: tuple, q: tuple, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j) of the rows (key, n, root, bitmaps) of two blocks whose sizes and bitmaps allow a link across components.
+
+    Two bitmaps are compared at the width of the narrower one; where sizes allow
+    a link, the other is at most twice as wide.
+    """
+    found = []
+    tables = [({w: [k for k, x in enumerate(side[3]) if len(x) == 8 * w] for w in {len(x) // 8 for x in side[3]}}, side) for side in (p, q)]
+    (by_p, _), (by_q, _) = tables
+    for wp, rows_p in by_p.items():
+        for wq, rows_q in by_q.items():
+            w = min(wp, wq)
+            if max(wp, wq) > 2 * w:
+                continue
+            x, y = np.array([folded(p[3][k], w) for k in rows_p]), np.array([folded(q[3][k], w) for k in rows_q])
+            rows_a, rows_b = np.array(rows_p), np.array(rows_q)
+            n, m = p[1][rows_a][:, None], q[1][rows_b][None, :]
+            i, j = np.nonzero((p[2][rows_a][:, None] != q[2][rows_b][None, :]) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m)))
+            for at in range(0, len(i), max(1, (1 << 21) // w)):
+                a, b = i[at : at + max(1, (1 << 21) // w)], j[at : at + max(1, (1 << 21) // w)]
+                apart = np.bitwise_count(x[a] ^ y[b]).sum(1, dtype=np.int64)
+                ok = apart <= most_apart(p[1][rows_a[a]] + q[1][rows_b[b]], percent)
+                found.append((rows_a[a[ok]], rows_b[b[ok]]))
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
+
+
+def _block_pairs(lists: DataFrame, bits: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) across components within lists, blocks against blocks."""
     r = roots.select(F.col("node").alias("key"), "root")
-    m = heavy.select("token", "key").distinct().join(r, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    m = lists.select("token", "key").join(r, "key", "left").withColumn("root", F.coalesce("root", "key"))
     mixed = m.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("m")).filter("lo != hi")
     m = m.join(mixed.select("token", F.ceil(F.col("m") / _BLOCK).alias("blocks")), "token").join(bits, "key")
     m = m.withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")))
@@ -343,21 +392,15 @@ def _block_pairs(heavy: DataFrame, bits: DataFrame, roots: DataFrame, percent: i
     y = blocks.select("token", F.col("block").alias("j"), F.col("rows").alias("y"))
 
     def columns(rows):
-        f = rows.flatten() if isinstance(rows, pa.ListArray) else rows
-        key, n, root, data = f.flatten()
-        return key.to_numpy(), n.to_numpy(), root.to_numpy(), np.array([folded(x, _WORDS) for x in data.to_pylist()])
+        key, n, root, data = rows.flatten().flatten()
+        return key.to_numpy(), n.to_numpy(), root.to_numpy(), data.to_pylist()
 
     def task(batches):
         for b in batches:
             for k in range(b.num_rows):
                 p, q = columns(b.column(0).slice(k, 1)), columns(b.column(1).slice(k, 1))
-                i, j = np.nonzero(p[2][:, None] != q[2][None, :])
-                apart = np.zeros(len(i), np.int64)
-                for w in range(_WORDS):
-                    apart += np.bitwise_count(p[3][i, w] ^ q[3][j, w])
-                total = p[1][i] + q[1][j]
-                ok = (apart <= most_apart(total, percent)) & (100 * np.minimum(p[1][i], q[1][j]) >= percent * np.maximum(p[1][i], q[1][j]))
-                a, c = p[0][i[ok]], q[0][j[ok]]
+                i, j = may_link(p, q, percent)
+                a, c = p[0][i], q[0][j]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, c)), pa.array(np.maximum(a, c))], names=["a", "b"])
 
     return x.join(y, "token").filter("i <= j").select("x", "y").mapInArrow(task, "a long, b long").distinct()
@@ -382,19 +425,16 @@ def linked(docs: DataFrame, k: int = 5, percent: int = 80, scratch: Scratch | No
     found = counts.filter(F.col("c") >= floor).toPandas()
     order = np.argsort(found["token"].to_numpy(np.int64).view(tk.U))
     heavy, df = found["token"].to_numpy(np.int64).view(tk.U)[order], found["c"].to_numpy(np.int64)[order]
-    # an entry of a short list meets the rest of it, one of a long list its lead and blocks of numpy rows
-    light = counts.filter(F.col("c") < floor).agg(F.sum(F.col("c") * F.least(F.col("c") - 1, F.lit(_LONG))).alias("p")).first().p or 0
+    # the share of entries whose token some task has met several times; each meets the leading set of its list
+    repeat = (counts.agg(F.sum("c").alias("c")).first().c or 0) / max(1, total)
     sizes = {r.n: r["count"] for r in rows.filter("n between 1 and 200").groupBy("n").count().collect()}
-    small = boundary(sizes, float(light) / max(1, total), percent)
-    all_entries = scratch.keep(_entries(docs, k, percent, heavy, df, small), "entries")
-    met = scratch.keep(_met(all_entries, percent, small), "met")
-    hot = all_entries.filter("heavy").select("token", "key", "n", "rare").distinct()
-    hot = scratch.keep(hot.unionByName(met.filter("token is not null").select("token", "key", "n", "rare")), "hot")
-    scratch.drop(all_entries)
-    pairs = scratch.keep(met.filter("token is null").select("a", "b").unionByName(_star_pairs(hot, percent)).distinct(), "pairs")
+    small = boundary(sizes, repeat, percent)
+    met = scratch.keep(_met(_entries(docs, k, percent, heavy, df, small)), "met")
+    lists = scratch.keep(_lists(met), "lists")
     scratch.drop(met)
+    pairs = scratch.keep(_star_pairs(lists, percent), "pairs")
     both = lambda t: t.select(F.explode(F.array("a", "b")).alias("key"))
-    bits = scratch.keep(_picked(docs, both(pairs).unionByName(hot.select("key")).distinct(), k, whole=False), "bits")
+    bits = scratch.keep(_picked(docs, lists.select("key").distinct(), k, whole=False), "bits")
     near = scratch.keep(_near_by_bits(pairs, bits, percent), "near")
     scratch.drop(pairs)
     sets = scratch.keep(_picked(docs, both(near).distinct(), k, whole=True), "sets")
@@ -407,14 +447,14 @@ def linked(docs: DataFrame, k: int = 5, percent: int = 80, scratch: Scratch | No
     if not more.isEmpty():
         roots = scratch.keep(components(links, scratch), "roots")
     scratch.drop(sets)
-    rest = scratch.keep(_block_pairs(hot, bits, roots, percent), "rest")
+    rest = scratch.keep(_block_pairs(lists, bits, roots, percent), "rest")
     if not rest.isEmpty():
         sets = scratch.keep(_picked(docs, both(rest).distinct(), k, whole=True), "sets")
         last = scratch.keep(_verified(rest, sets, percent), "links")
         if not last.isEmpty():
             roots = scratch.keep(components(links.unionByName(last), scratch), "roots")
         scratch.drop(sets)
-    scratch.drop(bits, near, rest)
+    scratch.drop(bits, near, rest, lists)
     return rows, roots
 
 
