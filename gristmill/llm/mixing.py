@@ -5,16 +5,19 @@ share the total size; a target stops at three times its source's size and the
 excess goes to the others by weight until none is above.
 
 Blocks. A source's documents are dealt by hash into blocks of about
-``docs_per_block`` documents, the blocks into a hashed (permuted) order. A
-source needs whole passes over its blocks plus a part of one more; every
-(pass, block) is a draw, so the source has an exact quota of draws.
+``docs_per_block`` documents, of more where a source would have over MOST_BLOCKS
+blocks, so the tables of blocks and the tree's urns are bounded whatever the
+input; the blocks stand in a hashed (permuted) order. A source needs whole passes
+over its blocks plus a part of one more; every (pass, block) is a draw, so the
+source has an exact quota of draws.
 
 Splitting tree. At each node of a binary tree over the output shards the
 quotas are split by a multivariate hypergeometric draw: an urn with the node's
 draws is emptied into left slots and right slots, source by source. Each shard
 ends with an exact quota of every source and takes that many consecutive draws
 of the source's permuted sequence, so shards are disjoint and cover all draws.
-Within a shard, rows are ordered by a hash (a local shuffle).
+Within a shard, rows are ordered by a hash (a local shuffle): ``mixed_rows`` deals
+rows by shard and sorts them so. There is a shard for DOCS_PER_SHARD documents.
 
 The last draw of a source is a partial block: its documents are tried in hashed
 order and taken while they fit, so a source misses its target by less than its
@@ -22,8 +25,11 @@ smallest document left over.
 
 All randomness is a hash of (seed, identity), hence reruns agree. Edge cases:
 null text has size 0; a source without words has target 0 and its documents are
-taken as often as whole passes say (0 words each way); repeated rows are told
-apart by an ordinal among equal rows.
+taken as often as whole passes say (0 words each way); rows of equal doc_id,
+source and text are told apart by an ordinal among them, and their draws are one
+value, so they should be few; empty tables give empty ones; texts of any length
+are one row and never split; other columns pass through, and only names that
+begin with ``_mix_`` are reserved.
 """
 
 from __future__ import annotations
@@ -37,6 +43,9 @@ from .store import Scratch
 WEIGHTS = (5, 2, 1)
 MOST = 3
 DOCS_PER_BLOCK = 256
+MOST_BLOCKS = 1 << 16
+DOCS_PER_SHARD = 1 << 16
+LEAST_SHARDS, MOST_SHARDS = 16, 1 << 12
 SEED = 20240
 
 
@@ -110,19 +119,27 @@ def split_quotas(quotas: DataFrame, shards: int) -> DataFrame:
     return rows.select("shard", F.when(~F.col("x.nil"), F.col("x.k")).alias("source"), F.col("x.first").alias("first"), F.col("x.q").alias("n"))
 
 
-def mix_documents(docs: DataFrame, shards: int = 16, docs_per_block: int = DOCS_PER_BLOCK) -> DataFrame:
-    """One row a document: row_key, doc_id, copy, source, size, source_size, target, times, and
+def group_key() -> Column:
+    """What rows of equal doc_id, source and text share."""
+    return F.xxhash64(F.lit(SEED), "doc_id", "source", "text")
+
+
+def mix_documents(docs: DataFrame, shards: int | None = None, docs_per_block: int = DOCS_PER_BLOCK) -> DataFrame:
+    """One row a document: row_key, group_key, doc_id, copy, source, size, source_size, target, times, and
     ``draws``, an array with the (pass, shard, place) of each of its ``times`` copies."""
     scratch = Scratch(docs.sparkSession)
-    rows = scratch.keep(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.xxhash64("text").alias("th")), "sizes")
+    rows = scratch.keep(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), group_key().alias("group_key")), "sizes")
     per = targets(rows)
     # whole passes, and blocks of about docs_per_block documents, whatever the source's size
     passes = F.when(F.col("source_size") > 0, F.least(F.lit(MOST), F.floor(F.col("target") / F.col("source_size")))).otherwise(0).cast("long")
-    per = scratch.keep(per.withColumn("passes", passes).withColumn("blocks", F.ceil(F.col("n_docs") / docs_per_block).cast("long")), "targets")
+    per = scratch.keep(per.withColumn("passes", passes).withColumn("blocks", F.least(F.ceil(F.col("n_docs") / docs_per_block), F.lit(MOST_BLOCKS)).cast("long")), "targets")
+    if shards is None:
+        n = per.agg(F.sum("n_docs")).first()[0] or 0
+        shards = min(MOST_SHARDS, max(LEAST_SHARDS, -(-n // DOCS_PER_SHARD)))
     s = per.select(F.col("source").alias("_s"), "source_size", "target", "passes", "blocks")
     # equal rows share doc_id, source and text, so which of them comes first makes no difference
-    told = rows.withColumn("copy", F.row_number().over(W.partitionBy("doc_id", "source", "th").orderBy("size")))
-    told = told.withColumn("row_key", F.xxhash64(F.lit(SEED), "doc_id", "th", "copy")).drop("th")
+    told = rows.withColumn("copy", F.row_number().over(W.partitionBy("group_key").orderBy("size")))
+    told = told.withColumn("row_key", F.xxhash64("group_key", "copy"))
     told = told.join(s, told.source.eqNullSafe(F.col("_s"))).drop("_s").withColumn("block", F.pmod(F.col("row_key"), F.col("blocks")))
     told = scratch.keep(told, "dealt")
     # permuted blocks with the words before each; this window holds a source's blocks, not its documents
@@ -147,7 +164,7 @@ def mix_documents(docs: DataFrame, shards: int = 16, docs_per_block: int = DOCS_
     b = blocks.join(h, blocks.source.eqNullSafe(F.col("_s")) & (blocks.block == F.col("_b")), "left").select(F.col("source").alias("_s"), F.col("block").alias("_b"), "words", "rest", "homes")
     out = told.join(b, told.source.eqNullSafe(F.col("_s")) & (told.block == F.col("_b"))).drop("_s", "_b")
     # in the block where the target falls, documents in hashed order, each that still fits (a block is about docs_per_block rows)
-    cols = ["row_key", "doc_id", "copy", "size", "source_size", "target", "passes", "homes"]
+    cols = ["row_key", "group_key", "doc_id", "copy", "size", "source_size", "target", "passes", "homes"]
     cut = out.filter("rest > 0 and rest < words").groupBy("source", "block").agg(F.first("rest").alias("rest"), F.array_sort(F.collect_list(F.struct(*cols))).alias("rows"))
     none = F.struct(F.col("rest").alias("left"), F.array().cast("array<boolean>").alias("more"))
     fits = lambda s, x: F.struct(F.when(x["size"] <= s.left, s.left - x["size"]).otherwise(s.left).alias("left"), F.concat(s.more, F.array(x["size"] <= s.left)).alias("more"))
@@ -157,18 +174,21 @@ def mix_documents(docs: DataFrame, shards: int = 16, docs_per_block: int = DOCS_
     out = whole.unionByName(cut).withColumn("times", F.col("passes") + F.col("more").cast("long"))
     place = lambda x: F.struct(x["pass"].alias("pass"), x.shard.alias("shard"), F.xxhash64(F.lit(SEED + 2), F.col("row_key"), x["pass"]).alias("place"))
     draws = F.when(F.col("times") > 0, F.transform(F.slice("homes", 1, F.col("times").cast("int")), place)).otherwise(F.array().cast("array<struct<pass:bigint,shard:int,place:bigint>>"))
-    return out.select("row_key", "doc_id", "copy", "source", "size", "source_size", "target", "times", draws.alias("draws"))
-
-
-def mixed_rows(docs: DataFrame, shards: int = 16) -> DataFrame:
-    """The mix itself: every drawn copy of every document with its shard and place in the shard."""
-    mixed = mix_documents(docs, shards).filter("times > 0").select("row_key", "doc_id", "copy", F.col("source").alias("_source"), F.explode("draws").alias("draw"))
-    told = docs.withColumn("_th", F.xxhash64("text")).withColumn("_copy", F.row_number().over(W.partitionBy("doc_id", "source", "_th").orderBy(F.lit(0))))
-    # copies are numbered among rows of one doc_id, source and text; the row key holds the text
-    told = told.withColumn("_key", F.xxhash64(F.lit(SEED), "doc_id", "_th", "_copy"))
-    m = mixed.select(F.col("row_key").alias("_k"), F.col("doc_id").alias("_d"), F.col("copy").alias("_c"), "_source", "draw")
-    out = told.join(m, (told["_key"] == F.col("_k")) & told.doc_id.eqNullSafe(F.col("_d")) & (told["_copy"] == F.col("_c")) & told.source.eqNullSafe(F.col("_source")))
-    return out.drop("_k", "_d", "_c", "_source", "_th", "_copy", "_key")
+    return out.select("row_key", "group_key", "doc_id", "copy", "source", "size", "source_size", "target", "times", draws.alias("draws"))
+
+
+def mixed_rows(docs: DataFrame, shards: int | None = None) -> DataFrame:
+    """The mix itself: every drawn copy of every document with its ``draw`` (pass, shard, place), dealt by shard, in the order of its places.
+
+    Texts are shuffled twice: to meet their draws, and to their shards.
+    """
+    mixed = mix_documents(docs, shards).filter("times > 0")
+    draws = mixed.groupBy(F.col("group_key").alias("_mix_key")).agg(F.map_from_entries(F.collect_list(F.struct("copy", "draws"))).alias("_mix_draws"))
+    told = docs.withColumn("_mix_key", group_key()).join(draws, "_mix_key")
+    # the window asks for the partitioning that the join has made
+    told = told.withColumn("_mix_copy", F.row_number().over(W.partitionBy("_mix_key").orderBy("_mix_key")))
+    out = told.select(*docs.columns, F.explode(F.col("_mix_draws")[F.col("_mix_copy")]).alias("draw"))
+    return out.repartition(F.col("draw.shard")).sortWithinPartitions("draw.shard", "draw.place", "draw.pass")
 
 
 def op4(docs: DataFrame) -> DataFrame:
