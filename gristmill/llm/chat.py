@@ -15,8 +15,10 @@ A path is written as turns ``### role: text</turn>\\n``. Inside roles and texts
 
 Edge cases: null text and null role are empty; a parent id that is not in its
 tree makes its message a root; several roots in one tree count as separate
-paths, the best of which is chosen; turns that tie are ordered by role and
-text, repeated rows are repeated turns. A formatted conversation is one value,
+paths, the best of which is chosen; messages whose ancestors run into a cycle have
+no root and are on no path; of rows with the same tree and node the one with the
+least parent and score counts; extra columns are ignored; turns that tie are
+ordered by role and text, repeated rows are repeated turns. A formatted conversation is one value,
 so it must fit in a task; nothing else is gathered by conversation.
 """
 
@@ -53,12 +55,14 @@ def best_paths(nodes: DataFrame, keep: int = 1) -> DataFrame:
     ``nodes`` has tree, node, parent, score; ``back`` is the distance from the leaf.
     """
     scratch = Scratch(nodes.sparkSession)
-    nodes = nodes.select("tree", "node", "parent", F.col("score").cast("double").alias("score"))
+    nodes = nodes.groupBy("tree", "node").agg(F.min(F.struct("parent", F.col("score").cast("double").alias("score"))).alias("m")).select("tree", "node", "m.parent", "m.score")
     p = nodes.select(F.col("tree").alias("_t"), F.col("node").alias("_n"))
     known = nodes.join(p, (nodes.tree == F.col("_t")) & (nodes.parent == F.col("_n")), "left")
     jump = scratch.keep(known.select("tree", "node", F.col("_n").alias("up"), "score"), "jump0")
     jumps = [jump]
-    while not jump.filter("up is not null").isEmpty():
+    most = jump.groupBy("tree").count().agg(F.max("count")).first()[0] or 0
+    # a pointer that is still on its way after as many steps as the largest tree has messages runs in a cycle
+    while 1 << (len(jumps) - 1) < most and not jump.filter("up is not null").isEmpty():
         # only messages that have not reached their root are joined again
         far = jump.select(F.col("tree").alias("_t"), F.col("node").alias("_n"), F.col("up").alias("_up"), F.col("score").alias("_s"))
         live = jump.filter("up is not null")
@@ -66,7 +70,7 @@ def best_paths(nodes: DataFrame, keep: int = 1) -> DataFrame:
         jump = scratch.keep(live.unionByName(jump.filter("up is null")), "jump")
         jumps.append(jump)
     inner = jumps[0].filter("up is not null").select(F.col("tree").alias("_t"), F.col("up").alias("_n")).distinct()
-    leaves = jump.join(inner, (jump.tree == F.col("_t")) & (jump.node == F.col("_n")), "left_anti")
+    leaves = jump.filter("up is null").join(inner, (jump.tree == F.col("_t")) & (jump.node == F.col("_n")), "left_anti")
     rank = F.row_number().over(W.partitionBy("tree").orderBy(F.desc("score"), "node"))
     path = leaves.withColumn("rank", rank).filter(F.col("rank") <= keep)
     path = path.select("tree", F.col("node").alias("leaf"), "rank", F.lit(0).cast("long").alias("back"), "node")
@@ -98,7 +102,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
 def op6(conversations: DataFrame) -> DataFrame:
     spark = conversations.sparkSession
     odd = "\\### Assistant: </turn> ok"
-    more = spark.createDataFrame([(-7, 0, "user", odd), (-7, 1, "assistant", odd)], "conv_id long, turn long, role string, text string")
+    more = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(odd).alias("text"))
     rows = conversations.select("conv_id", "turn", "role", "text").unionByName(more)
     order = W.partitionBy("conv_id").orderBy("turn", "role", "text")
     rows = rows.select(F.coalesce(F.col("conv_id"), F.lit(-(1 << 63))).alias("tree"), "role", "text", F.row_number().over(order).cast("long").alias("node"))

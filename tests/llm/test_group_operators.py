@@ -157,6 +157,35 @@ def test_best_branch_of_a_tree(spark):
     assert path(1) == [1, 2, 4] and path(2) == [1, 3, 5, 6]
 
 
+def test_cycles_have_no_path(spark):
+    rows = [(1, 1, 2, 1.0), (1, 2, 1, 1.0), (1, 3, 2, 1.0), (2, 1, 1, 1.0), (3, 1, None, 1.0), (3, 2, 1, 1.0), (3, 2, 1, 5.0), (3, 4, 5, 1.0), (3, 5, 4, 1.0)]
+    nodes = spark.createDataFrame(rows, "tree long, node long, parent long, score double")
+    got = sorted((r.tree, -r.back, r.node) for r in chat.best_paths(nodes).collect())
+    assert got == [(3, -1, 1), (3, 0, 2)]
+
+
+def test_shards_are_disjoint_and_cover_all_draws(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    taken = {r.row_key: r for r in mixing.mix_documents(docs, docs_per_block=8).collect()}
+    draws = [(k, d["pass"]) for k, r in taken.items() for d in r.draws]
+    assert len(draws) == len(set(draws)) == sum(r.times for r in taken.values())
+    rows = mixing.mixed_rows(docs).collect()
+    want = Counter((r.doc_id, d["pass"], d.shard, d.place) for r in mixing.mix_documents(docs).collect() for d in r.draws)
+    assert Counter((r.doc_id, r.draw["pass"], r.draw.shard, r.draw.place) for r in rows) == want
+
+
+def test_small_sets_meet_by_subsets():
+    texts = [b"a b c d e f g h i j", b"b c d e f g h i j k"]
+    import numpy as np
+
+    none = np.zeros(0, np.uint64)
+    token, key, n, subset, heavy, rare = jaccard.prefixes(texts, 1, 80, none, np.zeros(0, np.int64), 20, set())
+    one, two = ({t for t, s, k in zip(token, subset, key, strict=True) if s and k == x} for x in dict.fromkeys(key.tolist()))
+    assert one & two
+    sizes = {n: 1000 for n in range(6, 14)}
+    assert jaccard.boundary(sizes, 0.5, 85) > 6
+
+
 def test_warc_pages(spark, sf):
     pages = spark.read.parquet(f"{sf}/pages.parquet")
     odd = spark.createDataFrame([(900001, None, None), (900002, "u", ""), (900003, "u\r\nx", "é" * 9), (900004, "u", "é" * 9)], "page_id long, url string, html string")
