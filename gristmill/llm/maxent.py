@@ -10,10 +10,12 @@ word, so probabilities of each context sum to one.
 
 Counts cover every training document. Training runs in rounds of distributed
 gradient updates: each task starts from the broadcast weights, makes AdaGrad
-steps on every sixteenth position of its documents (another sixteenth each
-round), and the tasks' weights are averaged row by row, weighted by how often a
-task updated the row, in two levels so that no task gathers all of them. The
-weights have a fixed size (4 MB) whatever the corpus.
+steps on its documents' positions, and the tasks' weights are averaged row by row,
+weighted by how often a task updated the row, in two levels so that no task
+gathers all of them. Each round takes every ROUNDS-th position, each time another
+residue, so that all rounds together learn from every position once. The weights
+have a fixed size (4 MB) whatever the corpus: words outside the frequent classes
+share context rows by spelling class, a limit of this model's capacity.
 
 Words are told apart by 64-bit hashes. Counts of at most 131,072 frequent words
 are broadcast; the rest go through a join: a document's other words are written
@@ -45,7 +47,7 @@ BEGIN = HEAD * WIDTH + TAIL
 CONTEXTS = BEGIN + 1
 SKIPS = 4
 ROWS, INNER = 1 << 13, 1 << 14
-STRIDE = 16
+ROUNDS = 2
 BLOCKS = 8
 _END = tk.mix(np.array([77], tk.U))[0]
 
@@ -258,8 +260,8 @@ class Learner:
         self.seen[name][row] += np.diff(np.append(first, len(flat)))
 
     def learn(self, t: Tokens, at: np.ndarray) -> None:
-        for i in range(0, len(at), 1024):
-            a = at[i : i + 1024]
+        for i in range(0, len(at), 4096):
+            a = at[i : i + 4096]
             y, f = t.seq[a], t.features(a)
             cls = class_of(y)
             g = np.exp(_log_softmax(_logits(self.m["cb"], self.m["cw"], f)))
@@ -276,7 +278,7 @@ class Learner:
 _PART = pa.schema([("block", pa.int32()), ("task", pa.int64()), ("w", pa.binary()), ("seen", pa.binary())])
 
 
-def _round(docs: DataFrame, lex, model: dict, turn: int) -> dict:
+def _round(docs: DataFrame, lex, model: dict, turn: int, rounds: int) -> dict:
     shared = docs.sparkSession.sparkContext.broadcast((lex, model))
 
     def task(batches):
@@ -285,7 +287,7 @@ def _round(docs: DataFrame, lex, model: dict, turn: int) -> dict:
         for _, texts in tk.parts(batches):
             learner = learner or Learner(m)
             t = Tokens(texts, lex)
-            learner.learn(t, t.targets[carry % STRIDE :: STRIDE])
+            learner.learn(t, t.targets[carry % rounds :: rounds])
             carry -= len(t.targets)
         if learner:
             who = TaskContext.get().partitionId()
@@ -365,13 +367,13 @@ def _scored(docs: DataFrame, lex: Lexicon, model: dict) -> DataFrame:
     return rows.mapInArrow(task, _SCORED)
 
 
-def train(docs: DataFrame, scratch: Scratch, rounds: int = 2) -> tuple[DataFrame, Lexicon, dict, int]:
+def train(docs: DataFrame, scratch: Scratch, rounds: int = ROUNDS) -> tuple[DataFrame, Lexicon, dict, int]:
     """Counts of all words, the lexicon, the weights, and the least level of the lexicon."""
     counts = scratch.keep(_counted(docs).groupBy("h").agg(F.min("cls").alias("cls"), F.sum("c").alias("c")), "counts")
     lex, least = lexicon(counts)
     model = start(lex)
     for k in range(rounds):
-        model = _round(docs, lex, model, k * (STRIDE // rounds))
+        model = _round(docs, lex, model, k, rounds)
     return counts, lex, model, least
 
 
