@@ -253,10 +253,13 @@ class Learner:
     def _step(self, name: str, f: np.ndarray, g: np.ndarray) -> None:
         flat = f.ravel()
         order = np.argsort(flat, kind="stable")
-        row, first = np.unique(flat[order], return_index=True)
+        row = flat[order]
+        first = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
+        row = row[first]
         total = np.add.reduceat(g[order // f.shape[1]], first, axis=0)
-        self.norm[name][row] += (total * total).mean(1)
-        self.m[name][row] -= self.rate * total / np.sqrt(self.norm[name][row] * g.shape[1])[:, None]
+        self.norm[name][row] += np.einsum("ij,ij->i", total, total) / g.shape[1]
+        total *= (self.rate / np.sqrt(self.norm[name][row] * g.shape[1])).astype(np.float32)[:, None]
+        self.m[name][row] -= total
         self.seen[name][row] += np.diff(np.append(first, len(flat)))
 
     def learn(self, t: Tokens, at: np.ndarray) -> None:
