@@ -7,8 +7,12 @@ from pyspark.sql import functions as F
 
 # Fixed value: the month vocabulary. A gap is one blank, or a hyphen with a blank on either side at most.
 MONTHS = "jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|jun(?:e)?|jul(?:y)?|aug(?:ust)?|sep(?:t|tember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?"
+# Unit words that make "3 June 26 Nos" an item row.
+UNITS = "nos|pcs|kgs?|mtrs?|ltrs?|sqft|sets?|boxes|box|pkt|units?|no[.]"
 _GAP = r"(?:[ \t]|[ \t]?-[ \t]?)"
-DATE = rf"(?i)\b[0-9]{{1,2}}{_GAP}(?:{MONTHS})\b{_GAP}(?:[0-9]{{4}}|[0-9]{{2}})\b|\b[0-9]{{1,2}}[/.\-][0-9]{{1,2}}[/.\-](?:[0-9]{{4}}|[0-9]{{2}})\b"
+_ROW = rf"(?![ \t]*\b(?:{UNITS})(?![A-Za-z]))"
+#: A numeric date that goes on from a serial ("SFPL/24-25/0731") is none, nor is a two-digit year before a unit word.
+DATE = rf"(?i)\b[0-9]{{1,2}}{_GAP}(?:{MONTHS})\b{_GAP}(?:[0-9]{{4}}\b|[0-9]{{2}}\b{_ROW})|\b(?<![\p{{L}}\p{{N}}][/\-])[0-9]{{1,2}}[/.\-][0-9]{{1,2}}[/.\-](?:[0-9]{{4}}|[0-9]{{2}})\b"
 _NUMERIC = r"^([0-9]{1,2})[/.\-]([0-9]{1,2})[/.\-]([0-9]+)\z"
 _NAMED = r"(?i)^([0-9]{1,2})[ \t-]+([a-z]{3})[a-z]*[ \t-]+([0-9]+)\z"
 _ORDER = "jan feb mar apr may jun jul aug sep oct nov dec"

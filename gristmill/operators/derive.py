@@ -1,8 +1,8 @@
 """Derivations and completeness: values that follow from values that were read.
 
-Every rule looks at the columns as read, never at another rule's result, so
-rules cannot chain. Items and heads are as in ``validate``, with nulls for what
-was not read.
+Items and heads are as in ``validate``, with nulls for what was not read. The item
+rules are applied in the order gross and taxable, inapplicable heads, only item's
+total: the last one reads what the first two have filled in.
 """
 
 from __future__ import annotations
@@ -54,11 +54,11 @@ def inapplicable_heads(rows: DataFrame, heads: dict[str, list[str]], fields: lis
 
 
 def single_item_total(items: DataFrame, heads: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
-    """TotItemVal of an only item from TotInvVal where the item's own sum agrees with it."""
+    """TotItemVal of an only item: its own sum, where the printed TotInvVal agrees with it."""
     total = heads.select("doc", F.col("TotInvVal").alias("_total"))
     own = F.col("AssAmt") + F.col("CgstAmt") + F.col("SgstAmt") + F.col("IgstAmt") + _zero(F.col("CesAmt"))
     fits = (F.count("*").over(W.partitionBy("doc")) == 1) & (F.abs(own - F.col("_total")) <= tolerance + EPSILON)
-    return items.join(total, "doc", "left").withColumn("TotItemVal", F.coalesce(F.col("TotItemVal"), F.when(fits, F.col("_total")))).drop("_total")
+    return items.join(total, "doc", "left").withColumn("TotItemVal", F.coalesce(F.col("TotItemVal"), F.when(fits, F.round(own, 2)))).drop("_total")
 
 
 def totals_from_item(heads: DataFrame, items: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:

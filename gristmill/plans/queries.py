@@ -331,9 +331,11 @@ def _(s, d):
     return derive.inapplicable_heads(rows, derive.HEADS, derive.ITEM).select("doc", "idx", "CgstAmt", "SgstAmt", "IgstAmt")
 
 
-@query("derive_totitemval", oracle(f"SELECT i.doc, i.idx, {_PAISE('coalesce(i.val, CASE WHEN h.n = 1 AND abs(i.ass + i.cg + i.sg + i.ig - h.total) <= 5 THEN h.total END)', 'TotItemVal')} FROM items i JOIN heads h ON h.doc = i.doc"))
+@query("derive_totitemval", oracle(f"SELECT i.doc, i.idx, {_PAISE('coalesce(i.val, CASE WHEN h.n = 1 AND abs(i.own - h.total) <= 5 THEN i.own END)', 'TotItemVal')} FROM (SELECT *, coalesce(ass, tot - disc) + coalesce(cg, 0) + coalesce(sg, 0) + coalesce(ig, 0) AS own FROM items) i JOIN heads h ON h.doc = i.doc"))
 def _(s, d):
-    return derive.single_item_total(A.items(s, d), A.heads(s, d)).select("doc", "idx", "TotItemVal")
+    heads = A.heads(s, d)
+    rows = derive.gross_and_taxable(A.items(s, d)).join(heads.select("doc", derive.kind().alias("kind")), "doc")
+    return derive.single_item_total(derive.inapplicable_heads(rows, derive.HEADS, derive.ITEM), heads).select("doc", "idx", "TotItemVal")
 
 
 @query("derive_totals", oracle(f"SELECT h.doc, {', '.join(_PAISE(f'coalesce(h.{c}, CASE WHEN h.n = 1 AND abs(i.ass + i.cg + i.sg + i.ig - h.total) <= 5 THEN i.{c} END)', n) for c, n in (('ass', 'AssVal'), ('cg', 'CgstVal'), ('sg', 'SgstVal'), ('ig', 'IgstVal')))} FROM heads h JOIN items i ON i.doc = h.doc AND i.idx = 0"))
