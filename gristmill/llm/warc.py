@@ -1,10 +1,14 @@
 """WARC archives: a writer with revisit records and a salvage reader.
 
 The reader checks every gzip member (CRC and length), every record's version
-line, headers, length and digest. After a failed check it searches for the next
-place where a member or a version line begins, reads on from there and logs the
-bytes between as a quarantined gap. It reads through a sliding window, so its
-memory is one record, not one file.
+line, headers, length and digest. A file may hold plain records and members, and a
+member many records, in any mixture. After a failed check the reader searches for
+the next version line or the next member, whichever comes first, reads on from
+there and logs the bytes between as a quarantined gap. Within a member it
+searches the content, so a bad record costs no other record of its member. Of a
+member that is itself broken or cut short, the records before (and after, where it
+still inflates) the damage are kept if a block digest of their own confirms them. Files and members are read
+through sliding windows, so memory is one record, not one file.
 
 Archives are written by tasks through pyarrow's file systems into the shared
 folder under names that hold the task attempt; only files listed in the
@@ -36,6 +40,7 @@ MAGIC = b"\x1f\x8b\x08"
 VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 STEP = 1 << 18
 FILE_BYTES = 16 << 20
+_SMALL = 1 << 10
 
 
 def digest(payload: bytes) -> str:
@@ -70,16 +75,77 @@ class Tape:
             self.base, self.buf = offset, self.f.read_at(min(max(n, STEP), self.size - offset), offset)
         return self.buf[offset - self.base : offset - self.base + n]
 
-    def find(self, pattern: re.Pattern, start: int) -> int:
-        """Offset of the next match from start on, or the end of the file."""
-        while start < self.size:
+    def find(self, pattern: re.Pattern, start: int, upto: int | None = None) -> int:
+        """Offset of the next match that begins in [start, upto), or upto (the end of the file)."""
+        upto = self.size if upto is None else upto
+        while start < upto:
             got = self.at(start, STEP)
             if m := pattern.search(got):
-                return start + m.start()
+                return min(start + m.start(), upto)
             if start + len(got) >= self.size:
                 break
             start += max(1, len(got) - 16)
-        return self.size
+        return upto
+
+
+class Member(Tape):
+    """A window that moves forward over the content of the gzip member at ``start``.
+
+    ``end`` is the file's offset behind the member, or behind what could be inflated
+    of it; then ``problem`` names the failed check.
+    """
+
+    def __init__(self, file: Tape, start: int):
+        self.file, self.start, self.base, self.step = file, start, 0, STEP
+        for self.step in (STEP, _SMALL):  # an error loses the output of a whole step, so a damaged member is read in small ones
+            self.problem, self.size, held = "", 0, []
+            for piece in self._inflated():
+                self.size += len(piece)
+                if self.size <= STEP:
+                    held.append(piece)
+            if not self.problem:
+                break
+        short = self.size <= STEP
+        self.buf, self.rest = b"".join(held) if short else b"", iter(()) if short else self._inflated()
+
+    def _inflated(self) -> Iterator[bytes]:
+        z, self.end = zlib.decompressobj(31), self.start
+        while not z.eof:
+            chunk = self.file.at(self.end, self.step)
+            if not chunk:
+                self.problem = "truncated member"
+                return
+            spare, tail = z.copy() if self.step == _SMALL else None, chunk
+            try:
+                while tail and not z.eof:
+                    yield z.decompress(tail, 0 if spare else STEP)
+                    tail = z.unconsumed_tail
+            except zlib.error as e:
+                self.problem = str(e)
+                if spare:
+                    yield from self._bytewise(spare, chunk)
+                return
+            self.end += len(chunk) - len(z.unused_data)
+
+    def _bytewise(self, z, chunk: bytes) -> Iterator[bytes]:
+        """What comes before the damage in the chunk."""
+        for k in range(len(chunk)):
+            try:
+                yield z.decompress(chunk[k : k + 1])
+            except zlib.error:
+                return
+            self.end += 1
+
+    def at(self, offset: int, n: int) -> bytes:
+        parts, have = [self.buf], self.base + len(self.buf)
+        while have < min(offset + n, self.size):
+            parts.append(next(self.rest))
+            have += len(parts[-1])
+        if len(parts) > 1:
+            self.buf = b"".join(parts)
+            drop = min(offset - self.base, len(self.buf))
+            self.base, self.buf = self.base + drop, self.buf[drop:]
+        return self.buf[offset - self.base : offset - self.base + n]
 
 
 def parse(data: bytes) -> tuple[dict[str, str], bytes, int]:
@@ -107,70 +173,93 @@ def parse(data: bytes) -> tuple[dict[str, str], bytes, int]:
     return head, block, stop + 4
 
 
-def member(tape: Tape, offset: int) -> tuple[bytes, int]:
-    """(content, end offset) of the gzip member at offset."""
-    z, out = zlib.decompressobj(31), []
-    while not z.eof:
-        chunk = tape.at(offset, STEP)
-        if not chunk:
-            raise ValueError("truncated member")
-        try:
-            out.append(z.decompress(chunk))
-        except zlib.error as e:
-            raise ValueError(str(e)) from None
-        offset += len(chunk) - len(z.unused_data)
-    return b"".join(out), offset
+_GZIP = re.compile(re.escape(MAGIC))
+_LENGTH = re.compile(rb"(?i)\r\ncontent-length:\s*(\d+)\r\n")
+_FIRST = 1 << 14
 
 
-_GZIP = re.compile(re.escape(MAGIC))
+def record_at(tape: Tape, i: int) -> tuple[dict[str, str], bytes, int]:
+    """``parse`` of the record at i, of as many bytes as it says it has."""
+    n = _FIRST
+    while True:
+        data = tape.at(i, n)
+        try:
+            return parse(data)
+        except ValueError as e:
+            end = data.find(b"\r\n\r\n")
+            said = _LENGTH.search(data[: end + 2]) if end >= 0 else None
+            most = end + 8 + int(said[1]) if said else STEP
+            if str(e) not in ("headers", "record end") or not n < most <= max(tape.size - i, STEP) or len(data) < n:
+                raise
+            n = most
+
+
+def content(m: Member) -> Iterator[tuple]:
+    """("record", start, end, headers, block) and ("gap", start, end, failed check) of a member, in offsets of its content."""
+    i, lost, reason = 0, None, ""
+    while i < m.size:
+        try:
+            head, block, used = record_at(m, i)
+            if m.problem and not head.get("warc-block-digest", "").startswith("sha1:"):
+                raise ValueError(m.problem)
+        except ValueError as e:
+            if lost is None:
+                lost, reason = i, str(e)
+            i = m.find(VERSION, i + 1)
+            continue
+        if lost is not None:
+            yield "gap", lost, i, reason
+            lost = None
+        yield "record", i, i + used, head, block
+        i += used
+    if lost is not None:
+        yield "gap", lost, m.size, reason
 
 
 def salvage(f, size: int) -> Iterator[tuple]:
-    """("record", start, end, headers, block) and ("gap", start, end, failed check) in file order."""
+    """("record", start, end, headers, block) and ("gap", start, end, failed check, place) in file order.
+
+    A member's records have the member's place in the file. ``place`` is None, or
+    the gap's (start, end) in the content of a member that holds records too.
+    """
     tape, i = Tape(f, size), 0
     lost, reason = None, ""  # start of the gap that is open, and why
 
     def gap(until: int) -> Iterator[tuple]:
         nonlocal lost
         if lost is not None and lost < until:
-            yield "gap", lost, until, reason
+            yield "gap", lost, until, reason, None
         lost = None
 
-    packed = tape.at(0, 3) == MAGIC or (not VERSION.match(tape.at(0, 16)) and tape.find(_GZIP, 0) < tape.find(VERSION, 0))
     while i < size:
+        after = i + 1  # a version line is sought from here
         try:
-            if packed:
-                if tape.at(i, 3) != MAGIC:
-                    raise ValueError("member magic")
-                content, end = member(tape, i)
-                found, at = [], 0
-                while at < len(content):
-                    head, block, used = parse(content[at:] if at else content)
-                    found.append((head, block))
-                    at += used
+            if tape.at(i, 3) == MAGIC:
+                m, some, early = Member(tape, i), False, []
+                after = max(after, m.end)
+                for what, a, z, *rest in content(m):
+                    if what == "record" and not some:
+                        some = True
+                        yield from gap(i)
+                        yield from early
+                    if what == "record":
+                        yield "record", i, m.end, *rest
+                    else:
+                        early = [("gap", i, m.end, *rest, (a, z))]
+                        if some:
+                            yield from early
+                if m.problem or not some:
+                    raise ValueError(m.problem or "no record in the member")
+                i = m.end
             else:
-                n = STEP
-                while True:
-                    data = tape.at(i, n)
-                    try:
-                        head, block, used = parse(data)
-                        break
-                    except ValueError as e:
-                        want = re.search(rb"(?i)\r\ncontent-length:\s*(\d+)\r\n", data[: data.find(b"\r\n\r\n") + 2])
-                        most = data.find(b"\r\n\r\n") + 8 + int(want[1]) if want else 0
-                        if str(e) == "record end" and len(data) < most <= size - i:
-                            n = most
-                        else:
-                            raise
-                found, end = [(head, block)], i + used
-            yield from gap(i)
-            for head, block in found:
-                yield "record", i, end, head, block
-            i = end
+                head, block, used = record_at(tape, i)
+                yield from gap(i)
+                yield "record", i, i + used, head, block
+                i += used
         except ValueError as e:
             if lost is None:
                 lost, reason = i, str(e)
-            i = tape.find(_GZIP if packed else VERSION, i + 1)
+            i = tape.find(VERSION, after, tape.find(_GZIP, i + 1))
     yield from gap(size)
 
 
@@ -206,11 +295,14 @@ def write_archives(rows: DataFrame, folder: str) -> DataFrame:
     return rows.select("page_id", "url", "html", "record_type", "refers_to").mapInArrow(task, "path string, records long")
 
 
-_READ = "path string, start long, stop long, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, problem string"
+_READ = "path string, start long, stop long, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, problem string, gap_start long, gap_stop long"
 
 
 def read_archives(manifest: DataFrame, folder: str) -> DataFrame:
-    """A row for every record; gaps have a ``problem`` and no record_type."""
+    """A row for every record; gaps have a ``problem`` and no record_type.
+
+    gap_start and gap_stop are offsets in the content of a member, null outside members.
+    """
     names = [x.split()[0] for x in _READ.split(", ")]
     kinds = {"string": pa.string(), "long": pa.int64()}
     schema = pa.schema([(x.split()[0], kinds[x.split()[1]]) for x in _READ.split(", ")])
@@ -227,12 +319,12 @@ def read_archives(manifest: DataFrame, folder: str) -> DataFrame:
                 with fs.open_input_file(path) as f:
                     for what, start, end, head, *block in salvage(f, f.size()):
                         if what == "gap":
-                            rows.append((path, start, end, None, None, None, None, None, head))
+                            rows.append((path, start, end, None, None, None, None, None, head, *(block[0] or (None, None))))
                             continue
                         kind = head.get("warc-type", "")
                         payload = block[0]
                         full = kind != "revisit"
-                        rows.append((path, start, end, number(head.get("warc-record-id", "")), len(payload) if full else int(head.get("x-payload-length", 0)), digest(payload) if full else head.get("warc-payload-digest", "")[5:], kind, number(head.get("warc-refers-to", "")), None))
+                        rows.append((path, start, end, number(head.get("warc-record-id", "")), len(payload) if full else int(head.get("x-payload-length", 0)), digest(payload) if full else head.get("warc-payload-digest", "")[5:], kind, number(head.get("warc-refers-to", "")), None, None, None))
                         if len(rows) >= 2000:
                             yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows], schema=schema)
                             rows = []

@@ -224,6 +224,38 @@ def test_warc_salvage(packed):
     assert gaps == [(at, at + len(parts[2]) + 40), (len(data) - len(parts[5]), len(cut))]
 
 
+def _salvaged(data: bytes):
+    out = list(warc.salvage(_File(data), len(data)))
+    return [int(x[3]["warc-record-id"][10:-1]) for x in out if x[0] == "record"], [x[1:] for x in out if x[0] == "gap"]
+
+
+def test_warc_salvage_within_members(spark):
+    each = [warc.record("response", i, "http://x/", random.Random(i).randbytes(3000)) for i in range(8)]
+    bad = bytearray(each[1])
+    bad[-100] ^= 0xFF
+    member = gzip.compress(each[0] + bytes(bad) + each[2])
+    # a member with a bad record, a plain record, a member of two, plain junk, a member
+    data = member + each[3] + gzip.compress(each[4] + each[5]) + b"junk" + gzip.compress(each[6])
+    ids, gaps = _salvaged(data)
+    assert ids == [0, 2, 3, 4, 5, 6]
+    at = data.index(b"junk")
+    assert gaps == [(0, len(member), "digest", (len(each[0]), len(each[0]) + len(each[1]))), (at, at + 4, "version line", None)]
+    # one member a file: cut short, and with a broken checksum
+    whole = gzip.compress(b"".join(each))
+    ids, gaps = _salvaged(whole[: len(whole) * 6 // 8])
+    assert ids == [0, 1, 2, 3, 4] and [g[:3] for g in gaps][-1] == (0, len(whole) * 6 // 8, "truncated member")
+    ids, gaps = _salvaged(whole[:-8] + b"\0\0\0\0" + whole[-4:] + each[0])
+    assert ids == [*range(8), 0] and len(gaps) == 1
+    # records that only the broken member vouches for are quarantined
+    plain = [re.sub(rb"WARC-Block-Digest: [^\r]*\r\n", b"", x) for x in each]
+    assert _salvaged(gzip.compress(b"".join(plain)))[0] == list(range(8))
+    assert _salvaged(gzip.compress(b"".join(plain))[:-3])[0] == []
+    # large records and members, longer than every window
+    big = [warc.record("response", i, "u", random.Random(i).randbytes(700_000)) for i in range(3)]
+    assert _salvaged(gzip.compress(b"".join(big), 1))[0] == [0, 1, 2] and _salvaged(b"".join(big))[0] == [0, 1, 2]
+    assert _salvaged(b"") == ([], []) and _salvaged(b"\x1f\x8b\x08") == ([], [(0, 3, "truncated member", None)])
+
+
 def test_passages(spark):
     rng = random.Random(5)
     words = lambda n: [f"v{rng.randrange(3000)}" for _ in range(n)]
