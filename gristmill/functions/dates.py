@@ -34,8 +34,11 @@ def normalise(printed: Column) -> Column:
     return F.concat_ws("/", two(d), two(m), F.lpad(y.cast("string"), 4, "0"))
 
 
+def in_calendar(day: Column, month: Column, year: Column) -> Column:
+    return F.try_to_date(F.format_string("%04d-%02d-%02d", year, month, day), "yyyy-MM-dd").isNotNull()
+
+
 def real(printed: Column) -> Column:
     """Whether the calendar has it: as read for month names, in either order for numbers."""
     d, m, y, named = parts(printed)
-    has = lambda a, b: F.try_to_date(F.format_string("%04d-%02d-%02d", y, b, a), "yyyy-MM-dd").isNotNull()
-    return has(d, m) | (~named & has(m, d))
+    return in_calendar(d, m, y) | (~named & in_calendar(m, d, y))

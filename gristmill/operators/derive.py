@@ -53,6 +53,11 @@ def inapplicable_heads(rows: DataFrame, heads: dict[str, list[str]], fields: lis
     return rows.withColumns(new)
 
 
+def total_heads(heads: DataFrame) -> DataFrame:
+    """0 for the totals of tax heads that the supply cannot have, where another total was read."""
+    return inapplicable_heads(heads.withColumn("kind", kind()), HEAD_TOTALS, TOTALS).drop("kind")
+
+
 def single_item_total(items: DataFrame, heads: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
     """TotItemVal of an only item: its own sum, where the printed TotInvVal agrees with it."""
     total = heads.select("doc", F.col("TotInvVal").alias("_total"))
@@ -72,6 +77,16 @@ def totals_from_item(heads: DataFrame, items: DataFrame, tolerance: float = TOLE
     return both.withColumns({t: F.when(agrees, filled[t]).otherwise(F.col(t)) for t, _ in PAIRS}).drop("_n", *[f"_{i}" for _, i in PAIRS])
 
 
+def assumed_pos(heads: DataFrame, complete: Column) -> DataFrame:
+    """Pos and its source: the buyer's state code, assumed where nothing mandatory is missing."""
+    return heads.withColumn("Pos", F.when(complete, F.col("buyer_stcd"))).withColumn("pos_source", F.when(F.col("Pos").isNotNull(), "assumed"))
+
+
+def optional_defaults(rows: DataFrame, fields: list[str]) -> DataFrame:
+    """Optional amounts that were not read are the schema's default, 0."""
+    return rows.withColumns({f: _zero(F.col(f)) for f in fields})
+
+
 def missing(prefix: Column | str, fields: list[str]) -> Column:
     """Array of the paths among fields that are null or blank, in order."""
     blank = lambda f: F.coalesce(F.trim(F.col(f).cast("string")), F.lit("")) == ""

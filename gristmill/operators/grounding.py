@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import numbers
@@ -43,10 +44,16 @@ def ground_string(value: Column, text: Column) -> Column:
     return F.when(value.isNull(), "missing").when(short & (v != "") & standalone(value, t), "kept_short").when(~short & t.contains(v), "kept").otherwise("ungrounded")
 
 
+def only_within(value: Column, remaining: Column) -> Column:
+    """Whether a kept digit field is no token of its own in the remaining text, so that its place is a guess.
+
+    For an HSN code that is a note (info), for a PIN a warning.
+    """
+    return value.isNotNull() & ~F.coalesce(standalone(value, normalise(remaining)), F.lit(False))
+
+
 def reindexed(raw: DataFrame, key: str) -> DataFrame:
     """(key, idx, item) of a JSON array's object members, idx contiguous from 0."""
     rows = raw.select(key, F.posexplode(F.from_json("items", "array<string>")).alias("p", "item"))
-    from pyspark.sql import Window as W
-
     rows = rows.filter(F.ltrim("item").startswith("{"))
     return rows.select(key, (F.row_number().over(W.partitionBy(key).orderBy("p")) - 1).alias("idx"), "item")

@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import dates, gstin
-from .spans import matches
+from .spans import lines, matches
 
 # Patterns, windows and label words.
 GSTIN = r"\b[0-9]{2}[A-Z]{5}[0-9]{4}[A-Z][0-9A-Z]Z[0-9A-Z]\b"
@@ -26,6 +26,11 @@ RANKS = ["tax", "invoice", "inv", "bill"]
 DATE_TIERS = [r"(?i)\binvoice[ \t]+(?:date|dt)\b", r"(?i)\bdated\b", r"(?i)\b(?:date|dt)\b"]
 DATE_WINDOW = 40
 HSN_LABEL = r"(?i)\b(?:HSN|SAC)\b"
+HSN_WINDOW = 40
+# Words that name a money or quantity column.
+MONEY_COLUMNS = ["amount", "amt", "price", "qty", "quantity", "rate", "total", "val", "value"]
+# 4, 6 or 8 digits that are no part of a word, an amount or a serial.
+HSN_CODE = r"(?<![\p{L}0-9])(?<![0-9][/\-.,])(?:[0-9]{8}|[0-9]{6}|[0-9]{4})(?![0-9\p{L}])(?![./\-][0-9])(?!,[0-9]{2,3}(?![0-9]))"
 
 
 def gstins(docs: DataFrame) -> DataFrame:
@@ -114,9 +119,71 @@ def select_date(found: DataFrame, labelled: DataFrame) -> DataFrame:
     return first.join(lab, "doc", "left").select("doc", F.coalesce("l.value", "first").alias("value"), F.col("l.tier").alias("tier"))
 
 
-def hsn_codes(docs: DataFrame) -> DataFrame:
-    """(doc, start, code): runs of 4, 6 or 8 digits that follow a label on its line within 40 code points."""
-    lab = matches(docs, ["doc"], "text", HSN_LABEL).join(docs, "doc")
-    rest = F.element_at(F.split(F.substr(F.col("text"), F.col("end") + 1, F.lit(60)), "[\r\n]", 2), 1)
-    code = F.regexp_extract(rest, r"^[^0-9A-Za-z]{0,40}([0-9]{8}|[0-9]{6}|[0-9]{4})(?![0-9A-Za-z]|[.][0-9]|,[0-9]{2,3}(?![0-9])|[/\-][0-9])", 1)
-    return lab.select("doc", "start", code.alias("code")).filter("code != ''")
+def date_order(found: DataFrame, labelled: DataFrame) -> DataFrame:
+    """(doc, token, note) of the selected date.
+
+    note: no_day or no_month (a component that cannot be one), impossible (not in the
+    calendar), ambiguous (two readings and no other date settles it),
+    maybe_month_first (another date can only be month first), or null.
+    """
+    first = found.groupBy("doc").agg(F.min("start").alias("_first"))
+    lab = labelled.groupBy("doc").agg(F.min_by("start", F.struct("tier", "start")).alias("_lab"))
+    at = first.join(lab, "doc", "left").select("doc", F.coalesce("_lab", "_first").alias("_at"))
+    n1, n2, year, named = dates.parts(F.col("token"))
+    rows = found.join(at, "doc").select("doc", "start", "_at", "token", n1.alias("n1"), n2.alias("n2"), year.alias("year"), named.alias("named"))
+    other = (F.col("start") != F.col("_at")) & ~F.col("named")
+    own = F.max(F.when(F.col("start") == F.col("_at"), F.struct("token", "n1", "n2", "year", "named"))).alias("d")
+    both = rows.groupBy("doc").agg(own, F.bool_or(other & (F.col("n1") > 12)).alias("day"), F.bool_or(other & (F.col("n1") <= 12) & (F.col("n2") > 12)).alias("month"))
+    d = F.col("d")
+    note = (
+        F.when(~d.named & ~d.n1.between(1, 31), "no_day")
+        .when(~d.named & ~d.n2.between(1, 12), "no_month")
+        .when(~dates.in_calendar(d.n1, d.n2, d.year), "impossible")
+        .when(d.named | (d.n1 > 12) | (d.n1 == d.n2) | F.col("day"), None)
+        .when(F.col("month"), "maybe_month_first")
+        .otherwise("ambiguous")
+    )
+    return both.select("doc", d.token.alias("token"), note.alias("note"))
+
+
+def _between(space: str) -> str:
+    """What may stand between two codes of a list: punctuation, and no letter; spaces alone are a column gap."""
+    return rf"(?={space}*[^0-9\p{{L}}\s])[^0-9\p{{L}}\n]+"
+
+
+def hsn_spans(docs: DataFrame, claimed: DataFrame | None = None) -> DataFrame:
+    """(doc, label_start, label_end, start, end, code) of every code that a label names.
+
+    In front of a label stand codes joined to it and to each other by punctuation,
+    unless a money column's word names the nearest. Behind it the first number
+    within 40 code points counts, on its line or as the first cell of the next one if
+    the label opens its own, and further ones as in front. Dates and the spans
+    ``claimed`` (doc, start, end) hold no codes.
+    """
+    rows = lines(docs, "doc", "text").withColumn("next", F.lead("content").over(W.partitionBy("doc").orderBy("line")))
+    rows = rows.filter(F.col("content").rlike(HSN_LABEL)).select("doc", "line", F.col("start").alias("at"), "content", "next")
+    lab = matches(rows, ["doc", "line"], "content", HSN_LABEL).join(rows, ["doc", "line"])
+    left, sep = F.substr("content", F.lit(1), F.col("start")), _between(r"[^\S\n]")
+    money = rf"(?i)(?:^|[^A-Za-z])(?:{'|'.join(MONEY_COLUMNS)})[ \t]*\n?\z"
+    chain = F.regexp_extract(left, rf"((?:[0-9]+{sep})+)\z", 1)
+    before = F.substr(left, F.lit(1), F.length(left) - F.length(chain))
+    behind = (chain != "") & ~((F.regexp_count(chain, F.lit("[0-9]+")) == 1) & before.rlike(money))
+    tail = F.concat(F.substr("content", F.col("end") + 1), F.coalesce(F.concat(F.lit("\n"), "next"), F.lit("")))
+    forward = rf"^([^0-9]{{0,{HSN_WINDOW}}})([0-9]+(?:{sep}[0-9]+)*)"
+    gap, run = F.regexp_extract(tail, forward, 1), F.regexp_extract(tail, forward, 2)
+    below = gap.contains("\n")
+    ahead = (run != "") & ~gap.rlike(money) & (~below | (gap.rlike(r"\n\s*\z") & left.rlike(r"^\s*\z")))
+    a = F.col("at") + F.col("end") + F.length(gap)
+    runs = F.array(F.when(behind, F.struct((F.col("at") + F.length(before)).alias("a"), (F.col("at") + F.col("start")).alias("z"))), F.when(ahead, F.struct(a.alias("a"), (a + F.length(run)).alias("z"))))
+    lab = lab.select("doc", (F.col("at") + F.col("start")).alias("label_start"), (F.col("at") + F.col("end")).alias("label_end"), F.explode(F.array_compact(runs)).alias("r"))
+    codes = matches(docs, ["doc"], "text", HSN_CODE).select("doc", "start", "end", F.col("token").alias("code"))
+    for other in filter(None, (matches(docs, ["doc"], "text", dates.DATE), claimed)):
+        o = other.select("doc", F.col("start").alias("_s"), F.col("end").alias("_e"))
+        codes = codes.alias("c").join(o.alias("o"), (F.col("c.doc") == F.col("o.doc")) & (F.col("_s") < F.col("end")) & (F.col("start") < F.col("_e")), "left_anti")
+    within = (F.col("start") >= F.col("r.a")) & (F.col("end") <= F.col("r.z"))
+    return lab.join(codes, "doc").filter(within).select("doc", "label_start", "label_end", "start", "end", "code")
+
+
+def hsn_codes(docs: DataFrame, claimed: DataFrame | None = None) -> DataFrame:
+    """(doc, start, code): each code once, where it first stands."""
+    return hsn_spans(docs, claimed).groupBy("doc", "code").agg(F.min("start").alias("start")).select("doc", "start", "code")

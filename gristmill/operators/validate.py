@@ -78,6 +78,28 @@ def validity(heads: DataFrame, warnings: DataFrame) -> DataFrame:
     return heads.select("doc").join(n, "doc", "left").select("doc", (F.coalesce("bad", F.lit(0)) == 0).alias("valid"), F.coalesce("n", F.lit(0)).alias("warnings"))
 
 
+# Formulas and check names as messages print them.
+FORMULAS = [" + ".join(ITEM_TERMS), " + ".join(TOTAL_TERMS)]
+CHECKS = ["validate_item_total", "validate_invoice_total", "validate_val_dtls_sums", "validate_tax_split"]
+
+
+def _significant(x: Column, digits: int = 10) -> Column:
+    """A number of at least 0 with so many significant digits, without zeros behind the last one."""
+    places = [F.when(x < 10**k, F.format_string(f"%.{digits - k}f", x)) for k in range(1, digits)]
+    return F.regexp_replace(F.coalesce(*places, F.format_string("%.0f", x)), r"(\.[0-9]*?)0+$", "$1")
+
+
+def messages(warnings: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
+    """With ``check`` and, for the sums (ranks 0 to 2), ``message``."""
+    leaf = F.element_at(F.split("field", r"\."), -1)
+    pair = F.create_map(*[F.lit(x) for t, i in PAIRS for x in (t, f"sum of ItemList[].{i}")])
+    formula = F.when(F.col("check_rank") == 0, FORMULAS[0]).when(F.col("check_rank") == 1, FORMULAS[1]).when(F.col("check_rank") == 2, pair[leaf])
+    two = lambda c: F.format_string("%.2f", F.col(c))
+    delta = F.regexp_replace(_significant(F.round(F.abs(F.col("actual") - F.col("expected")), 8)), r"\.$", "")
+    text = F.concat(leaf, F.lit(" is "), two("actual"), F.lit(" but "), formula, F.lit(" = "), two("expected"), F.lit(" (delta "), delta, F.lit(f" exceeds tolerance {tolerance:.10g})"))
+    return warnings.withColumn("check", F.element_at(F.array(*map(F.lit, CHECKS)), F.col("check_rank") + 1)).withColumn("message", text)
+
+
 #: The keys that each block of the payload may have.
 ALLOWED = {
     "$": ["Version", "TranDtls", "DocDtls", "SellerDtls", "BuyerDtls", "ItemList", "ValDtls"],

@@ -274,6 +274,25 @@ def _(s, d):
     return rules.hsn_codes(A.texts(s, d)).select("doc", "code")
 
 
+_ORDER = "SELECT doc, extract('day' FROM dt) AS d, extract('month' FROM dt) AS m FROM heads"
+
+
+@query("date_ambiguity", oracle(f"SELECT doc, CASE WHEN doc % 7 IN (4, 5) OR d = m THEN NULL WHEN d > 12 THEN CASE WHEN doc % 7 = 6 THEN 'no_month' END ELSE 'ambiguous' END AS note FROM ({_ORDER})"))
+def _(s, d):
+    t = A.texts(s, d)
+    found = rules.date_candidates(t)
+    return rules.date_order(found, rules.labelled_dates(t, found)).select("doc", "note")
+
+
+_C6 = "lpad(CAST(p_partkey % 1000000 AS VARCHAR(9)), 6, '0')"
+_HSN_LAYOUT = f"CASE p_partkey % 8 WHEN 0 THEN 'HSN/SAC Code : ' || {_C6} || ', 998313, 8471' WHEN 1 THEN 'HSN/SAC Code' || chr(10) || {_C6} || chr(10) WHEN 2 THEN {_C6} || ' - HSN of cloth' WHEN 3 THEN 'Mumbai ' || {_C6} || ' HSN 998313' WHEN 4 THEN 'SAC ' || {_C6} || ' 1 5000 5000' WHEN 5 THEN 'Amount ' || {_C6} || ': HSN 2026-27/0042' WHEN 6 THEN 'Rate HSN' || chr(10) || {_C6} ELSE 'Date 25 Apr 2026, HSN ' || {_C6} || ' / 998313 HSN ' || {_C6} END"
+
+
+@query("hsn_layouts", f"SELECT doc, unnest(CASE doc % 8 WHEN 0 THEN [c, '998313', '8471'] WHEN 3 THEN ['998313'] WHEN 5 THEN [] WHEN 6 THEN [] WHEN 7 THEN [c, '998313'] ELSE [c] END) AS code FROM (SELECT p_partkey AS doc, {_C6} AS c FROM part)")
+def _(s, d):
+    return rules.hsn_codes(_read(s, d, "part").selectExpr("p_partkey AS doc", f"{_HSN_LAYOUT} AS text")).select("doc", "code")
+
+
 # grounding
 
 
@@ -310,6 +329,19 @@ def _(s, d):
     return A.heads(s, d).select("doc", F.expr("stack(5, 'AssVal', AssVal, 'CgstVal', CgstVal, 'SgstVal', SgstVal, 'IgstVal', IgstVal, 'TotInvVal', TotInvVal)").alias("field", "value"))
 
 
+@query("hsn_assignment_note", oracle("SELECT doc, doc % 3 <> 0 AS note FROM heads"))
+def _(s, d):
+    row = F.expr("CASE doc % 3 WHEN 0 THEN 'Cloth 5208 10 Mtr' WHEN 1 THEN 'Bengaluru 520800' ELSE 'Cloth  10 Mtr' END")
+    return A.heads(s, d).select("doc", grounding.only_within(F.lit("5208"), row).alias("note"))
+
+
+@query("pin_substring_note", oracle("SELECT doc, pin, doc % 4 IN (1, 2) AS note FROM (SELECT doc, CASE WHEN doc % 4 < 3 THEN '110001' END AS pin FROM heads)"))
+def _(s, d):
+    text = F.expr("CASE doc % 4 WHEN 0 THEN 'Delhi - 110001' WHEN 1 THEN 'A/c 1100015678' ELSE '' END")
+    pin = F.expr("CASE WHEN doc % 4 < 3 THEN '110001' END")
+    return A.heads(s, d).select("doc", pin.alias("pin"), grounding.only_within(pin, text).alias("note"))
+
+
 # derivations
 
 _PAISE = lambda c, name: f"CAST({c} AS DOUBLE) / 100.0 AS {name}"
@@ -331,6 +363,24 @@ def _(s, d):
     return derive.inapplicable_heads(rows, derive.HEADS, derive.ITEM).select("doc", "idx", "CgstAmt", "SgstAmt", "IgstAmt")
 
 
+@query("derive_total_heads", oracle("SELECT doc, CASE WHEN k = 10 THEN NULL ELSE ass / 100.0 END AS AssVal, CASE WHEN sstate = bstate THEN CASE WHEN doc % 2 = 0 THEN cg / 100.0 END ELSE CASE WHEN doc % 2 = 0 THEN cg / 100.0 ELSE 0.0 END END AS CgstVal, CASE WHEN doc % 3 = 0 THEN ig / 100.0 WHEN sstate = bstate THEN 0.0 END AS IgstVal FROM (SELECT doc, k, ass, coalesce(cg, CASE WHEN sstate <> bstate THEN 0 END) AS cg, coalesce(ig, CASE WHEN sstate = bstate THEN 0 END) AS ig, sstate, bstate FROM heads)"))
+def _(s, d):
+    h = A.heads(s, d).withColumn("CgstVal", F.when(F.col("doc") % 2 == 0, F.col("CgstVal"))).withColumn("IgstVal", F.when(F.col("doc") % 3 == 0, F.col("IgstVal"))).withColumn("AssVal", F.when(F.col("k") != 10, F.col("AssVal")))
+    return derive.total_heads(h).select("doc", "AssVal", "CgstVal", "IgstVal")
+
+
+@query("assume_pos", oracle("SELECT doc, CASE WHEN k <> 9 THEN bstate END AS Pos, CASE WHEN k <> 9 THEN 'assumed' END AS pos_source FROM heads"))
+def _(s, d):
+    complete = F.size(derive.missing("ValDtls.", derive.TOTALS)) == 0
+    return derive.assumed_pos(A.heads(s, d).drop("pos"), complete).select("doc", "Pos", "pos_source")
+
+
+@query("optional_defaults", oracle("SELECT doc, CASE WHEN k % 2 = 0 THEN 0.25 ELSE 0.0 END AS RndOffAmt, 0.0 AS CesVal FROM heads"))
+def _(s, d):
+    h = A.heads(s, d).withColumn("RndOffAmt", F.when(F.col("k") % 2 == 0, 0.25)).withColumn("CesVal", F.lit(None).cast("double"))
+    return derive.optional_defaults(h, ["RndOffAmt", "CesVal"]).select("doc", "RndOffAmt", "CesVal")
+
+
 @query("derive_totitemval", oracle(f"SELECT i.doc, i.idx, {_PAISE('coalesce(i.val, CASE WHEN h.n = 1 AND abs(i.own - h.total) <= 5 THEN i.own END)', 'TotItemVal')} FROM (SELECT *, coalesce(ass, tot - disc) + coalesce(cg, 0) + coalesce(sg, 0) + coalesce(ig, 0) AS own FROM items) i JOIN heads h ON h.doc = i.doc"))
 def _(s, d):
     heads = A.heads(s, d)
@@ -399,6 +449,16 @@ def _(s, d):
     return validate.tax_split(A.heads(s, d), A.items(s, d)).select("doc", "field", "severity")
 
 
+_FORMULA = "CASE rank WHEN 0 THEN 'AssAmt + CgstAmt + SgstAmt + IgstAmt + CesAmt + StateCesAmt + OthChrg' WHEN 1 THEN 'AssVal + CgstVal + SgstVal + IgstVal + CesVal + StCesVal + RndOffAmt' END"
+_SAID = f"SELECT doc, 0 AS rank, 'TotItemVal' AS leaf, 'ItemList[' || CAST(idx AS VARCHAR) || '].TotItemVal' AS field, val AS a, ass + cg + sg + ig AS e FROM items UNION ALL SELECT doc, 1, 'TotInvVal', 'ValDtls.TotInvVal', total, ass + cg + sg + ig FROM heads"
+
+
+@query("validator_messages", oracle(f"SELECT doc, field, CASE rank WHEN 0 THEN 'validate_item_total' ELSE 'validate_invoice_total' END AS \"check\", leaf || ' is ' || printf('%.2f', a / 100.0) || ' but ' || {_FORMULA} || ' = ' || printf('%.2f', e / 100.0) || ' (delta ' || rtrim(rtrim(printf('%.2f', abs(a - e) / 100.0), '0'), '.') || ' exceeds tolerance 0.05)' AS message FROM ({_SAID}) WHERE abs(a - e) > 5"))
+def _(s, d):
+    w = validate.item_total(A.items(s, d)).unionByName(validate.invoice_total(A.heads(s, d)))
+    return validate.messages(w).select("doc", "field", "check", "message")
+
+
 @query("validate_invoice", oracle("SELECT doc, CAST(rank AS INTEGER) AS check_rank, field, severity FROM ck", _CHECKS))
 def validate_invoice(s, d):
     return validate.all_checks(A.heads(s, d), A.items(s, d)).select("doc", "check_rank", "field", "severity")
