@@ -89,18 +89,17 @@ def _(s, d):
 
 # pages and detectors
 
-_PAGE = "substr(text, CAST(1 + 12 * (doc % 2) AS INT), CAST(60 + doc % 120 AS INT))"
-
-
 @query("scan_extension_filter", "SELECT page_id, lower(regexp_extract(url || e, '(\\.[^./]*)$', 1)) IN ('.pdf', '.png', '.jpg', '.jpeg', '.tif', '.tiff', '.bmp') AS accepted FROM (SELECT page_id, url, CASE page_id % 4 WHEN 0 THEN '/a.PDF' WHEN 1 THEN '/b.txt' WHEN 2 THEN '/c.jpeg' ELSE '/pdf' END AS e FROM pages)")
 def _(s, d):
     path = F.concat("url", F.expr("CASE page_id % 4 WHEN 0 THEN '/a.PDF' WHEN 1 THEN '/b.txt' WHEN 2 THEN '/c.jpeg' ELSE '/pdf' END"))
     return _read(s, d, "pages").select("page_id", pages.accepted(path).alias("accepted"))
 
 
-@query("route_page", oracle(f"SELECT doc, CASE WHEN length(trim(p, ' ' || chr(10))) >= 100 AND regexp_matches(p, '(?i)\\b(?:GSTIN|HSN|SGST|CGST|IGST|TAX\\s+INVOICE)\\b') THEN 'native' ELSE 'ocr_required' END AS method FROM (SELECT doc, {_PAGE} AS p FROM texts)"))
+@query("route_page", oracle("SELECT doc, CAST(i - 1 AS INTEGER) AS page, CASE WHEN length(trim(p[i], ' ' || chr(10))) >= 100 AND regexp_matches(p[i], '(?i)\\b(?:GSTIN|HSN|SGST|CGST|IGST|TAX\\s+INVOICE)\\b') THEN 'native' ELSE 'ocr_required' END AS method FROM (SELECT doc, p, unnest(generate_series(1, len(p))) AS i FROM (SELECT doc, [text, regexp_replace(text, '[A-Za-z]', 'q', 'g')] || string_split(text, chr(10)) AS p FROM texts))"))
 def _(s, d):
-    return A.table(s, d, f"SELECT doc, {_PAGE} AS p FROM texts").select("doc", pages.route(F.col("p")).alias("method"))
+    whole = F.array("text", F.regexp_replace("text", "[A-Za-z]", "q"))
+    p = A.texts(s, d).select("doc", F.posexplode(F.concat(whole, F.split("text", "\n"))).alias("page", "p"))
+    return p.select("doc", "page", pages.route(F.col("p")).alias("method"))
 
 
 @query("detect_export", oracle("SELECT doc, CASE k WHEN 0 THEN 'Supply meant for export' ELSE 'SEZ unit' END AS phrase, CASE k WHEN 0 THEN 'EXPWOP' ELSE 'SEZWP' END AS likely FROM heads WHERE k IN (0, 2)"))
