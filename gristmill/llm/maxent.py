@@ -46,7 +46,7 @@ FREQUENT = 1 << 17
 BEGIN = HEAD * WIDTH + TAIL
 CONTEXTS = BEGIN + 1
 SKIPS = 4
-ROWS, INNER = 1 << 13, 1 << 14
+ROWS, INNER = 1 << 13, 1 << 14  # at most 65,536 each: rows are sorted as 16-bit numbers
 ROUNDS = 2
 BLOCKS = 8
 _END = tk.mix(np.array([77], tk.U))[0]
@@ -220,12 +220,36 @@ def _log_softmax(x: np.ndarray) -> np.ndarray:
 
 
 def _logits(bias, table, f):
-    x = table[f[:, 0]] + bias
+    x = np.take(table, f[:, 0], axis=0)
+    x += bias
+    more = np.empty_like(x)
     for k in range(1, f.shape[1]):
-        x += table[f[:, k]]
+        x += np.take(table, f[:, k], axis=0, out=more, mode="clip")
     return x
 
 
+def run_sums(g: np.ndarray, src: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sums of the rows ``g[src]`` over runs that start at ``first``.
+
+    Runs are cut into pieces of at most 16 rows and the longest pieces come first, so
+    that the r-th rows of all pieces are added at once; sums of pieces are summed likewise.
+    """
+    length = np.diff(np.append(first, len(src)))
+    pieces = (length + 15) // 16
+    off = np.cumsum(pieces) - pieces
+    nth = np.arange(pieces.sum()) - np.repeat(off, pieces)
+    at, size = np.repeat(first, pieces) + 16 * nth, np.minimum(16, np.repeat(length, pieces) - 16 * nth)
+    order = np.argsort(-size, kind="stable")
+    at, longer = at[order], np.searchsorted(-size[order], -np.arange(1, 16))
+    total = np.take(g, src[at], axis=0)
+    for r, n in enumerate(longer.tolist(), 1):
+        if n:
+            total[:n] += np.take(g, src[at[:n] + r], axis=0)
+    out = np.empty_like(total)
+    out[order] = total
+    return out if len(out) == len(first) else run_sums(out, np.arange(len(out)), off)
+
+
 def log10_probability(m: dict, t: Tokens) -> np.ndarray:
     """Of each target token; for words outside the frequent classes, of their class only."""
     out = np.empty(len(t.targets))
@@ -251,12 +275,12 @@ class Learner:
         self.norm = {k: np.full(len(v), 1e-3, np.float32) for k, v in self.seen.items()}
 
     def _step(self, name: str, f: np.ndarray, g: np.ndarray) -> None:
-        flat = f.ravel()
+        flat = f.astype(np.uint16).ravel()
         order = np.argsort(flat, kind="stable")
         row = flat[order]
         first = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
         row = row[first]
-        total = np.add.reduceat(g[order // f.shape[1]], first, axis=0)
+        total = run_sums(g, order // f.shape[1], first)
         self.norm[name][row] += np.einsum("ij,ij->i", total, total) / g.shape[1]
         total *= (self.rate / np.sqrt(self.norm[name][row] * g.shape[1])).astype(np.float32)[:, None]
         self.m[name][row] -= total

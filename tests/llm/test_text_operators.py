@@ -19,6 +19,13 @@ ODD = [(900001, None), (900002, ""), (900003, "one"), (900003, "one"), (900004,
 def lower(t: str) -> str:
     return re.sub("[A-Z]", lambda m: m[0].lower(), t)
 
+def test_run_sums():
+    r = np.random.default_rng(1)
+    for n in (1, 5, 40, 5000):
+        key, g, src = np.sort((r.pareto(1, n) * 3).astype(int)), r.normal(size=(n, 4)), r.permutation(n)
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        assert np.allclose(maxent.run_sums(g, src, first), np.add.reduceat(g[src], first, axis=0))
+
 
 @pytest.fixture(scope="module")
 def docs(spark, sf):
