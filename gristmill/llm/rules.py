@@ -3,16 +3,21 @@
 Every measured share of a document becomes an integer (per mille). For each
 language and source a log-linear histogram of each measure is kept: the bucket
 of v is v with all but its top seven bits cleared, so a bucket's relative width
-is below 1/64, and sketches of two parts of the data merge by adding counts. A
-document is kept when none of its measures lies above the threshold that its
-own language and source set: upper quartile + 3 interquartile ranges + slack.
-Slack keeps groups whose spread is nought from rejecting a single odd symbol.
+is below 1/64, and sketches of two parts of the data merge by adding counts.
+Equal texts of a group count once in it, so that copies of one page, however
+many, do not set its thresholds. A document is kept when none of its measures lies
+above the threshold that its own language and source set: upper quartile + 3
+interquartile ranges + slack, but no more than the measure's ceiling, so that a
+group with over a quarter of bad texts cannot excuse them. Slack keeps groups
+whose spread is nought from rejecting a single odd symbol. A group of fewer than
+FEW distinct texts takes the threshold of its language's merged sketches, and
+that of all sketches if the language has as few.
 
 The thresholds are then joined to the documents and filter them.
 
 Edge cases: null text has no words and fails the base rule; null language or
-source is a group of its own; a repeated row is measured once each; a group of
-one document sets thresholds from that document; empty tables give empty ones.
+source is a group of its own; a repeated row is measured once each and counts
+once in the sketches; extra columns are ignored; empty tables give empty ones.
 """
 
 from __future__ import annotations
@@ -31,6 +36,9 @@ from .store import Scratch
 SYMBOLS = b"#*$%&|<>"
 #: Measure -> slack in per mille.
 SLACK = {"symbol": 25, "dup_line": 500, "repeat": 250, "shout": 60, "capital": 250, "same_word": 60}
+#: Measure -> greatest limit that a group can set, in per mille.
+CEILING = {"symbol": 300, "dup_line": 800, "repeat": 300, "shout": 400, "capital": 900, "same_word": 300}
+FEW = 40
 _LINE = re.compile(rb"[^\x20\x09-\x0D]")
 _IS_SYMBOL = np.zeros(256, np.int64)
 _IS_SYMBOL[list(SYMBOLS)] = 1
@@ -78,17 +86,19 @@ def measure(texts: list[bytes]) -> np.ndarray:
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, source and the counts; one narrow map."""
+    """doc_id, lang, source, a hash of the text and the counts; one narrow map."""
+    head = ["doc_id", "lang", "source", "text_key"]
+    rows = docs.select("doc_id", "lang", "source", F.xxhash64("text").alias("text_key"), "text")
 
     def task(batches):
         for b, texts in tk.parts(batches):
             m = measure(texts)
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(3)), *(pa.array(m[:, k]) for k in range(len(_COUNTS)))], names=["doc_id", "lang", "source", *_COUNTS])
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(4)), *(pa.array(m[:, k]) for k in range(len(_COUNTS)))], names=[*head, *_COUNTS])
 
-    schema = docs.select("doc_id", "lang", "source").schema
+    schema = rows.select(*head).schema
     for c in _COUNTS:
         schema = schema.add(c, "long")
-    return docs.select("doc_id", "lang", "source", "text").mapInArrow(task, schema)
+    return rows.mapInArrow(task, schema)
 
 
 def _shares() -> dict[str, Column]:
@@ -103,20 +113,36 @@ def bucket(v: Column) -> Column:
 
 
 def sketch(rows: DataFrame) -> DataFrame:
-    """(lang, source, measure, bucket, n): add up n to merge two of them."""
-    each = F.explode(F.map_from_arrays(F.array(*map(F.lit, SLACK)), F.array(*[F.col(f"m_{k}") for k in SLACK]))).alias("measure", "v")
-    return rows.select("lang", "source", each).groupBy("lang", "source", "measure", bucket(F.col("v")).alias("bucket")).agg(F.count("*").alias("n"))
+    """(lang, source, measure, bucket, n) of distinct texts: add up n to merge two of them."""
+    values = [f"m_{k}" for k in SLACK]
+    once = rows.groupBy("lang", "source", "text_key").agg(*[F.max(v).alias(v) for v in values])
+    each = F.explode(F.map_from_arrays(F.array(*map(F.lit, SLACK)), F.array(*map(F.col, values)))).alias("measure", "v")
+    return once.select("lang", "source", each).groupBy("lang", "source", "measure", bucket(F.col("v")).alias("bucket")).agg(F.sum(F.lit(1)).alias("n"))
+
+
+def _fixed(values: dict[str, int]) -> Column:
+    return F.element_at(F.create_map(*[F.lit(x) for kv in values.items() for x in kv]), F.col("measure"))
+
+
+def limits(sketches: DataFrame, *group: str) -> DataFrame:
+    """(group, measure, total, limit) of sketches merged by group."""
+    key = [*group, "measure"]
+    w = W.partitionBy(*key)
+    merged = sketches.groupBy(*key, "bucket").agg(F.sum("n").alias("n"))
+    ranked = merged.withColumn("upto", F.sum("n").over(w.orderBy("bucket"))).withColumn("total", F.sum("n").over(w))
+    quart = lambda k: F.min(F.when(F.col("upto") * 4 >= F.col("total") * k, F.col("bucket")))
+    spread = ranked.groupBy(*key).agg(F.max("total").alias("total"), quart(1).alias("q1"), quart(3).alias("q3"))
+    return spread.select(*key, "total", F.least(F.col("q3") + 3 * (F.col("q3") - F.col("q1")) + _fixed(SLACK), _fixed(CEILING)).alias("limit"))
 
 
 def thresholds(sketches: DataFrame) -> DataFrame:
     """(lang, source, limits map) from merged sketches."""
-    group = ["lang", "source", "measure"]
-    w = W.partitionBy(*group)
-    ranked = sketches.withColumn("upto", F.sum("n").over(w.orderBy("bucket"))).withColumn("total", F.sum("n").over(w))
-    quart = lambda k: F.min(F.when(F.col("upto") * 4 >= F.col("total") * k, F.col("bucket")))
-    slack = F.element_at(F.create_map(*[F.lit(x) for kv in SLACK.items() for x in kv]), F.col("measure"))
-    limits = ranked.groupBy(*group).agg(quart(1).alias("q1"), quart(3).alias("q3")).withColumn("limit", F.col("q3") + 3 * (F.col("q3") - F.col("q1")) + slack)
-    return limits.groupBy("lang", "source").agg(F.map_from_entries(F.collect_list(F.struct("measure", "limit"))).alias("limits"))
+    everywhere = {m: 0 for m in SLACK} | {r.measure: r.limit for r in limits(sketches).collect()}  # a row a measure
+    wider = limits(sketches, "lang").select(F.col("lang").alias("_l"), F.col("measure").alias("_m"), F.when(F.col("total") >= FEW, F.col("limit")).alias("wide"))
+    own = limits(sketches, "lang", "source")
+    both = own.join(wider, own.lang.eqNullSafe(F.col("_l")) & (own.measure == F.col("_m")), "left")
+    limit = F.coalesce(F.when(F.col("total") >= FEW, F.col("limit")), "wide", _fixed(everywhere)).alias("limit")
+    return both.select("lang", "source", "measure", limit).groupBy("lang", "source").agg(F.map_from_entries(F.collect_list(F.struct("measure", "limit"))).alias("limits"))
 
 
 def judge(docs: DataFrame) -> DataFrame:
@@ -126,8 +152,8 @@ def judge(docs: DataFrame) -> DataFrame:
     for k, c in _shares().items():
         rows = rows.withColumn(f"m_{k}", c)
     rows = scratch.keep(rows, "measured")
-    limits = thresholds(sketch(rows)).select(F.col("lang").alias("_l"), F.col("source").alias("_s"), "limits")
-    out = rows.join(limits, rows.lang.eqNullSafe(F.col("_l")) & rows.source.eqNullSafe(F.col("_s")), "left")
+    chosen = thresholds(scratch.keep(sketch(rows), "sketch")).select(F.col("lang").alias("_l"), F.col("source").alias("_s"), "limits")
+    out = rows.join(chosen, rows.lang.eqNullSafe(F.col("_l")) & rows.source.eqNullSafe(F.col("_s")), "left")
     over = F.filter(F.array(*[F.when(F.col(f"m_{k}") > F.col("limits")[k], F.lit(k)) for k in SLACK]), lambda x: x.isNotNull())
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     return out.withColumn("over", over).withColumn("base_failed", failed).withColumn("kept", ~failed & (F.size("over") == 0))

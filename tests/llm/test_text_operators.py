@@ -175,3 +175,15 @@ def test_empty_tables(spark):
     labels = spark.createDataFrame([], "doc_id long, quality int")
     for run in (maxent.op1, rules.op3, phrases.op5, lambda d: quality.op9(d, labels), lambda d: pieces.digest_documents(d, registry.tokenizer_file())):
         assert run(none).count() == 0
+
+
+def test_thresholds_of_bad_groups(spark):
+    def text(i, bad):
+        return " ".join(f"w{i}x{j}" + "####" * bad for j in range(30))
+
+    rows = [(i, text(i, False), "en", "copies") for i in range(60)] + [(100 + i, text(999, True), "en", "copies") for i in range(40)]
+    rows += [(200 + i, text(i, i % 3 == 0), "en", "third") for i in range(60)]  # a third of distinct texts is bad
+    rows += [(300, text(1, True), "en", "one"), (301, text(2, False), "en", "one"), (302, text(3, True), "xx", None), (303, text(4, False), "xx", None), (304, None, None, None)]
+    got = {r.doc_id: r.kept for r in rules.op3(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert got == {i: t is not None and "#" not in t for i, t, _, _ in rows}
+    assert rules.op3(spark.createDataFrame([], "doc_id long, text string, lang string, source string")).count() == 0
