@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import gstin, numbers
 from ..functions.text import normalise, standalone
-from ..operators import derive, grounding, pages, rules, spans, validate
+from ..operators import derive, docno, grounding, pages, rules, spans, validate
 from . import adapter as A
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -256,6 +256,35 @@ def _(s, d):
 _DATE = "CASE WHEN doc % 7 < 6 THEN strftime(dt, '%d/%m/%Y') ELSE strftime(dt, '%m/%d/20%y') END"
 
 
+_ID = "CAST(doc AS VARCHAR(20))"
+
+
+@query("doc_no", oracle(f"""SELECT doc, CASE WHEN doc % 5 = 3 THEN 'no_label' ELSE 'taken' END AS outcome, CASE doc % 5 WHEN 0 THEN 'B-' || {_ID} WHEN 1 THEN 'TI/' || {_ID} WHEN 2 THEN {_ID} WHEN 3 THEN NULL ELSE 'INV/' || {_ID} END AS value,
+    CASE WHEN doc % 5 <> 3 THEN 'regex' END AS method, CASE WHEN doc % 5 = 3 THEN 'wrapped' ELSE '' END AS notes FROM ids"""))
+def _(s, d):
+    return docno.doc_no(A.texts(s, d)).select("doc", "outcome", "value", "method", F.array_join("notes", ",").alias("notes"))
+
+
+# Layouts that the adapter's texts lack: labels as a header row, refused and competing numbers.
+_LAYOUTS = f"""SELECT doc, CASE doc % 8 WHEN 0 THEN 'Invoice No.      Dated' || chr(10) || 'INV-' || {_ID} || '         25/04/2026'
+    WHEN 1 THEN 'Date         Invoice No.' || chr(10) || '25/04/2026   INV-' || {_ID} WHEN 2 THEN 'Invoice No.   Invoice Date' || chr(10) || '25 Apr 2026'
+    WHEN 3 THEN 'Ref: Your Bill No. 77' || {_ID} || chr(10) || 'Invoice No. INV-' || {_ID} WHEN 4 THEN 'Invoice No.   e-Way Bill No.' || chr(10) || '2 Nos'
+    WHEN 5 THEN 'Invoice Number: INV-' || repeat('7', 35) WHEN 6 THEN 'Invoice No: ' || seller ELSE 'Bill No 11,' || lpad({_ID}, 3, '8') || '.00' END AS text FROM ids"""
+_TAKEN = f"CASE doc % 8 WHEN 3 THEN '77' || {_ID} WHEN 4 THEN 'e-Way' WHEN 5 THEN 'INV-' || repeat('7', 26) WHEN 0 THEN 'INV-' || {_ID} WHEN 1 THEN 'INV-' || {_ID} END"
+
+
+@query("doc_no_below", oracle(f"SELECT doc, {_TAKEN} AS value, CASE WHEN doc % 8 < 2 THEN 'column' WHEN doc % 8 IN (3, 4, 5) THEN 'regex' END AS method, CASE doc % 8 WHEN 0 THEN 'column' WHEN 1 THEN 'column' WHEN 3 THEN 'competing' WHEN 4 THEN 'no_digit' WHEN 5 THEN 'cut' ELSE '' END AS notes, CASE doc % 8 WHEN 3 THEN 'Invoice No INV-' || {_ID} ELSE '' END AS competing FROM ids"))
+def _(s, d):
+    rivals = F.array_join(F.transform("competing", lambda x: F.concat_ws(" ", x.label, x.value)), ",")
+    return docno.doc_no(A.table(s, d, _LAYOUTS)).select("doc", "value", "method", F.array_join("notes", ",").alias("notes"), F.coalesce(rivals, F.lit("")).alias("competing"))
+
+
+@query("doc_no_refusals", oracle(f"SELECT doc, CASE doc % 8 WHEN 2 THEN 'Invoice' WHEN 6 THEN seller ELSE '11' END AS beside, CASE doc % 8 WHEN 2 THEN 'heading' WHEN 6 THEN CASE WHEN {_STRUCTURE.replace('(g,', '(seller,')} THEN 'gstin' END ELSE 'number' END AS beside_reason, CASE WHEN doc % 8 = 2 THEN '25' END AS below, CASE WHEN doc % 8 = 2 THEN 'date_part' END AS below_reason FROM ids WHERE doc % 8 IN (2, 6, 7)"))
+def _(s, d):
+    r = docno.doc_no(A.table(s, d, _LAYOUTS + " WHERE doc % 8 IN (2, 6, 7)"))
+    return r.select("doc", F.col("beside_refused.token").alias("beside"), F.col("beside_refused.reason").alias("beside_reason"), F.col("below_refused.token").alias("below"), F.col("below_refused.reason").alias("below_reason"))
+
+
 @query("date_spans", oracle(f"SELECT doc, {_DATE} AS value, true AS \"real\" FROM heads"))
 def _(s, d):
     return rules.date_candidates(A.texts(s, d)).select("doc", "value", "real")
