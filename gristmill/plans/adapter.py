@@ -7,6 +7,7 @@ of the orders carries one of ten defects (column k), the last none.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 _ALPHA = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -86,18 +87,23 @@ def table(spark: SparkSession, sf_dir: str, select: str) -> DataFrame:
     return spark.sql(for_spark(f"WITH {INVOICES} {select}", sf_dir))
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """The same table of every query of a session: planned and computed once, made again where executors are lost."""
+    return df if df.storageLevel != StorageLevel.NONE else df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items in rupees (double), nulls where a defect hides a value."""
     r = "CAST({} AS DOUBLE) / 100.0 AS {}"
     cols = ", ".join(r.format(a, b) for a, b in (("tot", "TotAmt"), ("disc", "Discount"), ("ass", "AssAmt"), ("cg", "CgstAmt"), ("sg", "SgstAmt"), ("ig", "IgstAmt"), ("val", "TotItemVal")))
-    return table(spark, sf_dir, f"SELECT doc, idx, k, CAST(rate AS DOUBLE) AS GstRt, CAST(qty AS DOUBLE) AS Qty, {cols}, CAST(0 AS DOUBLE) AS CesAmt, CAST(0 AS DOUBLE) AS StateCesAmt, CAST(0 AS DOUBLE) AS OthChrg FROM items")
+    return kept(table(spark, sf_dir, f"SELECT doc, idx, k, CAST(rate AS DOUBLE) AS GstRt, CAST(qty AS DOUBLE) AS Qty, {cols}, CAST(0 AS DOUBLE) AS CesAmt, CAST(0 AS DOUBLE) AS StateCesAmt, CAST(0 AS DOUBLE) AS OthChrg FROM items"))
 
 
 def heads(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = "CAST({} AS DOUBLE) / 100.0 AS {}"
     cols = ", ".join(r.format(a, b) for a, b in (("ass", "AssVal"), ("cg", "CgstVal"), ("sg", "SgstVal"), ("ig", "IgstVal"), ("total", "TotInvVal")))
-    return table(spark, sf_dir, f"SELECT doc, k, n, sstate AS seller_stcd, bstate AS buyer_stcd, pos, reg_rev, {cols}, CAST(0 AS DOUBLE) AS CesVal, CAST(0 AS DOUBLE) AS StCesVal, CAST(0 AS DOUBLE) AS RndOffAmt FROM heads")
+    return kept(table(spark, sf_dir, f"SELECT doc, k, n, sstate AS seller_stcd, bstate AS buyer_stcd, pos, reg_rev, {cols}, CAST(0 AS DOUBLE) AS CesVal, CAST(0 AS DOUBLE) AS StCesVal, CAST(0 AS DOUBLE) AS RndOffAmt FROM heads"))
 
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "SELECT doc, text FROM texts")
+    return kept(table(spark, sf_dir, "SELECT doc, text FROM texts"))

@@ -276,12 +276,12 @@ _TAKEN = f"CASE doc % 8 WHEN 3 THEN '77' || {_ID} WHEN 4 THEN 'e-Way' WHEN 5 THE
 @query("doc_no_below", oracle(f"SELECT doc, {_TAKEN} AS value, CASE WHEN doc % 8 < 2 THEN 'column' WHEN doc % 8 IN (3, 4, 5) THEN 'regex' END AS method, CASE doc % 8 WHEN 0 THEN 'column' WHEN 1 THEN 'column' WHEN 3 THEN 'competing' WHEN 4 THEN 'no_digit' WHEN 5 THEN 'cut' ELSE '' END AS notes, CASE doc % 8 WHEN 3 THEN 'Invoice No INV-' || {_ID} ELSE '' END AS competing FROM ids"))
 def _(s, d):
     rivals = F.array_join(F.transform("competing", lambda x: F.concat_ws(" ", x.label, x.value)), ",")
-    return docno.doc_no(A.table(s, d, _LAYOUTS)).select("doc", "value", "method", F.array_join("notes", ",").alias("notes"), F.coalesce(rivals, F.lit("")).alias("competing"))
+    return docno.doc_no(A.kept(A.table(s, d, _LAYOUTS))).select("doc", "value", "method", F.array_join("notes", ",").alias("notes"), F.coalesce(rivals, F.lit("")).alias("competing"))
 
 
 @query("doc_no_refusals", oracle(f"SELECT doc, CASE doc % 8 WHEN 2 THEN 'Invoice' WHEN 6 THEN seller ELSE '11' END AS beside, CASE doc % 8 WHEN 2 THEN 'heading' WHEN 6 THEN CASE WHEN {_STRUCTURE.replace('(g,', '(seller,')} THEN 'gstin' END ELSE 'number' END AS beside_reason, CASE WHEN doc % 8 = 2 THEN '25' END AS below, CASE WHEN doc % 8 = 2 THEN 'date_part' END AS below_reason FROM ids WHERE doc % 8 IN (2, 6, 7)"))
 def _(s, d):
-    r = docno.doc_no(A.table(s, d, _LAYOUTS + " WHERE doc % 8 IN (2, 6, 7)"))
+    r = docno.doc_no(A.kept(A.table(s, d, _LAYOUTS)).filter("doc % 8 IN (2, 6, 7)"))
     return r.select("doc", F.col("beside_refused.token").alias("beside"), F.col("beside_refused.reason").alias("beside_reason"), F.col("below_refused.token").alias("below"), F.col("below_refused.reason").alias("below_reason"))
 
 
