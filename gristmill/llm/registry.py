@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, jaccard, maxent, mixing, passages, phrases, pieces, quality, rules, warc
+from . import chat, collocations, jaccard, maxent, mixing, passages, phrases, pieces, quality, rules, simhash, trie, warc
 
 
 def tokenizer_file(name: str = "piece_bpe_32k.model") -> str:
@@ -32,8 +32,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_sentencepiece": lambda s, d: pieces.digest_documents(docs(s, d), tokenizer_file()),
         "op9_quality_classifier": lambda s, d: quality.op9(docs(s, d), _table(s, d, "labels")),
         "op10_substring_dedup": lambda s, d: passages.op10(docs(s, d)),
+        "op11_collocations": lambda s, d: collocations.op11(docs(s, d)),
+        "op12_simhash": lambda s, d: simhash.op12(docs(s, d)),
+        "op13_prefix_trie": lambda s, d: trie.op13(_table(s, d, "conversations")),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_chat_format": chat.ORACLE}
+    return {"op6_chat_format": chat.ORACLE, "op11_collocations": collocations.ORACLE, "op13_prefix_trie": trie.ORACLE}
