@@ -30,6 +30,19 @@ STATES = {
 }
 DISCONTINUED = {"25": "Daman & Diu"}
 LEGACY = {"28"}
+# Notes on state codes.
+DISCONTINUED_NOTE = (
+    "State code 25 (Daman & Diu) was discontinued in 2020 when it merged into 26 (Dadra & Nagar Haveli and Daman & Diu); code-26 GSTINs took effect "
+    "from 1 August 2020. Treat a 25 as either an OCR misread (25 vs 26, 28 or 35) or a stale record from before the switch-over. To tell them apart, "
+    "check the document date: on a document dated on or before 31 July 2020 a 25 can be genuine; on a document dated 1 August 2020 or later it cannot "
+    "be a genuine code-25 registration, so either the digits were misread (re-read the GSTIN; the true code may be 26, 28 or 35) or the supplier is "
+    "still printing their pre-merger GSTIN (ask them for their migrated code-26 GSTIN). Then verify the GSTIN checksum: a misread digit usually "
+    "breaks it, so a passing checksum points to a genuine pre-merger record before the switch-over, or to a supplier still printing the ceased GSTIN after it."
+)
+LEGACY_NOTE = (
+    "State code 28 is the pre-2014 Andhra Pradesh code from before the Telangana split. Registrations issued under it remain legitimate. "
+    "Current Andhra Pradesh registrations use 37 (Telangana uses 36)."
+)
 
 
 def check_digit(first14: Column) -> Column:
@@ -45,7 +58,10 @@ def validate(gstin: Column) -> Column:
 
     checksum_ok is null when the structure failed; the first failing segment gives the reason.
     """
-    g = strip(gstin)
+    return F.get(F.transform(F.array(strip(gstin)), _validated), 0)  # stripped once
+
+
+def _validated(g: Column) -> Column:
     reason = F.when(g.isNull(), F.lit("expected a string, got null")).when(F.length(g) != 15, F.concat(F.lit("length must be 15 characters, got "), F.length(g)))
     for first, last, pattern, rule in SEGMENTS:
         part = F.substring(g, first, last - first + 1)
@@ -74,6 +90,14 @@ def state(code: Column) -> Column:
     return F.struct(c.alias("code"), name.alias("name"), status.alias("status"), status.isin("active", "legacy").alias("is_valid"))
 
 
+def state_note(code: Column) -> Column:
+    """What to know of a state code; null for an active one."""
+    c = strip(code)
+    odd = F.concat(F.lit("state codes are exactly two ASCII digits 0-9, got '"), c, F.lit("'"))
+    status = state(code)["status"]
+    return F.when(status == "discontinued", DISCONTINUED_NOTE).when(status == "legacy", LEGACY_NOTE).when(~c.rlike("^[0-9]{2}\\z"), odd).when(status == "unknown", F.concat(F.lit("no GST state code "), c))
+
+
 def is_service(hsn: Column) -> Column:
     return F.when(hsn.rlike(r"^99[0-9]{4}\z"), "Y").otherwise("N")
 

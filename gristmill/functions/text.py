@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -32,3 +34,15 @@ def quoted(c: Column) -> Column:
 def standalone(value: Column, normalised: Column) -> Column:
     """Whether the value stands in the normalised text as a token of its own."""
     return F.regexp_like(normalised, F.concat(F.lit(r"(?U)\b"), quoted(normalise(value)), F.lit(r"\b")))
+
+
+def said(template: str, **values: Column) -> Column:
+    """The template with each {name} replaced by its value; null if a value is."""
+    parts = re.split(r"\{(\w+)\}", template)
+    return F.concat(*[values[x].cast("string") if i % 2 else F.lit(x) for i, x in enumerate(parts)])
+
+
+def warning(field: Column | str, message: Column, check: str, severity: str = "warning") -> Column:
+    """struct(field, message, severity, check), null without a message."""
+    at = field if isinstance(field, Column) else F.lit(field)
+    return F.when(message.isNotNull(), F.struct(at.alias("field"), message.alias("message"), F.lit(severity).alias("severity"), F.lit(check).alias("check")))

@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import dates
+from ..functions.text import said, strip, warning
 from . import rules
 from .spans import lines, matches
 
@@ -20,6 +21,60 @@ from .spans import lines, matches
 HEADINGS = "amount bill date dated description dt due gstin hsn invoice no nos number of particulars place qty rate ref reference sac sl sr supply tax total".split()
 SHORTEST = 4
 LONGEST = 30
+# Reasons and messages.
+REASONS = {
+    "gstin": "was already matched as a GSTIN, which is not an invoice number",
+    "date": "is a date, so it is the document's date column read where the invoice number should be rather than a serial number",
+    "date_part": "is one component of the date '{printed}' the document prints in that position, so it is the date column read where the invoice number should be rather than a serial number",
+    "number": "is one run of a longer number rather than a whole serial number",
+    "quantity": "is a quantity carrying a unit rather than a serial number",
+    "heading": "is one of the words invoices print as a column heading or a label rather than as a serial number",
+    "truncated": "carries no digit, no '/' or '-' separator and fewer than 4 characters, so it reads as a truncated word rather than a whole serial number",
+    "no_digit": "carries no digit, and nothing on that row names it as the invoice number rather than a neighbouring column's value",
+}
+COLUMN = (
+    "Invoice number '{value}' was read from the row below the label '{label}' rather than from beside it, because the document prints "
+    "the labels as a header row and the values underneath. Nothing on that row names it as the invoice number rather than a neighbouring column's value, so "
+    "confirm it against the document before filing."
+)
+NO_DIGIT = (
+    "Invoice number '{value}' was read from beside the label '{label}' but carries no digit, {confirmation}. GST Rule 46(b) "
+    "allows a serial of letters alone, so it was taken as the invoice number, but a blank invoice-number cell leaves the next column's heading in "
+    "exactly this position. Confirm it against the document before filing."
+)
+NOTHING_BELOW = "and no value was printed in the label's own column on the line below to confirm it"
+REFUSED_BELOW = "and the row below prints '{token}' in the label's own column, which confirms nothing because it {reason}"
+CUT = (
+    "The invoice number token after '{label}' runs past 30 characters; only its first 30 ('{value}') were taken, so the value is shorter than the text on the "
+    "document. Confirm the invoice number against the document."
+)
+COMPETING = (
+    "Invoice number '{value}' was read from '{label}' at character {at}, the first invoice-number label in the document, but the "
+    "document also prints {others}. A line referring to another document ('Ref: Your Bill No. 7788 dated ...', an e-Way bill number, a "
+    "purchase order) carries an invoice-number label of its own, and printed above the invoice's own header it is the one read first — so the number filed would "
+    "be that other document's. Confirm which of these is this invoice's own number before filing."
+)
+ONE_COMPETING = "'{label}' at character {at} carrying '{value}'"
+WRAPPED = (
+    "The document prints {printed} at character {at}, which reads as an invoice-number label wrapped across a line break. A label is only recognised "
+    "when its own words are printed on one line, so this one could not be read as a label and no value was taken from beside it or below it. Any number "
+    "reported for DocDtls.No was read from a different label on the page and may belong to that other label rather than to this one. Read the invoice number "
+    "from the document."
+)
+NO_LABEL = (
+    "No invoice number label ('Invoice No', 'Bill No', 'Tax Invoice No', 'Inv No') was found, so the invoice number could not be extracted. A label is only "
+    "recognised when its own words are printed on one line, so a label OCR split across a line break ('Invoice' above 'No.') is not found even though the "
+    "document prints one; if the document shows an invoice number, read it from the document."
+)
+NO_VALUE = (
+    "The invoice number label '{label}' at character {at} is not followed by a value on its own line or in its column on the line below, so the "
+    "invoice number could not be extracted. Read it from the document rather than from the text after the label."
+)
+BESIDE_REFUSED = "The invoice number label '{label}' at character {at} is followed by '{token}', which was not accepted as the invoice number because it {reason}"
+BESIDE_NONE = "The invoice number label '{label}' at character {at} is not followed by a value on its own line"
+BELOW_REFUSED = "; the row below prints '{token}' in the label's column, which was not accepted as the invoice number either because it {reason}"
+BELOW_NONE = "; no value was printed in the label's column on the line below either"
+UNREAD = ". The invoice number could not be extracted; if one is visible on the document, enter it manually."
 GAP = r"^[ \t.:#\-]*"
 TOKEN = r"[A-Za-z0-9][A-Za-z0-9/\-]*"
 UNIT = rf"\b(?:{dates.UNITS})(?![A-Za-z])"
@@ -115,10 +170,11 @@ def doc_no(docs: DataFrame) -> DataFrame:
     notes: column (chosen by layout), no_digit, cut (longer than LONGEST), competing
     (a later label, as specific, names another number), wrapped (a label broken over lines).
     """
-    each = choices(docs, rules.gstins(docs), rules.date_candidates(docs))
+    # any real date shape refuses a token, even one inside a serial
+    each = choices(docs, rules.gstins(docs), rules.date_shapes(docs))
     fields = ["label_start", "label", "rank", "printed", "value", "start", "method", "beside_refused", "below_refused"]
     per = each.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("all"))
-    wrapped = rules.wrapped_labels(docs).groupBy("doc").agg(F.count("*").alias("wrapped"))
+    wrapped = rules.wrapped_labels(docs).groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("start", "token"))).alias("wrapped"))
     out = docs.select("doc").join(per, "doc", "left").join(wrapped, "doc", "left")
     out = out.withColumn("t", F.get(F.filter("all", lambda x: x.value.isNotNull()), 0))
     out = out.withColumn("no", F.get(F.filter("all", lambda x: x.beside_refused.token.isNotNull() | x.below_refused.token.isNotNull()), 0))
@@ -128,9 +184,35 @@ def doc_no(docs: DataFrame) -> DataFrame:
     said = F.coalesce(t, no, F.get("all", 0))
     notes = F.array(
         F.when(t.method == "column", "column"), F.when((t.method == "regex") & ~t.value.rlike("[0-9]"), "no_digit"), F.when(F.length(t.printed) > LONGEST, "cut"),
-        F.when(F.size(rivals) > 0, "competing"), F.when(F.col("wrapped") > 0, "wrapped"),
+        F.when(F.size(rivals) > 0, "competing"), F.when(F.size("wrapped") > 0, "wrapped"),
     )
     return out.select(
         "doc", outcome.alias("outcome"), said.label.alias("label"), said.label_start.alias("label_start"), t.value.alias("value"), t.start.alias("start"), (t.start + F.length(t.value)).alias("end"), t.method.alias("method"),
         said.beside_refused.alias("beside_refused"), said.below_refused.alias("below_refused"), F.transform(rivals, lambda x: F.struct(x.label.alias("label"), x.label_start.alias("label_start"), x.value.alias("value"))).alias("competing"), F.array_compact(notes).alias("notes"),
+        F.length(t.printed).alias("printed_size"), F.coalesce("wrapped", F.array().cast("array<struct<start:bigint,token:string>>")).alias("wrapped"),
     )
+
+
+def _reason(refused: Column) -> Column:
+    texts = F.create_map(*[F.lit(x) for kv in REASONS.items() for x in kv])
+    return F.replace(texts[refused["reason"]], F.lit("{printed}"), F.coalesce(refused["printed"], F.lit("")))
+
+
+def warnings(found: DataFrame) -> DataFrame:
+    """``doc_no`` with ``no_warnings``: what is in doubt about the number, or why there is none, in sentences."""
+    label, at, value = F.col("label"), F.col("label_start"), F.col("value")
+    beside, below = F.col("beside_refused"), F.col("below_refused")
+    has = lambda note: F.array_contains("notes", note)
+    under = F.when(below["token"].isNull(), F.lit(NOTHING_BELOW)).otherwise(said(REFUSED_BELOW, token=below["token"], reason=_reason(below)))
+    others = F.array_distinct(F.transform("competing", lambda x: said(ONE_COMPETING, label=x["label"], at=x["label_start"], value=x["value"])))
+    head = F.when(beside["token"].isNull(), said(BESIDE_NONE, label=label, at=at)).otherwise(said(BESIDE_REFUSED, label=label, at=at, token=beside["token"], reason=_reason(beside)))
+    tail = F.when(below["token"].isNull(), F.lit(BELOW_NONE)).otherwise(said(BELOW_REFUSED, token=below["token"], reason=_reason(below)))
+    outcome = F.col("outcome")
+    single = [
+        F.when(outcome == "no_label", F.lit(NO_LABEL)), F.when(outcome == "no_value", said(NO_VALUE, label=label, at=at)), F.when(outcome == "refused", F.concat(head, tail, F.lit(UNREAD))),
+        F.when(has("column"), said(COLUMN, value=value, label=label)), F.when(has("no_digit"), said(NO_DIGIT, value=value, label=label, confirmation=under)),
+        F.when(has("cut"), said(CUT, label=label, value=value)), F.when(has("competing"), said(COMPETING, value=value, label=label, at=at, others=F.array_join(others, ", "))),
+    ]
+    part = lambda w: F.array_join(F.transform(F.split(w["token"], r"\r\n|\r|\n"), lambda x: F.concat(F.lit("'"), strip(x), F.lit("'"))), " above ")
+    wrapped = F.transform("wrapped", lambda w: warning("DocDtls.No", said(WRAPPED, printed=part(w), at=w["start"]), "extract_rules"))
+    return found.withColumn("no_warnings", F.concat(F.array_compact(F.array(*[warning("DocDtls.No", m, "extract_rules") for m in single])), wrapped))

@@ -93,8 +93,21 @@ def wrapped_labels(docs: DataFrame) -> DataFrame:
     return loose.alias("l").join(strict.alias("s"), cond, "left_anti")
 
 
-def date_candidates(docs: DataFrame) -> DataFrame:
+def unclaimed(spans: DataFrame, claims: DataFrame) -> DataFrame:
+    """The spans (doc, start, end, ...) that meet none of the claims (doc, start, end)."""
+    c = claims.select(F.col("doc").alias("_doc"), F.col("start").alias("_s"), F.col("end").alias("_e"))
+    return spans.join(c, (F.col("doc") == F.col("_doc")) & (F.col("_s") < F.col("end")) & (F.col("start") < F.col("_e")), "left_anti")
+
+
+def date_shapes(docs: DataFrame) -> DataFrame:
+    """Every date shape, fragments of serials and item rows included; ``real``: a calendar date."""
+    return matches(docs, ["doc"], "text", dates.SHAPE).withColumn("real", dates.real(F.col("token"))).withColumn("named", F.col("token").rlike("(?i)[a-z]"))
+
+
+def date_candidates(docs: DataFrame, claims: DataFrame | None = None) -> DataFrame:
+    """Dates that meet none of the claimed spans."""
     d = matches(docs, ["doc"], "text", dates.DATE)
+    d = unclaimed(d, claims) if claims is not None else d
     return d.withColumn("value", dates.normalise(F.col("token"))).withColumn("real", dates.real(F.col("token")))
 
 
@@ -177,9 +190,9 @@ def hsn_spans(docs: DataFrame, claimed: DataFrame | None = None) -> DataFrame:
     runs = F.array(F.when(behind, F.struct((F.col("at") + F.length(before)).alias("a"), (F.col("at") + F.col("start")).alias("z"))), F.when(ahead, F.struct(a.alias("a"), (a + F.length(run)).alias("z"))))
     lab = lab.select("doc", (F.col("at") + F.col("start")).alias("label_start"), (F.col("at") + F.col("end")).alias("label_end"), F.explode(F.array_compact(runs)).alias("r"))
     codes = matches(docs, ["doc"], "text", HSN_CODE).select("doc", "start", "end", F.col("token").alias("code"))
-    for other in filter(None, (matches(docs, ["doc"], "text", dates.DATE), claimed)):
-        o = other.select("doc", F.col("start").alias("_s"), F.col("end").alias("_e"))
-        codes = codes.alias("c").join(o.alias("o"), (F.col("c.doc") == F.col("o.doc")) & (F.col("_s") < F.col("end")) & (F.col("start") < F.col("_e")), "left_anti")
+    # a month's name makes a date whatever its day
+    for other in filter(None, (date_shapes(docs).filter("named or real"), claimed)):
+        codes = unclaimed(codes, other)
     within = (F.col("start") >= F.col("r.a")) & (F.col("end") <= F.col("r.z"))
     return lab.join(codes, "doc").filter(within).select("doc", "label_start", "label_end", "start", "end", "code")
 

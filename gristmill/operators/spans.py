@@ -1,8 +1,7 @@
 """Span algebra: matches with code-point offsets, merging, blanking, lines, confidences.
 
-Java reports match positions in UTF-16 units, so offsets are never taken from
-it: a text is split around its matches and lengths are added up. Windows are
-partitioned by document, so a partition holds one document's matches.
+Offsets come from ``functions.spans``, within the row. Merging and blanking are
+windows partitioned by document, so a partition holds one document's spans.
 """
 
 from __future__ import annotations
@@ -11,15 +10,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import spans as S
+
 
 def matches(df: DataFrame, key: list[str], text: str, pattern: str) -> DataFrame:
-    """(key, pos, token, start, end) of every match, pos from 0."""
-    both = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0)).alias("token"))
-    rows = df.filter(F.col(text).rlike(pattern)).select(*key, F.posexplode(both).alias("pos", "m")).select(*key, "pos", F.col("m.gap").alias("gap"), F.col("m.token").alias("token"))
-    w = W.partitionBy(*key).orderBy("pos")
-    before = F.coalesce(F.sum(F.length("gap") + F.length(F.coalesce("token", F.lit("")))).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    rows = rows.withColumn("start", before + F.length("gap")).filter(F.col("token").isNotNull())
-    return rows.select(*key, "pos", "token", "start", (F.col("start") + F.length("token")).alias("end"))
+    """(key, pos, token, start, end) of every match, pos from 0; a row's matches come from that row alone."""
+    rows = df.filter(F.col(text).rlike(pattern)).select(*key, F.posexplode(S.found(F.col(text), pattern)).alias("pos", "m"))
+    return rows.select(*key, "pos", F.col("m.token").alias("token"), *[F.col(f"m.{c}").cast("long").alias(c) for c in ("start", "end")])
 
 
 def merged(spans: DataFrame, key: list[str], limit: str | None = None) -> DataFrame:
@@ -45,9 +42,8 @@ def blanked(docs: DataFrame, key: str, text: str, spans: DataFrame) -> DataFrame
 
 def lines(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, line, start, end, content) of every line."""
-    rows = df.select(key, F.posexplode(F.split(text, "\n", -1)).alias("line", "content"))
-    before = F.coalesce(F.sum(F.length("content") + 1).over(W.partitionBy(key).orderBy("line").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return rows.select(key, "line", before.alias("start"), (before + F.length("content")).alias("end"), "content")
+    rows = df.select(key, F.posexplode(S.lines(F.col(text))).alias("line", "m"))
+    return rows.select(key, "line", *[F.col(f"m.{c}").cast("long").alias(c) for c in ("start", "end")], F.col("m.token").alias("content"))
 
 
 def confidence(spans: DataFrame, words: DataFrame, key: list[str]) -> DataFrame:
