@@ -8,20 +8,14 @@ from pyspark.sql import functions as F
 
 from ..functions import numbers
 from ..functions.text import normalise, standalone
-from .spans import matches
 
 NEAR = 0.005
 LEAST_LENGTH = 2
 
 
 def number_tokens(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, pos, token, start, end, value, credit) of every number printed."""
-    m = matches(docs, [key], text, numbers.TOKEN).join(docs.select(key, text), key)
-    whole = F.substr(F.col(text), F.lit(1), F.col("start"))
-    line = F.element_at(F.split(whole, "\n", -1), -1)
-    behind = F.when(line == "", F.regexp_extract(whole, r"[^\n]*\n\z", 0)).otherwise(line)
-    after = F.substr(F.col(text), F.col("end") + 1, F.lit(40))
-    return m.select(key, "pos", "token", "start", "end", numbers.value(F.col("token")).alias("value"), numbers.credit(behind, F.col("token"), after).alias("credit"))
+    """(key, pos, token, value, credit) of every number printed; a row's figures come from that row alone."""
+    return docs.select(key, F.posexplode(numbers.tokens(F.col(text))).alias("pos", "t")).select(key, "pos", "t.token", "t.value", "t.credit")
 
 
 def signed(tokens: DataFrame) -> DataFrame:

@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import said
+
 TOLERANCE, EPSILON = 0.05, 1e-9
 ITEM_TERMS = ["AssAmt", "CgstAmt", "SgstAmt", "IgstAmt", "CesAmt", "StateCesAmt", "OthChrg"]
 TOTAL_TERMS = ["AssVal", "CgstVal", "SgstVal", "IgstVal", "CesVal", "StCesVal", "RndOffAmt"]
@@ -83,21 +85,43 @@ FORMULAS = [" + ".join(ITEM_TERMS), " + ".join(TOTAL_TERMS)]
 CHECKS = ["validate_item_total", "validate_invoice_total", "validate_val_dtls_sums", "validate_tax_split"]
 
 
+# What the tax split is compared with, and notes.
+SPLIT_LIMITATION = (
+    ". Note: this check compares the seller's and buyer's registered state codes (SellerDtls.Stcd vs BuyerDtls.Stcd) rather than the true Place of Supply, "
+    "and may false-flag SEZ supplies and bill-to/ship-to cases."
+)
+SKIPPED_RCM = "Tax-split check skipped: RegRev is 'Y' (reverse charge), so tax is legitimately absent from the invoice face and the CGST/SGST/IGST split cannot be evaluated."
+SKIPPED_POS = "Tax-split check skipped: place of supply (BuyerDtls.Pos = {pos}) differs from the buyer's registered state (BuyerDtls.Stcd = {stcd}); this rule cannot evaluate that case."
+SPLITS = {
+    True: {"CgstAmt": "AssAmt x GstRt / 2 / 100", "SgstAmt": "AssAmt x GstRt / 2 / 100", "IgstAmt": "0 (intra-state supply)"},
+    False: {"CgstAmt": "0 (inter-state supply)", "SgstAmt": "0 (inter-state supply)", "IgstAmt": "AssAmt x GstRt / 100"},
+}
+
+
 def _significant(x: Column, digits: int = 10) -> Column:
     """A number of at least 0 with so many significant digits, without zeros behind the last one."""
     places = [F.when(x < 10**k, F.format_string(f"%.{digits - k}f", x)) for k in range(1, digits)]
     return F.regexp_replace(F.coalesce(*places, F.format_string("%.0f", x)), r"(\.[0-9]*?)0+$", "$1")
 
 
-def messages(warnings: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
-    """With ``check`` and, for the sums (ranks 0 to 2), ``message``."""
+def messages(warnings: DataFrame, tolerance: float = TOLERANCE, heads: DataFrame | None = None) -> DataFrame:
+    """With ``check`` and ``message``; those of the tax split (rank 3) need ``heads``."""
     leaf = F.element_at(F.split("field", r"\."), -1)
     pair = F.create_map(*[F.lit(x) for t, i in PAIRS for x in (t, f"sum of ItemList[].{i}")])
     formula = F.when(F.col("check_rank") == 0, FORMULAS[0]).when(F.col("check_rank") == 1, FORMULAS[1]).when(F.col("check_rank") == 2, pair[leaf])
+    suffix, note = F.lit(""), F.lit(None).cast("string")
+    rows = warnings
+    if heads is not None:
+        rows = rows.join(heads.select("doc", (F.col("seller_stcd") == F.col("buyer_stcd")).alias("_intra"), F.col("pos").alias("_pos"), F.col("buyer_stcd").alias("_stcd")), "doc", "left")
+        split = {k: F.create_map(*[F.lit(x) for kv in names.items() for x in kv])[leaf] for k, names in SPLITS.items()}
+        formula = formula.when(F.col("check_rank") == 3, F.when(F.col("_intra"), split[True]).otherwise(split[False]))
+        suffix = F.when(F.col("check_rank") == 3, SPLIT_LIMITATION).otherwise("")
+        note = F.when(F.col("field") == "TranDtls.RegRev", F.lit(SKIPPED_RCM)).when(F.col("field") == "BuyerDtls.Pos", said(SKIPPED_POS, pos=F.col("_pos"), stcd=F.col("_stcd")))
     two = lambda c: F.format_string("%.2f", F.col(c))
     delta = F.regexp_replace(_significant(F.round(F.abs(F.col("actual") - F.col("expected")), 8)), r"\.$", "")
-    text = F.concat(leaf, F.lit(" is "), two("actual"), F.lit(" but "), formula, F.lit(" = "), two("expected"), F.lit(" (delta "), delta, F.lit(f" exceeds tolerance {tolerance:.10g})"))
-    return warnings.withColumn("check", F.element_at(F.array(*map(F.lit, CHECKS)), F.col("check_rank") + 1)).withColumn("message", text)
+    text = F.concat(leaf, F.lit(" is "), two("actual"), F.lit(" but "), formula, F.lit(" = "), two("expected"), F.lit(" (delta "), delta, F.lit(f" exceeds tolerance {tolerance:.10g})"), suffix)
+    out = rows.withColumn("check", F.element_at(F.array(*map(F.lit, CHECKS)), F.col("check_rank") + 1)).withColumn("message", F.coalesce(note, text))
+    return out.drop("_intra", "_pos", "_stcd")
 
 
 #: The keys that each block of the payload may have.
