@@ -5,15 +5,14 @@ numbers of the chunk's own vocabulary, with marks where pieces end. A phrase's l
 is the sorted places of its occurrences in a chunk, and the lengths of its lists
 add up to its exact frequency. Phrases grow a word at a time: in each chunk the
 places of frequent phrases are merge-joined with the places one further, where
-another frequent phrase (its last words and the adjacent one) must begin. Only
-what is left makes (phrase, chunk, count) rows, one a chunk whatever the count; a
-window over each phrase's rows adds them up, and rows of phrases with ``least``
-occurrences or more go back to their chunks, as one list a chunk, for the next word.
+another frequent phrase (its last words and the adjacent one) must begin. What is
+left makes one (phrase, length) row a chunk, whatever the length; these are added
+up before and after one shuffle, the only one of a step.
 
-So the shuffle carries a row for each distinct phrase of a chunk both of whose
-parts are frequent, and no set of frequent phrases is broadcast or collected. A
-very frequent phrase has one row a chunk; a language with most of the words is
-many chunks.
+A chunk knows the frequent phrases by a Bloom filter of at most FILTER_BYTES, the
+one thing that is broadcast. A false hit adds rows of phrases that then turn out
+rare; beyond the filter's size there are more of them. No hit is ever missed and
+every list of a phrase that is counted is counted, so frequencies are exact always.
 
 Candidates are read back from the chunk of their first list for words and the
 hashes of their parts. A longer candidate with all occurrences of a shorter one
@@ -45,7 +44,9 @@ LEAST = 100
 LONGEST = 5
 TOP = 2000
 #: Bytes of text of a chunk, all its languages together.
-CHUNK = 8_000_000
+CHUNK = 4_000_000
+#: Most bytes of a filter of frequent phrases; 16 bits a phrase up to that.
+FILTER_BYTES = 1 << 25
 #: Buckets of a language in which its first candidates are sought.
 BUCKETS = 64
 _CUTS = np.zeros(256, bool)
@@ -55,26 +56,44 @@ _BETWEEN[[0x20, 0x09]] = True
 _STEP = tk.U(0xC2B2AE3D27D4EB4F)
 
 
-def numbered(texts: list[bytes]) -> tuple[np.ndarray, bytes]:
-    """(stream, vocabulary): twice the number of each word, plus 1 where a piece begins; the words by number, one a line."""
+def words_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    """(hashes, begins, known, words): each word's hash and whether a piece begins with it; the distinct hashes and their words."""
     buf = (b"\n".join(texts) + b"\n").lower()
     arr = np.frombuffer(buf, np.uint8)
     edge = np.flatnonzero(np.diff(~_BETWEEN[arr], prepend=False, append=False))
     starts, ends = edge[0::2], edge[1::2]
-    if not len(starts):
-        return np.zeros(0, "<i4"), b""
-    _, at, number = np.unique(tk.span_hashes(tk._BYTE[arr], starts, ends), return_index=True, return_inverse=True)
+    hashes = tk.span_hashes(tk._BYTE[arr], starts, ends)
+    known, at = np.unique(hashes, return_index=True)
     piece = np.cumsum(_CUTS[arr], dtype=np.int32)[starts]
-    begins = np.concatenate(([True], piece[1:] != piece[:-1]))
-    words = b"\n".join(buf[a:z] for a, z in zip(starts[at].tolist(), ends[at].tolist(), strict=True))
-    return (2 * number + begins).astype("<i4"), words
+    begins = np.ones(len(piece), bool)
+    begins[1:] = piece[1:] != piece[:-1]
+    return hashes, begins, known, [buf[a:z] for a, z in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
+
+
+def numbered(parts: list[tuple]) -> tuple[int, bytes, bytes]:
+    """(number of words, stream, vocabulary) of what ``words_of`` gave for the parts of a chunk.
+
+    The stream has twice the number of each word, plus 1 where a piece begins, byte
+    by byte of significance; frequent words have small numbers, so it packs well.
+    The vocabulary has the words by number, one a line.
+    """
+    hashes, begins = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+    known, number, count = np.unique(hashes, return_inverse=True, return_counts=True)
+    order = np.argsort(-count, kind="stable")
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    first, at = np.unique(np.concatenate([p[2] for p in parts]), return_index=True)
+    words = [w for p in parts for w in p[3]]
+    assert np.array_equal(first, known)
+    coded = (2 * place[number] + begins).astype("<u4")
+    return len(hashes), coded.view(np.uint8).reshape(-1, 4).T.tobytes(), b"\n".join(words[i] for i in at[order].tolist())
 
 
 class Chunk:
     """The words of a chunk: hashes within their language, and the piece of each."""
 
     def __init__(self, lang: str, stream: bytes, words: bytes):
-        coded = np.frombuffer(stream, "<i4")
+        coded = np.frombuffer(stream, np.uint8).reshape(4, -1).T.copy().view("<u4").ravel().astype(np.int64)
         self.number, self.piece = coded >> 1, np.cumsum(coded & 1)
         self.hashes = tk.mix(tk.Words([words], lower=False).hashes ^ tk.U(xxhash.xxh64_intdigest(lang)))[self.number]
 
@@ -91,28 +110,58 @@ class Chunk:
         places = places[places + k <= len(self.piece)]
         return places[self.piece[places] == self.piece[places + k - 1]]
 
-    def lists(self, k: int, frequent: np.ndarray | None) -> np.ndarray:
+    def lists(self, k: int, frequent: Filter | None) -> np.ndarray:
         """Places, ascending, of phrases of k words of which the first and the last k - 1 are in ``frequent`` (k = 1: all)."""
         if k == 1:
             return np.arange(len(self.hashes))
-        frequent, g = np.sort(frequent), self.phrases(k - 1)
-        hit = frequent[np.minimum(np.searchsorted(frequent, g), len(frequent) - 1)] == g
-        places = self.within(np.flatnonzero(hit), k - 1)
+        places = self.within(np.flatnonzero(frequent.has(self.phrases(k - 1))), k - 1)
         # the merge-join with the lists one place further: ascending places that are neighbours
         return self.within(places[:-1][np.diff(places) == 1], k)
 
 
+class Filter:
+    """A Bloom filter of 64-bit hashes: four bits of one 64-bit word for each."""
+
+    def __init__(self, words: np.ndarray):
+        self.words = words
+
+    def has(self, h: np.ndarray) -> np.ndarray:
+        one, bits = tk.U(1), np.zeros(len(h), tk.U)
+        for shift in (0, 6, 12, 18):
+            bits |= one << (h >> tk.U(shift) & tk.U(63))
+        return self.words[(h >> tk.U(24)) & tk.U(len(self.words) - 1)] & bits == bits
+
+    @classmethod
+    def of(cls, phrases: DataFrame) -> Filter:
+        """Made by Spark, a row for each word of the filter; its size is a power of 2."""
+        size = 1
+        n = phrases.count()
+        while size * 4 < n and size * 16 <= FILTER_BYTES:
+            size *= 2
+        bits = None
+        for shift in (0, 6, 12, 18):
+            bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(phrase, {shift}) & 63L as int))")
+            bits = bit if bits is None else bits.bitwiseOR(bit)
+        rows = phrases.select(F.expr(f"shiftrightunsigned(phrase, 24) & {size - 1}L").alias("at"), bits.alias("bits")).groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
+        words = np.zeros(size, tk.U)
+        words[rows.column("at").to_numpy()] = rows.column("bits").to_numpy().view(tk.U)
+        return cls(words)
+
+
 def chunks(docs: DataFrame) -> DataFrame:
     """(chunk, lang, n, stream, words); ``n`` counts the words."""
     schema = pa.schema([("chunk", pa.int64()), ("lang", pa.string()), ("n", pa.int64()), ("stream", pa.binary()), ("words", pa.binary())])
 
     def task(batches):
-        held: dict[str, list[bytes]] = {}
+        held: dict[str, list[tuple]] = {}
         size, number = 0, TaskContext.get().partitionId() << 32
         for b, texts in tk.parts(batches):
+            by: dict[str, list[bytes]] = {}
             for lang, text in zip(b.column(0).to_pylist(), texts, strict=True):
-                held.setdefault(lang, []).append(text)
+                by.setdefault(lang, []).append(text)
                 size += len(text)
+            for lang, some in by.items():
+                held.setdefault(lang, []).append(words_of(some))
             if size >= CHUNK:
                 yield from made(held, number)
                 number += len(held)
@@ -121,42 +170,38 @@ def chunks(docs: DataFrame) -> DataFrame:
 
     def made(held, number):
         for i, lang in enumerate(sorted(held)):
-            stream, words = numbered(held[lang])
-            if len(stream):
-                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((number + i, lang, len(stream), stream.tobytes(), words), schema.types, strict=True)], schema=schema)
+            n, stream, words = numbered(held[lang])
+            if n:
+                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((number + i, lang, n, stream, words), schema.types, strict=True)], schema=schema)
 
     return docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text").mapInArrow(task, "chunk long, lang string, n long, stream binary, words binary")
 
 
 def occurrences(words: DataFrame, k: int, frequent: DataFrame | None) -> DataFrame:
-    """(phrase, chunk, n, place) of phrases of k words: the length of the list and its first place; ``frequent`` has phrases of k - 1 words by chunk."""
-    schema = pa.schema([("phrase", pa.int64()), ("chunk", pa.int64()), ("n", pa.int64()), ("place", pa.int32())])
+    """(phrase, chunk, n) of phrases of k words: the length of the list; ``frequent`` has the phrases of k - 1 words."""
+    schema = pa.schema([("phrase", pa.int64()), ("chunk", pa.int64()), ("n", pa.int64())])
+    known = words.sparkSession.sparkContext.broadcast(None if frequent is None else Filter.of(frequent))
 
     def task(batches):
         for b in batches:
             for i in range(b.num_rows):
                 chunk, lang, stream, text = (b.column(j)[i].as_py() for j in range(4))
                 c = Chunk(lang, stream, text)
-                places = c.lists(k, b.column(4)[i].values.to_numpy().view(tk.U) if k > 1 else None)
-                phrase, first, n = np.unique(c.phrases(k)[places], return_index=True, return_counts=True)
+                phrase, n = np.unique(c.phrases(k)[c.lists(k, known.value)], return_counts=True)
                 for at in range(0, len(phrase), 100_000):
                     s = slice(at, at + 100_000)
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((phrase[s].view(np.int64), np.full(len(phrase[s]), chunk), n[s], places[first[s]]), schema.types, strict=True)], schema=schema)
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((phrase[s].view(np.int64), np.full(len(phrase[s]), chunk), n[s]), schema.types, strict=True)], schema=schema)
 
-    rows = words.select("chunk", "lang", "stream", "words")
-    if frequent is not None:
-        lists = frequent.groupBy("chunk").agg(F.collect_list("phrase").alias("phrases")).withColumnRenamed("chunk", "_c")
-        rows = rows.join(lists, rows.chunk == F.col("_c")).drop("_c")
-    return rows.mapInArrow(task, "phrase long, chunk long, n long, place int")
+    return words.select("chunk", "lang", "stream", "words").mapInArrow(task, "phrase long, chunk long, n long")
 
 
 def frequent_phrases(words: DataFrame, scratch: Scratch, least: int = LEAST, longest: int = LONGEST) -> list[DataFrame]:
-    """For each length (phrase, chunk, place, f): a row for each chunk of each phrase with f >= least occurrences."""
+    """For each length (phrase, f, chunk): the phrases with f >= least occurrences and the first chunk that holds one."""
     found: list[DataFrame] = []
     for k in range(1, longest + 1):
         rows = occurrences(words, k, found[-1] if found else None)
-        total = rows.withColumn("f", F.sum("n").over(W.partitionBy("phrase"))).filter(F.col("f") >= least)
-        found.append(scratch.keep(total.select("phrase", "chunk", "place", "f"), f"frequent{k}"))
+        total = rows.groupBy("phrase").agg(F.sum("n").alias("f"), F.min("chunk").alias("chunk")).filter(F.col("f") >= least)
+        found.append(scratch.keep(total, f"frequent{k}"))
     return found
 
 
@@ -165,9 +210,9 @@ def candidates(words: DataFrame, found: list[DataFrame]) -> DataFrame:
     each, longest = None, len(found)
     for k, rows in enumerate(found, 1):
         if k > 1:
-            one = rows.groupBy("phrase").agg(F.max("f").alias("a"), F.min(F.struct("chunk", "place")).alias("m")).select("m.chunk", F.struct("m.place", F.lit(k).alias("k"), "phrase", "a").alias("p"))
+            one = rows.select("chunk", F.struct(F.lit(k).alias("k"), "phrase", F.col("f").alias("a")).alias("p"))
             each = one if each is None else each.unionByName(one)
-    asked = each.groupBy(F.col("chunk").alias("_c")).agg(F.collect_list("p").alias("asked"))
+    asked = each.groupBy(F.col("chunk").alias("_c")).agg(F.collect_list("p").alias("asked"))  # at most the phrases of a chunk
     out = pa.schema(
         [("lang", pa.string()), ("phrase", pa.int64()), ("k", pa.int32()), ("text", pa.string()), ("a", pa.int64()), ("cuts", pa.list_(pa.struct([("cut", pa.int32()), ("left", pa.int64()), ("right", pa.int64())])))]
     )
@@ -175,15 +220,19 @@ def candidates(words: DataFrame, found: list[DataFrame]) -> DataFrame:
     def task(batches):
         for b in batches:
             for i in range(b.num_rows):
-                lang, stream, text = (b.column(j)[i].as_py() for j in range(3))
+                lang, stream, text, asked = (b.column(j)[i].as_py() for j in range(4))
                 c, word = Chunk(lang, stream, text), text.split(b"\n")
-                hashes = [None, *(c.phrases(k).view(np.int64) for k in range(1, longest))]
+                hashes = [None, *(c.phrases(k).view(np.int64) for k in range(1, longest + 1))]
                 rows = []
-                for q in b.column(3)[i].as_py():
-                    p, k = q["place"], q["k"]
-                    cuts = [{"cut": x, "left": int(hashes[x][p]), "right": int(hashes[k - x][p + x])} for x in range(1, k)]
-                    said = b" ".join(word[x] for x in c.number[p : p + k]).decode()
-                    rows.append({"lang": lang, "phrase": q["phrase"], "k": k, "text": said, "a": q["a"], "cuts": cuts})
+                for k in range(2, longest + 1):
+                    wanted = [(q["phrase"], q["a"]) for q in asked if q["k"] == k]
+                    places = c.within(np.flatnonzero(np.isin(hashes[k], np.array([p for p, _ in wanted], np.int64))), k)
+                    known, first = np.unique(hashes[k][places], return_index=True)
+                    place = dict(zip(known.tolist(), places[first].tolist(), strict=True))
+                    for phrase, a in wanted:
+                        p = place[phrase]
+                        cuts = [{"cut": x, "left": int(hashes[x][p]), "right": int(hashes[k - x][p + x])} for x in range(1, k)]
+                        rows.append({"lang": lang, "phrase": phrase, "k": k, "text": b" ".join(word[x] for x in c.number[p : p + k]).decode(), "a": a, "cuts": cuts})
                 yield pa.RecordBatch.from_pylist(rows, schema=out)
 
     rows = words.select("chunk", "lang", "stream", "words").join(asked, F.col("chunk") == F.col("_c")).select("lang", "stream", "words", "asked")
@@ -206,7 +255,7 @@ def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, to
     open_ = phrases.join(held, phrases.phrase == F.col("_p"), "left").filter("_a is null or _a < a")
     times = None
     for rows in found[:-1]:
-        one = rows.groupBy("phrase").agg(F.max("f").alias("f"))
+        one = rows.select("phrase", "f")
         times = one if times is None else times.unionByName(one)
     cut = open_.select("lang", "phrase", "text", "a", F.explode("cuts").alias("c")).select("lang", "phrase", "text", "a", "c.*")
     cut = cut.join(times.select(F.col("phrase").alias("_l"), F.col("f").alias("l")), F.col("left") == F.col("_l"))
