@@ -7,9 +7,11 @@ of the orders carries one of ten defects (column k), the last none.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
+from .store import new_path
+
 _ALPHA = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -87,9 +89,18 @@ def table(spark: SparkSession, sf_dir: str, select: str) -> DataFrame:
     return spark.sql(for_spark(f"WITH {INVOICES} {select}", sf_dir))
 
 
+_WRITTEN: dict[tuple, str] = {}
+
+
 def kept(df: DataFrame) -> DataFrame:
-    """The same table of every query of a session: planned and computed once, made again where executors are lost."""
-    return df if df.storageLevel != StorageLevel.NONE else df.persist(StorageLevel.MEMORY_AND_DISK)
+    """The same table of every query of an application, written once to the shared folder and read from there."""
+    key = (df.sparkSession.sparkContext.applicationId, df.semanticHash(), *df.columns)
+    try:
+        return df.sparkSession.read.schema(df.schema).parquet(_WRITTEN[key])
+    except (KeyError, AnalysisException):  # not yet, or no longer there
+        _WRITTEN[key] = path = new_path(df.sparkSession, "adapter")
+        df.write.parquet(path)
+        return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,15 +11,14 @@ are written once to the shared folder, so that a lost executor costs a re-read.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import said, warning
 from ..operators import answers as A
-from ..operators import assembly, claims, confidence, pages as P, refusals, validate
+from ..operators import assembly, claims, confidence, refusals, validate
+from ..operators import pages as P
+from .store import written
 
 # The note on a second attempt.
 RETRIED = (
@@ -38,20 +37,6 @@ NEITHER = (
 _WARNINGS = "array<struct<field:string,message:string,severity:string,check:string>>"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The table, written to the folder in spark.checkpoint.dir (one of our own where a local master has none) and read again."""
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="gristmill-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/gristmill-parse/{uuid.uuid4().hex}-{name}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def prompts(pages: DataFrame) -> DataFrame:
     """(doc, prompt) of every document that is not refused: what to ask a model."""
     rules, _ = _rules(pages)
@@ -61,7 +46,7 @@ def prompts(pages: DataFrame) -> DataFrame:
 def _rules(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     read = written(refusals.read(pages), "read")
     live = read.filter(F.size("refusals") == 0)
-    docs = P.join_pages(pages.join(live.select("doc"), "doc", "left_semi"), "doc", "page", "text")
+    docs = written(P.join_pages(pages.join(live.select("doc"), "doc", "left_semi"), "doc", "page", "text"), "docs")
     rules = claims.extract(docs).join(live.select("doc", "reverse_charge"), "doc")
     return written(rules, "rules"), read
 

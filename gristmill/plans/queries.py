@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import gstin, numbers
 from ..functions.text import normalise, standalone
-from ..operators import derive, docno, grounding, pages, rules, spans, validate
+from ..operators import derive, docno, grounding, pages, parties, rules, spans, validate
 from . import adapter as A
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -238,9 +238,8 @@ def _(s, d):
 
 @query("resolve_parties", oracle("SELECT doc, CASE WHEN lab THEN seller ELSE c[1] END AS seller, CASE WHEN lab THEN buyer WHEN c[2] <> c[1] THEN c[2] END AS buyer, CASE WHEN lab THEN 'label' ELSE 'position' END AS method FROM (SELECT doc, seller, buyer, vs AND vb AND doc % 3 < 2 AND seller <> buyer AS lab, CASE WHEN doc % 3 = 0 THEN list_filter([CASE WHEN vb THEN buyer END, CASE WHEN vs THEN seller END], lambda x: x IS NOT NULL) ELSE list_filter([CASE WHEN vs THEN seller END, CASE WHEN vb THEN buyer END], lambda x: x IS NOT NULL) END AS c FROM (SELECT *, supp % 7 <> 3 AS vs, cust % 13 NOT IN (5, 6) AS vb FROM ids)) WHERE len(c) > 0"))
 def _(s, d):
-    t = A.texts(s, d)
-    g = rules.gstins(t)
-    return rules.parties(g, rules.nearest_labels(g, rules.labels(t)))
+    r = parties.resolve(A.texts(s, d)).filter("seller is not null")
+    return r.select("doc", F.col("seller.value").alias("seller"), F.col("buyer.value").alias("buyer"), F.col("seller.method").alias("method"))
 
 
 @query("doc_no_beside", oracle("SELECT doc, CASE doc % 5 WHEN 0 THEN 'bill no' WHEN 1 THEN 'tax invoice no' WHEN 2 THEN 'inv no' ELSE 'invoice no' END AS label, CAST(CASE doc % 5 WHEN 0 THEN 3 WHEN 1 THEN 0 WHEN 2 THEN 2 ELSE 1 END AS INTEGER) AS rank, CASE doc % 5 WHEN 0 THEN 'B-' WHEN 1 THEN 'TI/' WHEN 2 THEN '' ELSE 'INV/' END || CAST(doc AS VARCHAR) AS value FROM heads WHERE doc % 5 <> 3"))
@@ -279,9 +278,13 @@ def _(s, d):
     return docno.doc_no(A.kept(A.table(s, d, _LAYOUTS))).select("doc", "value", "method", F.array_join("notes", ",").alias("notes"), F.coalesce(rivals, F.lit("")).alias("competing"))
 
 
-@query("doc_no_refusals", oracle(f"SELECT doc, CASE doc % 8 WHEN 2 THEN 'Invoice' WHEN 6 THEN seller ELSE '11' END AS beside, CASE doc % 8 WHEN 2 THEN 'heading' WHEN 6 THEN CASE WHEN {_STRUCTURE.replace('(g,', '(seller,')} THEN 'gstin' END ELSE 'number' END AS beside_reason, CASE WHEN doc % 8 = 2 THEN '25' END AS below, CASE WHEN doc % 8 = 2 THEN 'date_part' END AS below_reason FROM ids WHERE doc % 8 IN (2, 6, 7)"))
+_REFUSED = f"""CASE doc % 8 WHEN 0 THEN 'Dated' WHEN 2 THEN 'Invoice' WHEN 6 THEN seller WHEN 7 THEN '11' END AS beside, CASE doc % 8 WHEN 0 THEN 'heading' WHEN 2 THEN 'heading' WHEN 6 THEN CASE WHEN {_STRUCTURE.replace('(g,', '(seller,')} THEN 'gstin' END WHEN 7 THEN 'number' END AS beside_reason,
+    CASE doc % 8 WHEN 2 THEN '25' WHEN 4 THEN '2' END AS below, CASE doc % 8 WHEN 2 THEN 'date_part' WHEN 4 THEN 'quantity' END AS below_reason"""
+
+
+@query("doc_no_refusals", oracle(f"SELECT doc, {_REFUSED} FROM ids"))
 def _(s, d):
-    r = docno.doc_no(A.kept(A.table(s, d, _LAYOUTS)).filter("doc % 8 IN (2, 6, 7)"))
+    r = docno.doc_no(A.kept(A.table(s, d, _LAYOUTS)))
     return r.select("doc", F.col("beside_refused.token").alias("beside"), F.col("beside_refused.reason").alias("beside_reason"), F.col("below_refused.token").alias("below"), F.col("below_refused.reason").alias("below_reason"))
 
 
@@ -510,8 +513,11 @@ def _(s, d):
 
 
 def queries() -> dict[str, Query]:
+    from . import stage_queries  # noqa: F401  (adds its own)
+
     return {k: f for k, (f, _) in FOUND.items()}
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return {k: sql for k, (_, sql) in FOUND.items() if sql}
