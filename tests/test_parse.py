@@ -9,7 +9,7 @@ from gristmill.operators import confidence, pages, refusals
 from gristmill.plans import parse
 from pyspark.sql import functions as F
 
-SELLER, BUYER = "29AAACT2727Q1ZS", "27AAPFU0939F1ZV"
+SELLER, BUYER = "29KLMNP4321Q1Z6", "27RSTUV8765W1ZY"
 TEXT = f"""TAX INVOICE
 Sold By: Lotus Mills
 14 Tank Bund Road, Bengaluru 560009

@@ -7,7 +7,7 @@ from gristmill.functions.text import said
 from gristmill.operators import claims, invoice_dates, parties
 from pyspark.sql import functions as F
 
-SELLER, BUYER = "29AAACT2727Q1ZS", "27AAPFU0939F1ZV"
+SELLER, BUYER = "29KLMNP4321Q1Z6", "27RSTUV8765W1ZY"
 
 
 def one(spark, text):
@@ -71,7 +71,7 @@ PARTIES = [
     (f"Sold By: A\nGSTIN: {SELLER}\nBill To: B\nGSTIN {BUYER}", (SELLER, "label"), (BUYER, "label"), [], []),
     (f"{SELLER} and {BUYER}", (SELLER, "position"), (BUYER, "position"), ["SellerDtls.Gstin"], [f"GSTIN {SELLER} was assigned to the seller and GSTIN {BUYER} to the buyer from position"]),
     (f"Buyer {SELLER} {SELLER}", (SELLER, "position"), None, ["SellerDtls.Gstin", "BuyerDtls.Gstin"], [f"Note that the document labels GSTIN {SELLER} as the buyer", "Only one checksum-valid GSTIN"]),
-    (f"{SELLER[:-1]}T", None, None, ["SellerDtls.Gstin", "BuyerDtls.Gstin"] * 2, ["at character 0 failed validation (checksum mismatch: computed check character 'S' but position 15 is 'T')"] * 2 + ["so the seller GSTIN", "so the buyer GSTIN"]),
+    (f"{SELLER[:-1]}T", None, None, ["SellerDtls.Gstin", "BuyerDtls.Gstin"] * 2, ["at character 0 failed validation (checksum mismatch: computed check character '6' but position 15 is 'T')"] * 2 + ["so the seller GSTIN", "so the buyer GSTIN"]),
     (None, None, None, ["SellerDtls.Gstin", "BuyerDtls.Gstin"], ["so the seller GSTIN", "so the buyer GSTIN"]),
 ]
 
