@@ -11,8 +11,8 @@ up before and after one shuffle, the only one of a step.
 
 A chunk knows the frequent phrases by a Bloom filter of at most FILTER_BYTES, the
 one thing that is broadcast. A false hit adds rows of phrases that then turn out
-rare; beyond the filter's size there are more of them. No hit is ever missed and
-every list of a phrase that is counted is counted, so frequencies are exact always.
+rare; beyond the filter's size there are more of them. No frequent phrase is ever
+missed, and of a phrase either all lists are counted or none, so frequencies are exact.
 
 Candidates are read back from the chunk of their first list for words and the
 hashes of their parts. A longer candidate with all occurrences of a shorter one
