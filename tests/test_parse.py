@@ -6,9 +6,11 @@ import json
 
 import pytest
 from gristmill.operators import confidence, pages, refusals
-from gristmill.plans import parse
+from gristmill.plans import parse, stage_queries
 from pyspark.sql import functions as F
 
+from tests import compare
+
 SELLER, BUYER = "29KLMNP4321Q1Z6", "27RSTUV8765W1ZY"
 TEXT = f"""TAX INVOICE
 Sold By: Lotus Mills
@@ -163,3 +165,9 @@ def test_reverse_charge(spark):
     df = spark.createDataFrame([(i, r[0]) for i, r in enumerate(rows)], "i int, t string")
     for r in df.select("i", pages.reverse_charge(F.col("t")).alias("g")).collect():
         assert r.g == rows[r.i][1], rows[r.i]
+
+
+def test_printed_invoices_match_sql(spark, sf):
+    """Every invoice of the star schema, printed, read back by an answer with gaps, and assembled."""
+    n, mine, theirs = compare.difference(stage_queries.parse_invoice(spark, sf), compare.tables(sf), stage_queries.PARSE_SQL)
+    assert n > 1000 and not mine and not theirs
