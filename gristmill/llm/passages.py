@@ -20,11 +20,13 @@ and is compared with every other. Members whose place lies in a passage found so
 far are done; the leader and they leave, and the rest of the group goes into the
 next round, with the next leader. So a stretch is compared with every earlier one of
 its groups that is not a repeat itself. A round is linear in the rows of the
-groups. Once all groups are small, so that all their pairs are no more than
-PAIRS_A_ROW times their rows, these are compared at once. What large groups still
-hold after ROUNDS rounds (documents alike but not alike enough, or with a common
-line) is compared completely, blocks of a group with blocks, in numpy and at the
-shift of the signature; a member gives one row a block there, its earliest match.
+groups. From the second round on, what is left of a group of FEW rows or fewer is
+compared pair by pair. What a larger group still holds after ROUNDS rounds (documents
+alike but not alike enough, or with a common line) is compared completely, blocks of
+the group with blocks: a matrix product counts the tokens that the surroundings of two
+places share, and the pairs with enough of them are aligned, edits allowed; a member gives
+one row a block there, its earliest match. Every group goes this way by its own
+size, so other documents do not decide what is found in it.
 
 Leaders come from an aggregation before the shuffle and a join that Spark can
 split, so a passage that very many documents share is no single task.
@@ -39,6 +41,7 @@ column of the caller's may have any name but those in OWN.
 
 from __future__ import annotations
 
+import functools
 import itertools
 import re
 
@@ -58,11 +61,14 @@ HASHES = 4
 #: Hash functions whose windows are joined into one signature.
 JOINED = ((0, 1), (2, 3))
 _SEEDS = tk.mix(np.arange(1, HASHES + 1, dtype=tk.U) * tk.U(0x9E3779B97F4A7C15))
-PAIRS_A_ROW = 8
+#: Rows of a group up to which all its pairs are compared, so a row has 8 pairs at most on average.
+FEW = 17
 ROUNDS = 3
 _BLOCK = 256
 #: Tokens on either side of a place that are looked at.
 REACH = 2 * LEAST
+#: Equal tokens of the shortest passage: 9 s >= 4 (LEAST + LEAST).
+SHARED = -(-8 * LEAST // 9)
 #: An edit between two equal runs costs 9 tokens of the two stretches at least, so at most one a 81 of them: some run is so long.
 RUN = 21
 #: Matches of two documents that are held at once, and bytes of a batch of pairs.
@@ -70,6 +76,8 @@ _MATCHES = 1 << 20
 _BATCH = "16m"
 #: Runs of two documents up to which the gaps between all of them are one table.
 _TABLE = 512
+#: Tokens that one matrix product counts.
+_COLUMNS = 4096
 #: Columns that ``dedup`` adds on its way.
 OWN = ("_d", "_cuts")
 
@@ -320,12 +328,14 @@ _KINDS = [pa.int64(), pa.int32(), *[pa.int64()] * 5, pa.float64()]
 
 
 def compared(x: np.ndarray, y: np.ndarray, low: int, high: int, lo: int, hi: int) -> list[tuple[int, int, int, int, float]]:
-    """Passages (start, end in x, start, end in y, similarity); at one known shift first, by chained runs if that leaves places in [lo, hi] open."""
+    """Passages (start, end in x, start, end in y, similarity); at one known shift if that holds all of [lo, hi] and what is left of x and y has no token in common, else by chained runs."""
     if low == high:
         a, z = max(0, low), min(len(x), len(y) + low)
         out = [(a + i, a + j, a + i - low, a + j - low, s) for i, j, s in aligned(x[a:z], y[a - low : z - low])]
-        if out and out[0][0] <= lo and hi < out[-1][1]:
-            return out
+        if len(out) == 1:
+            i, j, k, m, _ = out[0]
+            if i <= lo and hi < j and not np.isin(np.concatenate((x[:i], x[j:])), np.concatenate((y[:k], y[m:]))).any():
+                return out
     return passages_of(x, y, shifts=(low - LEAST, high + LEAST))
 
 
@@ -334,9 +344,41 @@ def _cut(lo, hi):
     return F.substring(F.col("tokens"), 4 * lo + 1, 4 * (F.least(hi, (F.length("tokens") / 4).cast("int")) - lo))
 
 
-def in_blocks(members: DataFrame, tokens: DataFrame) -> DataFrame:
-    """(doc_id, text_key, c, first_doc, first_key, fc) of members of large groups and the least document of a block that matches at their shift."""
-    m = leaders(members).select("_g", F.ceil(F.col("m") / _BLOCK).alias("blocks"))
+def shared_tokens(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """How many tokens each row of x shares with each row of y, repeats counted as often as both have them."""
+
+    def numbered(t):
+        t = np.sort(t, axis=1)
+        place = np.broadcast_to(np.arange(t.shape[1]), t.shape)
+        new = np.diff(t, axis=1, prepend=t[:, :1] - 1) != 0
+        return (t << 16) + place - np.maximum.accumulate(np.where(new, place, 0), axis=1)
+
+    x, y = numbered(x), numbered(y)
+    both = np.intersect1d(x, y)
+    total = np.zeros((len(x), len(y)), np.float32)
+    for a in range(0, len(both), _COLUMNS):
+        part = both[a : a + _COLUMNS]
+        held = []
+        for t in (x, y):
+            at = np.minimum(np.searchsorted(part, t), len(part) - 1)
+            row, col = np.nonzero(part[at] == t)
+            m = np.zeros((len(t), len(part)), np.float32)
+            m[row, at[row, col]] = 1
+            held.append(m)
+        total += held[0] @ held[1].T
+    return total
+
+
+def holds_place(p: np.ndarray, q: np.ndarray) -> bool:
+    """Whether a passage of p and q holds the place in p that its row was cut around."""
+    if any(a <= REACH < z for a, z, _ in aligned(p, q)):
+        return True
+    return any(a <= REACH < z for a, z, *_ in passages_of(p, q, shifts=(-LEAST, LEAST)))
+
+
+def in_blocks(members: DataFrame, sizes: DataFrame, tokens: DataFrame) -> DataFrame:
+    """(doc_id, text_key, c, first_doc, first_key, fc) of members of the groups in ``sizes`` (_g, m) and the least document of a block with a passage at their place."""
+    m = sizes.select("_g", F.ceil(F.col("m") / _BLOCK).alias("blocks"))
     rows = members.join(m, members.sig == F.col("_g")).join(tokens, ["doc_id", "text_key"])
     slices = rows.select("sig", F.pmod(F.xxhash64("doc_id", "text_key"), F.col("blocks")).alias("block"), "doc_id", "text_key", "c", _cut(F.greatest(F.col("c") - REACH, F.lit(0)), F.col("c") + REACH).alias("p"))
     blocks = slices.groupBy("sig", "block").agg(F.collect_list(F.struct("doc_id", "text_key", "c", "p")).alias("rows"))  # about _BLOCK rows each
@@ -353,16 +395,13 @@ def in_blocks(members: DataFrame, tokens: DataFrame) -> DataFrame:
 
     def matches(late, early):
         """(late row, early row): for each late row the least early document that holds a passage at the place."""
-        for a in range(len(late[0])):
-            less = np.flatnonzero(early[0] < late[0][a])
-            if len(less):
-                upto = np.cumsum(early[3][less] == late[3][a], axis=1, dtype=np.int16)
-                # a stretch of at least LEAST with 8 in 9 equal has so many in some LEAST places
-                near = less[(upto[:, LEAST:] - upto[:, :-LEAST]).max(1) >= LEAST * 3 // 4]
-                for b in near[np.argsort(early[0][near], kind="stable")]:
-                    if aligned(late[3][a], early[3][b]):
-                        yield a, b
-                        break
+        near = (early[0][None, :] < late[0][:, None]) & (shared_tokens(late[3], early[3]) >= SHARED)
+        for a in np.flatnonzero(near.any(axis=1)):
+            row = np.flatnonzero(near[a])
+            for b in row[np.argsort(early[0][row], kind="stable")]:
+                if holds_place(late[3][a], early[3][b]):
+                    yield a, b
+                    break
 
     names = ["doc_id", "text_key", "c", "first_doc", "first_key", "fc"]
     kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32()]
@@ -433,21 +472,27 @@ def find_passages(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     found = None
     for turn in itertools.count():
         lead = scratch.keep(leaders(members), "leaders")
-        size = lead.agg(F.sum("m").alias("rows"), F.sum(F.col("m") * (F.col("m") - 1) / 2).alias("pairs")).first()
-        if not size.rows:
+        few = F.col("m") <= FEW
+        size = lead.agg(F.count("*").alias("all"), F.count(F.when(few, 1)).alias("few")).first()
+        if not size.all:
             break
-        if last := size.pairs <= PAIRS_A_ROW * size.rows:
-            before = members.select(F.col("sig").alias("_g"), F.col("doc_id").alias("first_doc"), F.col("text_key").alias("first_key"), F.col("c").alias("fc"))
-            met = members.join(before, (members.sig == F.col("_g")) & (F.col("first_doc") < F.col("doc_id")))
-        elif last := turn == ROUNDS:
-            met = scratch.keep(in_blocks(members, tokens), "matches")
-        else:
-            met = scratch.keep(members.join(lead, members.sig == F.col("_g")).filter("doc_id != first_doc"), "met")
-        more = verified(stretches(met), tokens, scratch)
+        met, led = [], None
+        if turn and size.few:
+            small = members.join(lead.filter(few).select("_g"), members.sig == F.col("_g"))
+            before = small.select("_g", F.col("doc_id").alias("first_doc"), F.col("text_key").alias("first_key"), F.col("c").alias("fc"))
+            met.append(small.drop("_g").join(before, (F.col("sig") == F.col("_g")) & (F.col("first_doc") < F.col("doc_id"))))
+        large = lead.filter(~few) if turn else lead
+        if turn == ROUNDS and size.all > size.few:
+            met.append(scratch.keep(in_blocks(members, large, tokens), "matches"))
+        elif not turn or size.all > size.few:
+            led = scratch.keep(members.join(large, members.sig == F.col("_g")).filter("doc_id != first_doc"), "met")
+            met.append(led)
+        places = [t.select(*PAIR, "c", "fc") for t in met]
+        more = verified(stretches(functools.reduce(DataFrame.unionByName, places)), tokens, scratch)
         found = more if found is None else found.unionByName(more)
-        if last:
+        if led is None:
             break
-        members = scratch.keep(uncovered(met.select(*MEMBER), more), "left")
+        members = scratch.keep(uncovered(led.select(*MEMBER), more), "left")
     if found is None:
         found = docs.sparkSession.createDataFrame([], _FOUND)
     return scratch.keep(earliest(found), "passages")

@@ -10,6 +10,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from gristmill.llm import chat, jaccard, mixing, passages, registry, warc
 
@@ -322,6 +323,40 @@ def test_passages_behind_a_first_that_fails(spark):
     assert {r.doc_id for r in got if not r.is_first} == set(places)
 
 
+def test_passages_do_not_depend_on_unrelated_documents(spark):
+    """Twelve families: 40 badly edited copies, an exact copy, one with a word inserted; then the same beside 300 documents with a common line."""
+    rng = random.Random(8)
+    words = lambda n: [f"v{rng.randrange(20000)}" for _ in range(n)]
+    texts, places = {}, {}
+    for k in range(12):
+        passage, at = words(88), rng.randrange(30, 58)
+        for j in range(40):  # every 7th to 9th word changed: a few windows in common, no passage
+            texts[1000 + 40 * k + j] = words(rng.randrange(30)) + [f"y{k}.{j}.{i}" if i % 16 in (3, 11) and i % 3 != j % 3 else w for i, w in enumerate(passage)] + words(9)
+        a, z = 5000 + 2 * k, 5001 + 2 * k
+        texts[a], texts[z] = words(12) + passage + words(15), words(7) + passage[:at] + ["new"] + passage[at:] + words(20)
+        places[z] = (7, 7 + 89)
+    line = words(42)
+    noise = {20000 + d: words(rng.randrange(60)) + line + words(40) for d in range(300)}
+    found = []
+    for more in ({}, noise):
+        docs = spark.createDataFrame([(d, " ".join(w)) for d, w in (texts | more).items()], "doc_id long, text string").repartition(5)
+        got = passages.op10(docs).collect()
+        assert [d for d, (a, z) in places.items() if not covered(got, d, a, z)] == []
+        assert not any(r.doc_id >= 20000 for r in got)
+        found.append({(r.doc_id, r.start_word, r.end_word) for r in got if not r.is_first})
+    assert found[0] == found[1]
+
+
+def test_shared_tokens_of_rows():
+    rng = np.random.default_rng(9)
+    for high in (4, 60, 5000):
+        x, y = rng.integers(0, high, (7, 50)), rng.integers(0, high, (5, 50))
+        x[:3, 40:], y[2:, 45:] = -1, -2
+        want = [[sum((Counter(p.tolist()) & Counter(q.tolist())).values()) for q in y] for p in x]
+        assert passages.shared_tokens(x, y).tolist() == want
+    assert passages.shared_tokens(np.full((2, 9), -1), np.full((3, 9), -2)).tolist() == [[0] * 3] * 2
+
+
 def test_passages_of_two_documents():
     """Against all stretches of an edited copy, by longest common subsequences of runs."""
     import numpy as np
