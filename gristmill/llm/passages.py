@@ -369,6 +369,22 @@ def shared_tokens(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return total
 
 
+def may_hold_place(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """For the row x and every row of y: whether some LEAST or more tokens of x around the place, from one in y to one in y, have 4 in 5 in y. Every passage has."""
+    vocabulary, at = np.unique(x, return_inverse=True)
+    place = np.minimum(np.searchsorted(vocabulary, y), len(vocabulary) - 1)
+    row, col = np.nonzero(vocabulary[place] == y)
+    known = np.zeros((len(y), len(vocabulary)), bool)
+    known[row, place[row, col]] = True
+    held = known[:, at]
+    total = np.zeros((len(y), len(x) + 1), np.int16)
+    np.cumsum(np.where(held, 1, -4), axis=1, out=total[:, 1:])
+    low = np.minimum.accumulate(np.where(held[:, : REACH + 1], total[:, : REACH + 1], np.int16(1 << 14)), axis=1)
+    end = np.arange(REACH + 1, len(x) + 1)
+    gain = total[:, end] - low[:, np.minimum(REACH, end - LEAST)]
+    return (held[:, end - 1] & (gain >= 0)).any(axis=1)
+
+
 def holds_place(p: np.ndarray, q: np.ndarray) -> bool:
     """Whether a passage of p and q holds the place in p that its row was cut around."""
     if any(a <= REACH < z for a, z, _ in aligned(p, q)):
@@ -398,6 +414,7 @@ def in_blocks(members: DataFrame, sizes: DataFrame, tokens: DataFrame) -> DataFr
         near = (early[0][None, :] < late[0][:, None]) & (shared_tokens(late[3], early[3]) >= SHARED)
         for a in np.flatnonzero(near.any(axis=1)):
             row = np.flatnonzero(near[a])
+            row = row[may_hold_place(late[3][a], early[3][row])]
             for b in row[np.argsort(early[0][row], kind="stable")]:
                 if holds_place(late[3][a], early[3][b]):
                     yield a, b
@@ -414,7 +431,9 @@ def in_blocks(members: DataFrame, sizes: DataFrame, tokens: DataFrame) -> DataFr
                 out = [[r[0][i][r[2]] for r in found] for i in range(3)] + [[r[1][i][r[3]] for r in found] for i in range(3)]
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, kinds, strict=True)], names=names)
 
-    both = x.join(y, "sig").filter("i <= j").select("x", "y", F.col("i") != F.col("j"))
+    # a group's pairs of blocks go to all tasks, not to the one of its signature
+    n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    both = x.join(y, "sig").filter("i <= j").repartition(n, "sig", "i", "j").select("x", "y", F.col("i") != F.col("j"))
     return both.mapInArrow(task, "doc_id long, text_key int, c int, first_doc long, first_key int, fc int")
 
 

@@ -357,6 +357,21 @@ def test_shared_tokens_of_rows():
     assert passages.shared_tokens(np.full((2, 9), -1), np.full((3, 9), -2)).tolist() == [[0] * 3] * 2
 
 
+def test_places_that_may_hold_a_passage():
+    rng = np.random.default_rng(10)
+    n, least = 2 * passages.REACH, passages.LEAST
+    x = rng.integers(0, 1 << 30, n)
+    y = np.where(rng.random((60, n)) < np.linspace(0.05, 0.4, 60)[:, None], -2, x)
+    y[50:] = -2
+    for k in range(50, 60):  # a common run of 41 to 50 tokens around the place
+        y[k, 70 : 61 + k] = x[70 : 61 + k]
+    held = np.array([np.isin(x, q) for q in y])
+    spans = [(i, j) for i in range(passages.REACH + 1) for j in range(max(passages.REACH + 1, i + least), n + 1)]
+    want = [any(h[i] and h[j - 1] and 5 * h[i:j].sum() >= 4 * (j - i) for i, j in spans) for h in held]
+    assert passages.may_hold_place(x, y).tolist() == want and 5 < sum(want) < 55
+    assert all(may for may, q in zip(want, y, strict=True) if passages.holds_place(x, q))
+
+
 def test_passages_of_two_documents():
     """Against all stretches of an edited copy, by longest common subsequences of runs."""
     import numpy as np
