@@ -27,12 +27,12 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def join_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows are told apart by doc_id and text; exact repeats of a row count as one. Rows without words all stay."""
+    """Rows are told apart by doc_id and text; exact repeats of a row count as one. Rows without words all stay. Names that begin with ``_stage_`` are reserved."""
     id_ = lambda: F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
-    groups = jaccard.grouped(docs).filter("root is not null").groupBy("root").agg(F.min(F.struct(id_().alias("_d"), F.col("th").alias("_th"))).alias("r"))
+    groups = jaccard.grouped(docs).filter("root is not null").groupBy("root").agg(F.min(F.struct(id_().alias("_stage_id"), F.col("th").alias("_stage_text"))).alias("r"))
     has_words = F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    told = docs.filter(has_words).withColumn("_d", id_()).withColumn("_th", F.xxhash64("text"))
-    kept = told.join(groups.select("r.*"), ["_d", "_th"]).dropDuplicates(["_d", "_th"])
+    told = docs.filter(has_words).withColumn("_stage_id", id_()).withColumn("_stage_text", F.xxhash64("text"))
+    kept = told.join(groups.select("r.*"), ["_stage_id", "_stage_text"]).dropDuplicates(["_stage_id", "_stage_text"])
     return kept.select(*docs.columns).unionByName(docs.filter(~has_words))
 
 
