@@ -12,6 +12,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _NONE = "array<struct<token:string,start:int,end:int>>"
+#: Noncharacters that mark the matches of a text, which must not hold them itself.
+_OPEN, _CLOSE = "\ufdd0", "\ufdd1"
 
 
 def _placed(pieces: Column, gap, token) -> Column:
@@ -30,7 +32,11 @@ def found(text: Column, pattern: str) -> Column:
     """array<struct<token, start, end>> of all matches, in order; empty for a null text."""
     text = F.coalesce(text, F.lit(""))
     both = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("token"))
-    return F.when(text.rlike(pattern), _placed(both, lambda x: x["gap"], lambda x: x["token"])).otherwise(F.array().cast(_NONE))
+    # the pattern runs over the text once: matches are marked, then cut at the marks
+    pieces = F.split(F.regexp_replace(text, pattern, f"{_OPEN}$0{_CLOSE}"), _CLOSE, -1)
+    token = lambda x: F.when(F.contains(x, F.lit(_OPEN)), F.substring_index(x, _OPEN, -1))
+    marked = F.transform(pieces, lambda x: F.struct(F.substring_index(x, _OPEN, 1).alias("gap"), token(x).alias("token")))
+    return _placed(F.when(F.contains(text, F.lit(_OPEN)) | F.contains(text, F.lit(_CLOSE)), both).otherwise(marked), lambda x: x["gap"], lambda x: x["token"])
 
 
 def lines(text: Column) -> Column:
