@@ -73,9 +73,9 @@ def resolve(docs: DataFrame) -> DataFrame:
     of = lambda p: F.filter("_valid", lambda x: F.coalesce(x["party"] == p, F.lit(False)))
     values = lambda p: F.array_distinct(F.transform(of(p), lambda x: x["token"]))
     by_label = (F.size(values("seller")) == 1) & (F.size(values("buyer")) == 1) & (F.size(F.array_intersect(values("seller"), values("buyer"))) == 0)
-    one = F.get("_valid", 0)
-    two = F.get(F.filter("_valid", lambda x: x["token"] != one["token"]), 0)
-    rows = rows.withColumn("_by_label", by_label)
+    rows = rows.withColumn("_by_label", by_label).withColumn("_one", F.get("_valid", 0))
+    rows = rows.withColumn("_two", F.get(F.filter("_valid", lambda x: x["token"] != F.col("_one")["token"]), 0))
+    one, two = F.col("_one"), F.col("_two")
     take = lambda x, how: F.when(x.isNotNull(), F.struct(x["token"].alias("value"), x["start"].alias("start"), x["end"].alias("end"), F.lit(how).alias("method")))
     chosen = {p: F.when(F.col("_by_label"), take(F.get(of(p), 0), "label")).otherwise(take(x, "position")) for p, x in (("seller", one), ("buyer", two))}
     against = F.concat(
@@ -95,4 +95,4 @@ def resolve(docs: DataFrame) -> DataFrame:
         return warning(f"{PATHS[p]}.Stcd", F.when(found["status"].isin("discontinued", "unknown"), said(STATE, gstin=F.col(p)["value"], code=code, note=gstin.state_note(code))), CHECK)
 
     notes = F.concat(wrong, F.array_compact(F.array(*absent, warning("SellerDtls.Gstin", position, CHECK), alone, state("seller"), state("buyer"))))
-    return rows.withColumn("party_warnings", notes).drop("_labels", "_valid", "_by_label")
+    return rows.withColumn("party_warnings", notes).drop("_labels", "_valid", "_by_label", "_one", "_two")
