@@ -9,13 +9,12 @@ Null and empty texts have no label; a document id stands for one text.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import dates
 from ..functions.text import said, strip, warning
 from . import rules
-from .spans import lines, matches
+from .spans import facing, matches
 
 # Heading words that are no numbers, the shortest number without digit or separator, the longest number.
 HEADINGS = "amount bill date dated description dt due gstin hsn invoice no nos number of particulars place qty rate ref reference sac sl sr supply tax total".split()
@@ -87,10 +86,8 @@ def rank(label: Column) -> Column:
 
 def _labels(docs: DataFrame) -> DataFrame:
     """(doc, line, label, label_start, l, r, at, content, next): labels with their columns [l, r) and the next line."""
-    rows = lines(docs, "doc", "text").withColumn("next", F.lead("content").over(W.partitionBy("doc").orderBy("line")))
-    rows = rows.filter(F.col("content").rlike(rules.DOC_NO)).select("doc", "line", F.col("start").alias("at"), "content", "next")
-    found = matches(rows, ["doc", "line"], "content", rules.DOC_NO).select("doc", "line", F.col("token").alias("label"), F.col("start").alias("l"), F.col("end").alias("r"))
-    return found.join(rows, ["doc", "line"]).withColumn("label_start", F.col("at") + F.col("l"))
+    found = matches(facing(docs, "doc", "text", rules.DOC_NO), ["doc", "line", "at", "content", "next"], "content", rules.DOC_NO)
+    return found.select("doc", "line", F.col("token").alias("label"), (F.col("at") + F.col("start")).alias("label_start"), F.col("start").alias("l"), F.col("end").alias("r"), "at", "content", "next")
 
 
 def candidates(labels: DataFrame) -> DataFrame:
@@ -99,8 +96,7 @@ def candidates(labels: DataFrame) -> DataFrame:
     token = F.regexp_extract(rest, GAP + f"({TOKEN})", 1)
     a = F.col("r") + F.length(F.regexp_extract(rest, GAP, 0))
     beside = labels.filter(token != "").select("doc", "label_start", F.lit(False).alias("below"), token.alias("token"), a.alias("a"), F.col("at").alias("from"), F.lit(0).alias("distance"), F.col("content").alias("line_text"))
-    rows = labels.select("doc", "line", "next").distinct()
-    under = matches(rows, ["doc", "line"], "next", TOKEN).join(labels, ["doc", "line"]).filter((F.col("start") < F.col("r")) & (F.col("end") > F.col("l")))
+    under = matches(labels, labels.columns, "next", TOKEN).filter((F.col("start") < F.col("r")) & (F.col("end") > F.col("l")))
     under = under.select("doc", "label_start", F.lit(True).alias("below"), "token", F.col("start").alias("a"), (F.col("at") + F.length("content") + 1).alias("from"), F.abs(F.col("start") - F.col("l")).alias("distance"), F.col("next").alias("line_text"))
     end = F.col("a") + F.length("token")
     return beside.unionByName(under).select(

@@ -46,6 +46,13 @@ def lines(df: DataFrame, key: str, text: str) -> DataFrame:
     return rows.select(key, "line", *[F.col(f"m.{c}").cast("long").alias(c) for c in ("start", "end")], F.col("m.token").alias("content"))
 
 
+def facing(df: DataFrame, key: str, text: str, pattern: str) -> DataFrame:
+    """(key, line, at, content, next) of the lines that match a pattern, with the line below; both come from the row alone."""
+    rows = df.select(key, S.lines(F.col(text)).alias("_l"))
+    each = F.transform("_l", lambda x, i: F.struct(i.alias("line"), x["start"].cast("long").alias("at"), x["token"].alias("content"), F.get("_l", i + 1)["token"].alias("next")))
+    return rows.select(key, F.explode(F.filter(each, lambda x: x["content"].rlike(pattern))).alias("x")).select(key, "x.*")
+
+
 def confidence(spans: DataFrame, words: DataFrame, key: list[str]) -> DataFrame:
     """Least confidence of the words that a span touches; null without any."""
     w = words.select(*key, F.col("start").alias("_s"), F.col("end").alias("_e"), "confidence")

@@ -7,7 +7,7 @@ import re
 import pytest
 from gristmill.functions import gstin
 from gristmill.functions import spans as S
-from gristmill.operators import spans
+from gristmill.operators import docno, pages, rules, spans
 from gristmill.plans import adapter as A
 from gristmill.plans import queries as invoices
 from pyspark.sql import functions as F
@@ -53,3 +53,20 @@ def test_check_digits(spark):
     want = [gstin.ALPHABET[(36 - sum(sum(divmod(value(c) * (1 + i % 2), 36)) for i, c in enumerate(g)) % 36) % 36] for g in given]
     got = spark.createDataFrame([(g,) for g in given], "g string").select(gstin.check_digit(F.col("g")).alias("d")).collect()
     assert [r.d for r in got] == want and want[0] == "V"
+
+
+def test_lines_and_labels_stay_within_the_row(spark, sf):
+    texts = spark.createDataFrame([(1, "Invoice No.\nINV-7\nHSN\n9983")], "doc long, text string")
+    for df in (docno._labels(texts), rules.wrapped_labels(texts), rules.doc_numbers(texts)):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join" not in plan and "Window" not in plan
+    assert [(r.at, r.content, r.next) for r in spans.facing(texts, "doc", "text", "INV|99").collect()] == [(12, "INV-7", "HSN"), (22, "9983", None)]
+
+
+def test_detector_filters_agree_with_detectors(spark):
+    given = ["Shipping Bill To: yard", "shipping bill 7", "ſez unit", "under LUT", "2 CAD drawings", "Total USD 1,200.00", "Currency: EUR", "conversion rate", "£", "Invoice 7", "", None]
+    d = spark.createDataFrame([(t,) for t in given], "t string")
+    t = F.col("t")
+    old = lambda ps, f: F.array_max(F.array(*[F.coalesce(t.rlike(f + p), F.lit(False)) for p in ps]))
+    r = d.select(t, pages.has_export(t).alias("e"), old([p for p, _, _ in pages.EXPORT], "(?iU)").alias("oe"), pages.has_currency(t).alias("c"), old(pages.CURRENCY, "(?U)").alias("oc")).collect()
+    assert all(bool(x.e) == x.oe and bool(x.c) == x.oc for x in r)
