@@ -23,9 +23,9 @@ its groups that is not a repeat itself. A round is linear in the rows of the
 groups. From the second round on, what is left of a group of FEW rows or fewer is
 compared pair by pair. What a larger group still holds after ROUNDS rounds (documents
 alike but not alike enough, or with a common line) is compared completely, blocks of
-the group with blocks: a matrix product counts the tokens that the surroundings of two
-places share, and the pairs with enough of them are aligned, edits allowed; a member gives
-one row a block there, its earliest match. Every group goes this way by its own
+the group with blocks: a document's places within a stretch are one row there; a matrix product
+counts the tokens that the surroundings of two rows share, and the pairs with enough of them
+are aligned, edits allowed; each place keeps its earliest match of a block. Every group goes this way by its own
 size, so other documents do not decide what is found in it.
 
 Leaders come from an aggregation before the shuffle and a join that Spark can
@@ -65,6 +65,8 @@ _SEEDS = tk.mix(np.arange(1, HASHES + 1, dtype=tk.U) * tk.U(0x9E3779B97F4A7C15))
 FEW = 17
 ROUNDS = 3
 _BLOCK = 256
+#: Tokens whose places in a document are one row of a block.
+PIECE = 128
 #: Tokens on either side of a place that are looked at.
 REACH = 2 * LEAST
 #: Equal tokens of the shortest passage: 9 s >= 4 (LEAST + LEAST).
@@ -369,8 +371,8 @@ def shared_tokens(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return total
 
 
-def may_hold_place(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """For the row x and every row of y: whether some LEAST or more tokens of x around the place, from one in y to one in y, have 4 in 5 in y. Every passage has."""
+def may_hold_place(x: np.ndarray, y: np.ndarray, last: int = REACH) -> np.ndarray:
+    """For the row x and every row of y: whether some LEAST or more tokens of x around a place from REACH to ``last``, from one in y to one in y, have 4 in 5 in y. Every passage has."""
     vocabulary, at = np.unique(x, return_inverse=True)
     place = np.minimum(np.searchsorted(vocabulary, y), len(vocabulary) - 1)
     row, col = np.nonzero(vocabulary[place] == y)
@@ -379,45 +381,72 @@ def may_hold_place(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     held = known[:, at]
     total = np.zeros((len(y), len(x) + 1), np.int16)
     np.cumsum(np.where(held, 1, -4), axis=1, out=total[:, 1:])
-    low = np.minimum.accumulate(np.where(held[:, : REACH + 1], total[:, : REACH + 1], np.int16(1 << 14)), axis=1)
+    low = np.minimum.accumulate(np.where(held[:, : last + 1], total[:, : last + 1], np.int16(1 << 14)), axis=1)
     end = np.arange(REACH + 1, len(x) + 1)
-    gain = total[:, end] - low[:, np.minimum(REACH, end - LEAST)]
+    gain = total[:, end] - low[:, np.minimum(last, end - LEAST)]
     return (held[:, end - 1] & (gain >= 0)).any(axis=1)
 
 
 def holds_place(p: np.ndarray, q: np.ndarray) -> bool:
     """Whether a passage of p and q holds the place in p that its row was cut around."""
-    if any(a <= REACH < z for a, z, _ in aligned(p, q)):
-        return True
-    return any(a <= REACH < z for a, z, *_ in passages_of(p, q, shifts=(-LEAST, LEAST)))
+    return bool(places_held(p, q, np.array([REACH]), 0))
+
+
+def places_held(p: np.ndarray, q: np.ndarray, places: np.ndarray, spread: int) -> list[tuple[int, int, int]]:
+    """(first, last, shift) of the places in p that each passage of p and q holds, of passages that hold one; the places in q that they met are ``spread`` apart."""
+    n = min(len(p), len(q))
+    found = [(a, z, 0) for a, z, _ in aligned(p[:n], q[:n])]
+    if not all(any(a <= c < z for a, z, _ in found) for c in places):
+        shifts = (int(places[0]) - REACH - spread - LEAST, int(places[-1]) - REACH + LEAST)
+        found += [(a, z, a - b) for a, z, b, *_ in passages_of(p, q, shifts=shifts)]
+    out = []
+    for a, z, shift in found:
+        held = places[(places >= a) & (places < z)]
+        if len(held):
+            out.append((int(held[0]), int(held[-1]), shift))
+    return out
 
 
 def in_blocks(members: DataFrame, sizes: DataFrame, tokens: DataFrame) -> DataFrame:
-    """(doc_id, text_key, c, first_doc, first_key, fc) of members of the groups in ``sizes`` (_g, m) and the least document of a block with a passage at their place."""
-    m = sizes.select("_g", F.ceil(F.col("m") / _BLOCK).alias("blocks"))
-    rows = members.join(m, members.sig == F.col("_g")).join(tokens, ["doc_id", "text_key"])
-    slices = rows.select("sig", F.pmod(F.xxhash64("doc_id", "text_key"), F.col("blocks")).alias("block"), "doc_id", "text_key", "c", _cut(F.greatest(F.col("c") - REACH, F.lit(0)), F.col("c") + REACH).alias("p"))
-    blocks = slices.groupBy("sig", "block").agg(F.collect_list(F.struct("doc_id", "text_key", "c", "p")).alias("rows"))  # about _BLOCK rows each
+    """(doc_id, text_key, c, first_doc, first_key, fc) of members of the groups in ``sizes`` (_g) and, for each place, the least document of a block with a passage there.
+
+    A document's places within PIECE tokens are one row with its surroundings: a run of
+    one word has as many places as words. A passage gives its first and last place.
+    """
+    piece = F.floor(F.col("c") / PIECE).alias("piece")
+    pieces = members.join(sizes.select("_g"), members.sig == F.col("_g"), "left_semi").groupBy("sig", "doc_id", "text_key", piece).agg(F.array_sort(F.collect_set("c")).alias("cs"))
+    m = pieces.groupBy("sig").agg(F.ceil(F.count("*") / _BLOCK).alias("blocks")).select(F.col("sig").alias("_g"), "blocks")
+    rows = pieces.join(m, pieces.sig == F.col("_g")).join(tokens, ["doc_id", "text_key"])
+    from_, to = F.greatest(F.get("cs", F.lit(0)) - REACH, F.lit(0)), F.element_at("cs", -1) + REACH
+    slices = rows.select("sig", F.pmod(F.xxhash64("doc_id", "text_key", "piece"), F.col("blocks")).alias("block"), "doc_id", "text_key", "cs", _cut(from_, to).alias("p"))
+    blocks = slices.groupBy("sig", "block").agg(F.collect_list(F.struct("doc_id", "text_key", "cs", "p")).alias("rows"))  # about _BLOCK rows each
     x = blocks.select("sig", F.col("block").alias("i"), F.col("rows").alias("x"))
     y = blocks.select("sig", F.col("block").alias("j"), F.col("rows").alias("y"))
 
     def columns(rows, blank):
-        doc, key, c, p = rows.flatten().flatten()
-        c, table = c.to_numpy(), np.full((len(rows.flatten()), 2 * REACH), blank, np.int64)
+        doc, key, cs, p = rows.flatten().flatten()
+        cs = [np.array(c, np.int64) for c in cs.to_pylist()]
+        table = np.full((len(cs), 2 * REACH + max(int(c[-1] - c[0]) for c in cs)), blank, np.int64)
         for k, b in enumerate(p.to_pylist()):
-            t, at = np.frombuffer(b, "<u4"), max(0, REACH - int(c[k]))
+            t, at = np.frombuffer(b, "<u4"), max(0, REACH - int(cs[k][0]))
             table[k, at : at + len(t)] = t
-        return doc.to_numpy(), key.to_numpy(), c, table
+        return doc.to_numpy(), key.to_numpy(), cs, table
 
     def matches(late, early):
-        """(late row, early row): for each late row the least early document that holds a passage at the place."""
+        """(late row, c, early row, fc): for each place of a late row the least early document that holds a passage there."""
         near = (early[0][None, :] < late[0][:, None]) & (shared_tokens(late[3], early[3]) >= SHARED)
         for a in np.flatnonzero(near.any(axis=1)):
             row = np.flatnonzero(near[a])
-            row = row[may_hold_place(late[3][a], early[3][row])]
+            cs, lo = late[2][a], int(late[2][a][0])
+            row = row[may_hold_place(late[3][a], early[3][row], REACH + int(cs[-1]) - lo)]
             for b in row[np.argsort(early[0][row], kind="stable")]:
-                if holds_place(late[3][a], early[3][b]):
-                    yield a, b
+                start = int(cs[0]) - lo  # what is left of the row's places, and their surroundings
+                p, other = late[3][a][start : int(cs[-1]) - lo + 2 * REACH], early[2][b]
+                for first, last, shift in places_held(p, early[3][b], cs - lo - start + REACH, int(other[-1] - other[0])):
+                    for c in {first, last}:
+                        yield a, c + start + lo - REACH, b, c - shift - REACH + int(other[0])
+                    cs = cs[(cs < first + start + lo - REACH) | (cs > last + start + lo - REACH)]
+                if not len(cs):
                     break
 
     names = ["doc_id", "text_key", "c", "first_doc", "first_key", "fc"]
@@ -428,8 +457,8 @@ def in_blocks(members: DataFrame, sizes: DataFrame, tokens: DataFrame) -> DataFr
             for k in range(b.num_rows):
                 p, q = columns(b.column(0).slice(k, 1), -1), columns(b.column(1).slice(k, 1), -2)
                 found = [(p, q, *z) for z in matches(p, q)] + ([(q, p, *z) for z in matches(q, p)] if b.column(2)[k].as_py() else [])
-                out = [[r[0][i][r[2]] for r in found] for i in range(3)] + [[r[1][i][r[3]] for r in found] for i in range(3)]
-                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, kinds, strict=True)], names=names)
+                out = [(l[0][i], l[1][i], c, e[0][j], e[1][j], fc) for l, e, i, c, j, fc in found]
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out, strict=True) if out else [[]] * len(kinds), kinds, strict=True)], names=names)
 
     # a group's pairs of blocks go to all tasks, not to the one of its signature
     n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -372,6 +372,26 @@ def test_places_that_may_hold_a_passage():
     assert all(may for may, q in zip(want, y, strict=True) if passages.holds_place(x, q))
 
 
+def test_places_of_a_repeated_word_are_one_row(spark):
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(5)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), 7))
+    texts = [" ".join([*(word() for _ in range(60)), *["again"] * (150 + 3 * i), *(word() for _ in range(60))]) for i in range(20)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    members = passages.shared_windows(docs).cache()
+    sizes = members.groupBy(F.col("sig").alias("_g")).count()
+    got = passages.in_blocks(members, sizes, passages._token_arrays(docs, members).cache()).collect()
+    places = members.select("doc_id", "c").distinct().groupBy("doc_id").count().collect()
+    assert min(r["count"] for r in places) > 90  # a place a word, each a row of its own before
+    assert {r.doc_id for r in got} == set(range(1, 20)) and {r.first_doc for r in got} == {0}
+    pieces = members.select("sig", "doc_id", F.floor(F.col("c") / passages.PIECE)).distinct().count()
+    assert len(got) <= 4 * pieces
+    for r in members.select("doc_id", "c").distinct().collect():
+        mine = [x for x in got if x.doc_id == r.doc_id]
+        assert r.doc_id == 0 or min(x.c for x in mine) <= r.c <= max(x.c for x in mine)
+
+
 def test_passages_of_two_documents():
     """Against all stretches of an edited copy, by longest common subsequences of runs."""
     import numpy as np
