@@ -70,3 +70,13 @@ def test_detector_filters_agree_with_detectors(spark):
     old = lambda ps, f: F.array_max(F.array(*[F.coalesce(t.rlike(f + p), F.lit(False)) for p in ps]))
     r = d.select(t, pages.has_export(t).alias("e"), old([p for p, _, _ in pages.EXPORT], "(?iU)").alias("oe"), pages.has_currency(t).alias("c"), old(pages.CURRENCY, "(?U)").alias("oc")).collect()
     assert all(bool(x.e) == x.oe and bool(x.c) == x.oc for x in r)
+
+
+def test_only_figures_beside_a_notation_are_held_against_patterns(spark):
+    from gristmill.functions import numbers
+
+    rows = [(1, "(", ")", True), (2, "", " cR\n", True), (3, "", "-\n", True), (4, "x − ", "", True), (5, "Total ", "\n", False), (6, "INV/", " - ", False)]
+    t = spark.createDataFrame(rows, "id int, before string, after string, may boolean")
+    got = t.select("id", "may", numbers.may_be_credit(t.before, t.after).alias("got"), numbers.credit(F.concat("before", F.lit("\uffff"), "after"), F.lit("5")).isNotNull().alias("is_credit")).collect()
+    assert [(r.id, r.got) for r in got] == [(r.id, r.may) for r in got]
+    assert [r.id for r in got if r.is_credit] == [1, 2, 3, 4]
