@@ -80,3 +80,10 @@ def test_only_figures_beside_a_notation_are_held_against_patterns(spark):
     got = t.select("id", "may", numbers.may_be_credit(t.before, t.after).alias("got"), numbers.credit(F.concat("before", F.lit("\uffff"), "after"), F.lit("5")).isNotNull().alias("is_credit")).collect()
     assert [(r.id, r.got) for r in got] == [(r.id, r.may) for r in got]
     assert [r.id for r in got if r.is_credit] == [1, 2, 3, 4]
+
+
+def test_spelling_reads_no_figure(spark, sf):
+    from gristmill.plans import queries
+
+    plan = queries.queries()["ground_spelling"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" in plan and r"[0-9,]*\.?[0-9]+" not in plan
