@@ -2,6 +2,8 @@
 
 Pages come with their OCR words in one array (null for a page with a text layer),
 so a look-up is a join of a value with its document's pages and a filter in the row.
+Where a row has the OCR rows beside the value, ``in_rows`` and ``printed_in_rows`` look it
+up in one pass over them: nothing is shuffled and no array of words is built.
 """
 
 from __future__ import annotations
@@ -10,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import quoted
-from .pages import page_starts
+from .pages import page_starts, read_rows
 
 _WORD = r"[\p{L}\p{N}_]"
 
@@ -34,6 +36,33 @@ def of_span(words: Column, start: Column, end: Column) -> Column:
     return F.when(start < end, F.array_min(F.transform(touched, lambda w: w["confidence"])))
 
 
+def in_rows(rows: Column, start: Column, end: Column) -> Column:
+    """The confidence of a span of a document by its OCR rows, an array of (page, native, text, conf) in order.
+
+    As in ``of_offsets``: of the page that the first character is on, up to that page's
+    end; null on native pages, between pages, for an empty span or one without words.
+    Words, lines and pages are one character apart, so offsets are running sums.
+    """
+
+    def step(acc: Column, x: Column) -> Column:
+        to = acc["at"] + F.length(x["text"])
+        touches = (start < end) & (acc["at"] < end) & (to > start)
+        # the first word touched tells the page; a start in front of a page's first word is on none
+        here = F.coalesce((acc["at"] <= start) | (acc["page"] == x["page"]), F.lit(False))
+        home = F.coalesce(acc["home"], F.when(touches, F.struct(F.when(here, x["page"]).alias("page"))))
+        counts = touches & ~x["native"] & F.when(acc["home"].isNull(), here).otherwise(acc["home"]["page"] == x["page"])
+        then = F.struct((to + 1).alias("at"), x["page"].alias("page"), home.alias("home"), F.when(counts, F.least(acc["least"], x["conf"])).otherwise(acc["least"]).alias("least"))
+        return F.when(acc["at"] >= end, acc).otherwise(then)  # nothing further on is touched
+
+    none = F.struct(F.lit(0).alias("at"), F.lit(None).cast("int").alias("page"), F.lit(None).cast("struct<page:int>").alias("home"), F.lit(None).cast("double").alias("least"))
+    return F.aggregate(read_rows(rows), none, step, lambda acc: acc["least"] / 100)
+
+
+def printed_in_rows(text: Column, rows: Column, value: Column) -> Column:
+    """The least confidence of all places where a page's text (``pages.text_of_rows``) prints a value, as in ``of_text``, by its OCR rows."""
+    return F.array_min(F.transform(printed_at(text, value), lambda at: in_rows(rows, at, at + F.length(value))))
+
+
 def of_offsets(spans: DataFrame, pages: DataFrame) -> DataFrame:
     """spans (doc, start, end, ...) with ``confidence``: of the page that the first character is on, up to that page's end; null on native pages."""
     p = pages.select(F.col("doc").alias("_d"), F.col("start").alias("_at"), (F.col("start") + F.length("text")).alias("_to"), "words")
