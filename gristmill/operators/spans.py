@@ -1,4 +1,4 @@
-"""Span algebra: matches with code-point offsets, merging, blanking, lines, confidences.
+"""Span algebra: matches with code-point offsets, merging, blanking, lines.
 
 Offsets come from ``functions.spans``, within the row. Merging and blanking are
 windows partitioned by document, so a partition holds one document's spans.
@@ -51,11 +51,3 @@ def facing(df: DataFrame, key: str, text: str, pattern: str) -> DataFrame:
     rows = df.select(key, S.lines(F.col(text)).alias("_l"))
     each = F.transform("_l", lambda x, i: F.struct(i.alias("line"), x["start"].cast("long").alias("at"), x["token"].alias("content"), F.get("_l", i + 1)["token"].alias("next")))
     return rows.select(key, F.explode(F.filter(each, lambda x: x["content"].rlike(pattern))).alias("x")).select(key, "x.*")
-
-
-def confidence(spans: DataFrame, words: DataFrame, key: list[str]) -> DataFrame:
-    """Least confidence of the words that a span touches; null without any."""
-    w = words.select(*key, F.col("start").alias("_s"), F.col("end").alias("_e"), "confidence")
-    touch = (F.col("_s") < F.col("end")) & (F.col("_e") > F.col("start"))
-    out = spans.join(w, key, "left").withColumn("c", F.when(touch, F.col("confidence")))
-    return out.groupBy(*spans.columns).agg(F.min("c").alias("confidence"))
