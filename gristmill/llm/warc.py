@@ -40,19 +40,29 @@ MAGIC = b"\x1f\x8b\x08"
 VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 STEP = 1 << 18
 FILE_BYTES = 16 << 20
+_FIRST = 1 << 14
 _SMALL = 1 << 10
+#: A payload that so many rows have is looked up without bringing its rows together.
+COMMON = 1000
 
 
 def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(kind: str, page_id: int | None, url: str, payload: bytes, refers_to: int | None = None) -> bytes:
-    """One WARC record; a revisit has headers only and names the page that it repeats."""
+_EMPTY = digest(b"")
+
+
+def record(kind: str, page_id: int | None, url: str, payload: bytes, refers_to: int | None = None, named: tuple[int, str] | None = None) -> bytes:
+    """One WARC record; a revisit has headers only and names the page that it repeats.
+
+    ``named`` is the payload's (length, digest) where it is known, so that a revisit needs no payload.
+    """
     body = payload if kind == "response" else b""
+    length, name = named or (len(payload), digest(payload))
     head = {
         "WARC-Type": kind, "WARC-Record-ID": f"<urn:page:{'' if page_id is None else page_id}>", "WARC-Date": "2024-01-01T00:00:00Z",
-        "WARC-Target-URI": re.sub(r"[\r\n]", " ", url), "WARC-Payload-Digest": f"sha1:{digest(payload)}", "WARC-Block-Digest": f"sha1:{digest(body)}", "X-Payload-Length": len(payload),
+        "WARC-Target-URI": re.sub(r"[\r\n]", " ", url), "WARC-Payload-Digest": f"sha1:{name}", "WARC-Block-Digest": f"sha1:{name if body else _EMPTY}", "X-Payload-Length": length,
     }
     if kind == "revisit":
         head |= {"WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "WARC-Refers-To": f"<urn:page:{refers_to}>"}
@@ -75,6 +85,11 @@ class Tape:
             self.base, self.buf = offset, self.f.read_at(min(max(n, STEP), self.size - offset), offset)
         return self.buf[offset - self.base : offset - self.base + n]
 
+    def some(self, offset: int, n: int) -> bytes:
+        """Up to n bytes from offset, fewer where the window ends: what follows is read when it is asked for."""
+        have = self.base + len(self.buf) - offset
+        return self.at(offset, min(n, have) if offset >= self.base and have > 0 else n)
+
     def find(self, pattern: re.Pattern, start: int, upto: int | None = None) -> int:
         """Offset of the next match that begins in [start, upto), or upto (the end of the file)."""
         upto = self.size if upto is None else upto
@@ -96,7 +111,7 @@ class Member(Tape):
     """
 
     def __init__(self, file: Tape, start: int):
-        self.file, self.start, self.base, self.step = file, start, 0, STEP
+        self.file, self.start, self.end, self.base, self.step = file, start, start, 0, STEP
         for self.step in (STEP, _SMALL):  # an error loses the output of a whole step, so a damaged member is read in small ones
             self.problem, self.size, held = "", 0, []
             for piece in self._inflated():
@@ -109,9 +124,9 @@ class Member(Tape):
         self.buf, self.rest = b"".join(held) if short else b"", iter(()) if short else self._inflated()
 
     def _inflated(self) -> Iterator[bytes]:
-        z, self.end = zlib.decompressobj(31), self.start
+        z, at, n = zlib.decompressobj(31), self.start, min(_FIRST, self.step)
         while not z.eof:
-            chunk = self.file.at(self.end, self.step)
+            chunk, n = self.file.some(at, n), min(2 * n, self.step)  # most members are short, and what a chunk has behind them is copied
             if not chunk:
                 self.problem = "truncated member"
                 return
@@ -123,18 +138,19 @@ class Member(Tape):
             except zlib.error as e:
                 self.problem = str(e)
                 if spare:
-                    yield from self._bytewise(spare, chunk)
+                    yield from self._bytewise(spare, at, chunk)
                 return
-            self.end += len(chunk) - len(z.unused_data)
+            at += len(chunk) - len(z.unused_data)
+            self.end = max(self.end, at)  # a second reading, for the content, does not go to the end
 
-    def _bytewise(self, z, chunk: bytes) -> Iterator[bytes]:
+    def _bytewise(self, z, at: int, chunk: bytes) -> Iterator[bytes]:
         """What comes before the damage in the chunk."""
         for k in range(len(chunk)):
             try:
                 yield z.decompress(chunk[k : k + 1])
             except zlib.error:
                 return
-            self.end += 1
+            self.end = max(self.end, at + k + 1)
 
     def at(self, offset: int, n: int) -> bytes:
         parts, have = [self.buf], self.base + len(self.buf)
@@ -175,7 +191,6 @@ def parse(data: bytes) -> tuple[dict[str, str], bytes, int]:
 
 _GZIP = re.compile(re.escape(MAGIC))
 _LENGTH = re.compile(rb"(?i)\r\ncontent-length:\s*(\d+)\r\n")
-_FIRST = 1 << 14
 
 
 def record_at(tape: Tape, i: int) -> tuple[dict[str, str], bytes, int]:
@@ -277,12 +292,12 @@ def write_archives(rows: DataFrame, folder: str) -> DataFrame:
             return pa.RecordBatch.from_pydict({"path": [path], "records": [count]}, schema=manifest)
 
         for b in batches:
-            for page, url, html, kind, refers in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for page, url, payload, kind, refers, length, sha in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if out is None:
                     path, count, size, n = f"{root}/part-{ctx.partitionId():06d}-{ctx.taskAttemptId()}-{n}.warc.gz", 0, 0, n + 1
                     out = fs.open_output_stream(path, compression=None)
                 z = zlib.compressobj(6, zlib.DEFLATED, 31)
-                data = record(kind, page, url or "", (html or "").encode("utf-8", "replace"), refers)
+                data = record(kind, page, url or "", payload or b"", refers, (length, base64.b32encode(bytes.fromhex(sha)).decode()))
                 data = z.compress(data) + z.flush()
                 out.write(data)
                 count, size = count + 1, size + len(data)
@@ -292,7 +307,9 @@ def write_archives(rows: DataFrame, folder: str) -> DataFrame:
         if out is not None:
             yield shut()
 
-    return rows.select("page_id", "url", "html", "record_type", "refers_to").mapInArrow(task, "path string, records long")
+    payload = F.coalesce("html", F.lit("")).cast("binary")
+    body = F.when(F.col("record_type") == "response", payload)  # a revisit's stays where it is
+    return rows.select("page_id", "url", body.alias("payload"), "record_type", "refers_to", F.octet_length(payload).alias("length"), F.sha1(payload).alias("sha")).mapInArrow(task, "path string, records long")
 
 
 _READ = "path string, start long, stop long, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, problem string, gap_start long, gap_stop long"
@@ -333,13 +350,21 @@ def read_archives(manifest: DataFrame, folder: str) -> DataFrame:
     return manifest.select("path").mapInArrow(task, _READ)
 
 
-def with_types(pages: DataFrame) -> DataFrame:
-    """record_type and refers_to: of equal payloads the largest page_id is the response."""
+def with_types(pages: DataFrame, scratch: Scratch) -> DataFrame:
+    """record_type and refers_to: of equal payloads the largest page_id is the response.
+
+    Rows go by their payload's digest; those of a payload that COMMON rows or more have
+    are told by a broadcast of such payloads (at most one for COMMON rows) and spread.
+    """
     rows = pages.select("page_id", "url", "html").withColumn("_k", F.sha1(F.coalesce("html", F.lit("")).cast("binary")))
-    key = F.coalesce("page_id", F.lit(-(1 << 63)))
-    first = rows.groupBy(F.col("_k").alias("_f")).agg(F.max("page_id").alias("_first"))
-    out = rows.join(first, rows["_k"] == F.col("_f"), "left")
-    again = key < F.coalesce("_first", F.lit(-(1 << 63)))
+    least = F.lit(-(1 << 63))
+    twice = scratch.keep(rows.groupBy("_k").agg(F.max("page_id").alias("_first"), F.count("*").alias("_n")).filter("_n > 1"), "twice")
+    common = twice.filter(F.col("_n") >= COMMON).select(F.col("_k").alias("_c"), F.col("_first").alias("_common"))
+    seldom = twice.filter(F.col("_n") < COMMON).select(F.col("_k").alias("_s"), F.col("_first").alias("_seldom"))
+    out = rows.join(F.broadcast(common), F.col("_k") == F.col("_c"), "left")
+    out = out.withColumn("_at", F.when(F.col("_c").isNull(), F.col("_k")).otherwise(F.concat(F.lit("-"), F.xxhash64("page_id", "url").cast("string"))))  # such a name is no digest
+    out = out.join(seldom.hint("shuffle_hash"), F.col("_at") == F.col("_s"), "left").withColumn("_first", F.coalesce("_common", "_seldom"))
+    again = F.coalesce("page_id", least) < F.coalesce("_first", least)
     return out.select("page_id", "url", "html", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("_first")).alias("refers_to"))
 
 
@@ -347,7 +372,7 @@ def op7(pages: DataFrame) -> DataFrame:
     spark = pages.sparkSession
     scratch = Scratch(spark)
     folder = f"{scratch.root}/warc"
-    manifest = scratch.keep(write_archives(with_types(pages), folder), "manifest")
+    manifest = scratch.keep(write_archives(with_types(pages, scratch), folder), "manifest")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = read_archives(manifest.repartition(n, "path"), folder).filter("problem is null")
+    rows = read_archives(manifest.repartition(n), folder).filter("problem is null")
     return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
