@@ -12,9 +12,9 @@ UNITS = "nos|pcs|kgs?|mtrs?|ltrs?|sqft|sets?|boxes|box|pkt|units?|no[.]"
 _GAP = r"(?:[ \t]|[ \t]?-[ \t]?)"
 _ROW = rf"(?![ \t]*\b(?:{UNITS})(?![A-Za-z]))"
 #: Any date shape, a fragment of a serial and an item row included.
-SHAPE = rf"(?i)\b[0-9]{{1,2}}{_GAP}(?:{MONTHS})\b{_GAP}(?:[0-9]{{4}}|[0-9]{{2}})\b|\b[0-9]{{1,2}}[/.\-][0-9]{{1,2}}[/.\-](?:[0-9]{{4}}|[0-9]{{2}})\b"
+SHAPE = rf"(?i)(?=[0-9])(?:\b[0-9]{{1,2}}{_GAP}(?:{MONTHS})\b{_GAP}(?:[0-9]{{4}}|[0-9]{{2}})\b|\b[0-9]{{1,2}}[/.\-][0-9]{{1,2}}[/.\-](?:[0-9]{{4}}|[0-9]{{2}})\b)"
 #: A numeric date that goes on from a serial ("SFPL/24-25/0731") is none, nor is a two-digit year before a unit word.
-DATE = rf"(?i)\b[0-9]{{1,2}}{_GAP}(?:{MONTHS})\b{_GAP}(?:[0-9]{{4}}\b|[0-9]{{2}}\b{_ROW})|\b(?<![\p{{L}}\p{{N}}][/\-])[0-9]{{1,2}}[/.\-][0-9]{{1,2}}[/.\-](?:[0-9]{{4}}|[0-9]{{2}})\b"
+DATE = rf"(?i)(?=[0-9])(?:\b[0-9]{{1,2}}{_GAP}(?:{MONTHS})\b{_GAP}(?:[0-9]{{4}}\b|[0-9]{{2}}\b{_ROW})|\b(?<![\p{{L}}\p{{N}}][/\-])[0-9]{{1,2}}[/.\-][0-9]{{1,2}}[/.\-](?:[0-9]{{4}}|[0-9]{{2}})\b)"
 _NUMERIC = r"^([0-9]{1,2})[/.\-]([0-9]{1,2})[/.\-]([0-9]+)\z"
 _NAMED = r"(?i)^([0-9]{1,2})[ \t-]+([a-z]{3})[a-z]*[ \t-]+([0-9]+)\z"
 _ORDER = "jan feb mar apr may jun jul aug sep oct nov dec"

@@ -39,6 +39,11 @@ def found(text: Column, pattern: str) -> Column:
     return _placed(F.when(F.contains(text, F.lit(_OPEN)) | F.contains(text, F.lit(_CLOSE)), both).otherwise(marked), lambda x: x["gap"], lambda x: x["token"])
 
 
+def let(value: Column, use) -> Column:
+    """``use`` of a value that is derived once, however often it is read."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def lines(text: Column) -> Column:
     """array<struct<token, start, end>> of all lines; ``token`` is the line without its line feed."""
     ends = F.transform(F.split(text, "\n", -1), lambda x: F.struct(x.alias("line")))
@@ -60,6 +65,18 @@ def apart(spans: Column, claims: Column) -> Column:
     return F.filter(spans, lambda x: ~F.exists(claims, lambda c: meets(x, c)))
 
 
+def merged(spans: Column) -> Column:
+    """array<struct<start, end>> of the spans, cut at 0, empty ones left out, those that touch or overlap as one."""
+    cut = F.transform(spans, lambda x: F.struct(F.greatest(x["start"], F.lit(0)).alias("start"), x["end"].alias("end")))
+
+    def step(acc: Column, x: Column) -> Column:
+        last = F.get(acc, F.size(acc) - 1)
+        wider = F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"))
+        return F.when((F.size(acc) == 0) | (x["start"] > last["end"]), F.concat(acc, F.array(x))).otherwise(F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(wider)))
+
+    return F.aggregate(F.array_sort(F.filter(cut, lambda x: x["start"] < x["end"])), F.array().cast("array<struct<start:int,end:int>>"), step)
+
+
 def line_before(text: Column, start: Column) -> Column:
     """What stands on the line in front of an offset."""
     return F.substring_index(F.substr(text, F.lit(1), start), "\n", -1)

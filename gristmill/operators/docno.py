@@ -12,9 +12,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dates
+from ..functions import spans as S
 from ..functions.text import said, strip, warning
 from . import rules
-from .spans import facing, matches
+from .spans import once
 
 # Heading words that are no numbers, the shortest number without digit or separator, the longest number.
 HEADINGS = "amount bill date dated description dt due gstin hsn invoice no nos number of particulars place qty rate ref reference sac sl sr supply tax total".split()
@@ -77,6 +78,7 @@ UNREAD = ". The invoice number could not be extracted; if one is visible on the
 GAP = r"^[ \t.:#\-]*"
 TOKEN = r"[A-Za-z0-9][A-Za-z0-9/\-]*"
 UNIT = rf"\b(?:{dates.UNITS})(?![A-Za-z])"
+_TOKEN = "struct<token:string,start:int,digit:boolean,reason:string,printed:string>"
 
 
 def rank(label: Column) -> Column:
@@ -84,109 +86,148 @@ def rank(label: Column) -> Column:
     return F.coalesce(*[F.when(low.startswith(r), i) for i, r in enumerate(rules.RANKS)], F.lit(len(rules.RANKS)))
 
 
+def _faced(text: Column) -> Column:
+    """array<struct<label, label_start, l, r, at, content, next>>: labels with their columns [l, r) and the next line."""
+
+    def read(x: Column) -> Column:
+        before, after = S.line_before(text, x["start"]), F.split(F.substr(text, x["end"] + 1), "\n", 3)
+        l, r = F.length(before), F.length(before) + x["end"] - x["start"]
+        return F.struct(x["token"].alias("label"), x["start"].alias("label_start"), l.alias("l"), r.alias("r"), (x["start"] - l).alias("at"), F.concat(before, x["token"], F.get(after, 0)).alias("content"), F.get(after, 1).alias("next"))
+
+    return F.transform(S.found(text, rules.DOC_NO), read)
+
+
 def _labels(docs: DataFrame) -> DataFrame:
-    """(doc, line, label, label_start, l, r, at, content, next): labels with their columns [l, r) and the next line."""
-    found = matches(facing(docs, "doc", "text", rules.DOC_NO), ["doc", "line", "at", "content", "next"], "content", rules.DOC_NO)
-    return found.select("doc", "line", F.col("token").alias("label"), (F.col("at") + F.col("start")).alias("label_start"), F.col("start").alias("l"), F.col("end").alias("r"), "at", "content", "next")
-
-
-def candidates(labels: DataFrame) -> DataFrame:
-    """(doc, label_start, below, token, start, end, distance, before, after) of every token that a label may name."""
-    rest = F.substr("content", F.col("r") + 1)
-    token = F.regexp_extract(rest, GAP + f"({TOKEN})", 1)
-    a = F.col("r") + F.length(F.regexp_extract(rest, GAP, 0))
-    beside = labels.filter(token != "").select("doc", "label_start", F.lit(False).alias("below"), token.alias("token"), a.alias("a"), F.col("at").alias("from"), F.lit(0).alias("distance"), F.col("content").alias("line_text"))
-    under = matches(labels, labels.columns, "next", TOKEN).filter((F.col("start") < F.col("r")) & (F.col("end") > F.col("l")))
-    under = under.select("doc", "label_start", F.lit(True).alias("below"), "token", F.col("start").alias("a"), (F.col("at") + F.length("content") + 1).alias("from"), F.abs(F.col("start") - F.col("l")).alias("distance"), F.col("next").alias("line_text"))
-    end = F.col("a") + F.length("token")
-    return beside.unionByName(under).select(
-        "doc", "label_start", "below", "token", (F.col("from") + F.col("a")).alias("start"), (F.col("from") + end).alias("end"), "distance",
-        F.when(F.col("a") >= 2, F.substr("line_text", F.col("a") - 1, F.lit(2))).alias("before"), F.substr("line_text", end + 1).alias("after"),
-    )
+    """(doc, label, label_start, l, r, at, content, next)."""
+    return docs.select("doc", F.inline(_faced(F.col("text"))))
 
 
-def refused(found: DataFrame, gstins: DataFrame, found_dates: DataFrame) -> DataFrame:
-    """Candidates with ``digit``, ``reason`` (null: accepted) and the date ``printed`` over them.
+def _judged(c: Column, below: bool, gstins: Column, shapes: Column) -> Column:
+    """struct(token, start, digit, reason, printed) of a candidate (token, start, end, before, after).
 
-    reason: gstin, date, date_part, number, quantity, heading, truncated or no_digit.
+    reason (null: accepted): gstin, date, date_part, number, quantity, heading, truncated
+    or no_digit. Any real date shape refuses a token, even one inside a serial.
     """
-    span = lambda d, kind: d.select("doc", F.lit(kind).alias("kind"), F.col("token").alias("_t"), F.col("start").alias("_s"), F.col("end").alias("_e"))
-    other = span(gstins, "gstin").unionByName(span(found_dates.filter("real"), "date"))
-    over = (F.col("c.doc") == F.col("o.doc")) & (F.col("_s") < F.col("end")) & (F.col("start") < F.col("_e"))
-    key = ["label_start", "below", "token", "start", "end", "distance", "before", "after"]
-    met = found.alias("c").join(other.alias("o"), over, "left").groupBy("c.doc", *key)
-    met = met.agg(F.bool_or(F.col("kind") == "gstin").alias("gstin"), F.min(F.when(F.col("kind") == "date", F.struct("_s", "_e", "_t"))).alias("d"))
-    part = F.coalesce(F.col("before").rlike(r"^[0-9][.,]\z"), F.lit(False)) | F.col("after").rlike(r"^(?:\.[0-9]|,[0-9]{2,3}(?![0-9]))")
-    unit = F.when(F.col("below"), F.col("after").rlike(f"(?i){UNIT}")).otherwise(F.col("after").rlike(rf"(?i)^[ \t]*{UNIT}"))
-    digit, low = F.col("token").rlike("[0-9]"), F.lower("token")
-    reason = (
-        F.when(F.col("below") & ~digit, "no_digit")
-        .when(F.col("gstin"), "gstin")
-        .when((F.col("d._s") == F.col("start")) & (F.col("d._e") == F.col("end")), "date")
-        .when(F.col("d").isNotNull(), "date_part")
-        .when(part, "number")
-        .when(unit, "quantity")
-        .when(digit, None)
-        .when(low.isin(*HEADINGS), "heading")
-        .when(~low.rlike("[/-]") & (F.length("token") < SHORTEST), "truncated")
-    )
-    return met.select("doc", *key, digit.alias("digit"), reason.alias("reason"), F.col("d._t").alias("printed"))
-
-
-def choices(docs: DataFrame, gstins: DataFrame, found_dates: DataFrame) -> DataFrame:
-    """One row a label: its value and method (regex: beside, column: below), or what was refused on either side.
+    on = F.filter(shapes, lambda d: S.meets(d, c) & dates.real(d["token"]))
+    first = F.array_min(F.transform(on, lambda d: F.struct(d["start"].alias("start"), d["end"].alias("end"), d["token"].alias("token"))))
+    read = F.struct(first.alias("d"), c["token"].rlike("[0-9]").alias("digit"))
+    part = F.coalesce(c["before"].rlike(r"^[0-9][.,]\z"), F.lit(False)) | c["after"].rlike(r"^(?:\.[0-9]|,[0-9]{2,3}(?![0-9]))")
+    unit = c["after"].rlike(f"(?i){UNIT}" if below else rf"(?i)^[ \t]*{UNIT}")
+    low = F.lower(c["token"])
+
+    def judge(x: Column) -> Column:
+        d, digit = x["d"], x["digit"]
+        reason = (
+            F.when(~digit & F.lit(below), "no_digit")
+            .when(F.exists(gstins, lambda g: S.meets(g, c)), "gstin")
+            .when((d["start"] == c["start"]) & (d["end"] == c["end"]), "date")
+            .when(d.isNotNull(), "date_part")
+            .when(part, "number")
+            .when(unit, "quantity")
+            .when(digit, None)
+            .when(low.isin(*HEADINGS), "heading")
+            .when(~low.rlike("[/-]") & (F.length(c["token"]) < SHORTEST), "truncated")
+        )
+        return F.struct(c["token"].alias("token"), c["start"].alias("start"), digit.alias("digit"), reason.alias("reason"), d["token"].alias("printed"))
+
+    return S.let(read, judge)
+
+
+def _beside(x: Column, gstins: Column, shapes: Column) -> Column:
+    """The judged token beside a label, null without one."""
+    rest = F.substr(x["content"], x["r"] + 1)
+    named = F.struct(rest.alias("rest"), F.regexp_extract(rest, GAP + f"({TOKEN})", 1).alias("token"))
+
+    def candidate(y: Column) -> Column:
+        gap = F.position(y["token"], y["rest"]) - 1  # what stands before the token holds none of its characters
+        start = x["at"] + x["r"] + gap
+        before = F.substr(x["content"], x["r"] + gap - 1, F.lit(2))
+        return F.struct(y["token"].alias("token"), start.alias("start"), (start + F.length(y["token"])).alias("end"), before.alias("before"), F.substr(y["rest"], gap + F.length(y["token"]) + 1).alias("after"))
+
+    return S.let(named, lambda y: F.when(y["token"] != "", S.let(candidate(y), lambda c: _judged(c, False, gstins, shapes))))
+
+
+def _below(x: Column, gstins: Column, shapes: Column) -> Column:
+    """array<struct<distance, start, x>> of the judged tokens in a label's column on the next line."""
+    under = F.filter(S.found(x["next"], TOKEN), lambda m: (m["start"] < x["r"]) & (m["end"] > x["l"]))
+    from_ = x["at"] + F.length(x["content"]) + 1
+
+    def candidate(m: Column) -> Column:
+        before = F.when(m["start"] >= 2, F.substr(x["next"], m["start"] - 1, F.lit(2)))
+        return F.struct(m["token"].alias("token"), (from_ + m["start"]).alias("start"), (from_ + m["end"]).alias("end"), before.alias("before"), F.substr(x["next"], m["end"] + 1).alias("after"), F.abs(m["start"] - x["l"]).alias("distance"))
+
+    judged = lambda c: F.struct(c["distance"].alias("distance"), c["start"].alias("start"), _judged(c, True, gstins, shapes).alias("x"))
+    return F.transform(F.transform(under, candidate), judged)
+
+
+def _choice(x: Column, gstins: Column, shapes: Column) -> Column:
+    """A label's value and method (regex: beside, column: below), or what was refused on either side.
 
     A token with a digit beside the label comes first, then the nearest accepted one
     below, then one without a digit beside it.
     """
-    labels = _labels(docs)
-    rows = refused(candidates(labels), gstins, found_dates)
-    side, ok = F.col("below"), F.col("reason").isNull()
-    token = F.struct("token", "start", "digit", "reason", "printed")
-    near = rows.groupBy("doc", "label_start").agg(
-        F.min(F.when(~side, token)).alias("b"),
-        F.min(F.when(side & ok, F.struct("distance", "start", token.alias("x")))).alias("u"),
-        F.min(F.when(side & ~ok, F.struct((~F.col("digit")).alias("word"), "distance", "start", token.alias("x")))).alias("n"),
-    )
-    all_ = labels.select("doc", "label_start", "label").join(near, ["doc", "label_start"], "left")
-    good = F.col("b").isNotNull() & F.col("b.reason").isNull()
-    taken = F.when(good & F.col("b.digit"), F.col("b")).otherwise(F.coalesce("u.x", F.when(good, F.col("b"))))
-    silent = (good & F.col("b.digit")) | F.col("u").isNotNull()
-    return all_.select(
-        "doc", "label_start", "label", rank(F.col("label")).alias("rank"), taken.token.alias("printed"), F.substr(taken.token, F.lit(1), F.lit(LONGEST)).alias("value"), taken.start.alias("start"),
-        F.when(taken.isNotNull(), F.when(good & F.col("b.digit"), "regex").when(F.col("u").isNotNull(), "column").otherwise("regex")).alias("method"),
-        F.when(~good, F.struct("b.token", "b.reason", "b.printed")).alias("beside_refused"), F.when(~F.coalesce(silent, F.lit(False)), F.struct("n.x.token", "n.x.reason", "n.x.printed")).alias("below_refused"),
-    )
+    good = lambda b: b.isNotNull() & b["reason"].isNull()
+    at_once = lambda b: F.coalesce(good(b) & b["digit"], F.lit(False))
+
+    def sides(b: Column) -> Column:
+        def nearest(us: Column) -> Column:
+            refused = F.transform(F.filter(us, lambda u: u["x"]["reason"].isNotNull()), lambda u: F.struct((~u["x"]["digit"]).alias("word"), u["distance"].alias("distance"), u["start"].alias("start"), u["x"].alias("x")))
+            return F.struct(F.array_min(F.filter(us, lambda u: u["x"]["reason"].isNull()))["x"].alias("u"), F.array_min(refused)["x"].alias("n"), b.alias("b"))
+
+        # the line below is read only where what stands beside does not settle it
+        return F.when(at_once(b), F.struct(F.lit(None).cast(_TOKEN).alias("u"), F.lit(None).cast(_TOKEN).alias("n"), b.alias("b"))).otherwise(S.let(_below(x, gstins, shapes), nearest))
+
+    def choose(s: Column) -> Column:
+        b, u, n = s["b"], s["u"], s["n"]
+        taken = F.when(at_once(b), b).otherwise(F.coalesce(u, F.when(good(b), b)))
+        silent = at_once(b) | u.isNotNull()
+        why = lambda y: F.struct(y["token"].alias("token"), y["reason"].alias("reason"), y["printed"].alias("printed"))
+        return F.struct(
+            x["label_start"].cast("long").alias("label_start"), x["label"].alias("label"), rank(x["label"]).alias("rank"), taken["token"].alias("printed"), F.substr(taken["token"], F.lit(1), F.lit(LONGEST)).alias("value"), taken["start"].cast("long").alias("start"),
+            F.when(taken.isNotNull(), F.when(at_once(b), "regex").when(u.isNotNull(), "column").otherwise("regex")).alias("method"), F.when(~good(b), why(b)).alias("beside_refused"), F.when(~silent, why(n)).alias("below_refused"),
+        )
+
+    return S.let(S.let(_beside(x, gstins, shapes), sides), choose)
 
 
-def doc_no(docs: DataFrame) -> DataFrame:
-    """One row a document: the number of its first label that yields one.
+def doc_no(docs: DataFrame, gstins: str | None = None) -> DataFrame:
+    """One row a document: the number of its first label that yields one, within the row.
 
     outcome: taken, refused (with the first label that has a refusal), no_value or no_label.
     notes: column (chosen by layout), no_digit, cut (longer than LONGEST), competing
     (a later label, as specific, names another number), wrapped (a label broken over lines).
+    ``gstins`` is a column of GSTIN shapes, where it is at hand.
     """
-    # any real date shape refuses a token, even one inside a serial
-    each = choices(docs, rules.gstins(docs), rules.date_shapes(docs))
-    fields = ["label_start", "label", "rank", "printed", "value", "start", "method", "beside_refused", "below_refused"]
-    per = each.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("all"))
-    wrapped = rules.wrapped_labels(docs).groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("start", "token"))).alias("wrapped"))
-    out = docs.select("doc").join(per, "doc", "left").join(wrapped, "doc", "left")
-    out = out.withColumn("t", F.get(F.filter("all", lambda x: x.value.isNotNull()), 0))
-    out = out.withColumn("no", F.get(F.filter("all", lambda x: x.beside_refused.token.isNotNull() | x.below_refused.token.isNotNull()), 0))
+    return read(docs.select("doc", "text", *([gstins] if gstins else [])), gstins).select("doc", "number.*")
+
+
+def read(docs: DataFrame, gstins: str | None = None) -> DataFrame:
+    """docs with ``number``: what ``doc_no`` has of each."""
+    text = F.coalesce("text", F.lit(""))
+    kept = docs.columns
+    rows = once(docs, _faced=_faced(text))
+    labels = F.transform("_faced", lambda x: F.struct(x["label_start"].alias("start"), (x["label_start"] + F.length(x["label"])).alias("end")))
+    none = F.array().cast(S._NONE)
+    shapes, others = [F.when(F.size("_faced") > 0, x).otherwise(none) for x in (S.found(text, dates.SHAPE), S.found(text, rules.GSTIN))]
+    rows = once(rows, _shapes=shapes, _gstins=F.col(gstins) if gstins else others, wrapped=F.transform(rules.wrapped(text, labels), lambda x: F.struct(x["start"].cast("long").alias("start"), x["token"].alias("token"))))
+    rows = once(rows, all=F.when(F.size("_faced") > 0, F.transform("_faced", lambda x: _choice(x, F.col("_gstins"), F.col("_shapes")))))
+    t = F.get(F.filter("all", lambda x: x["value"].isNotNull()), 0)
+    no = F.get(F.filter("all", lambda x: x["beside_refused"]["token"].isNotNull() | x["below_refused"]["token"].isNotNull()), 0)
+    rows = once(rows, t=t, no=no)
     t, no = F.col("t"), F.col("no")
-    rivals = F.filter("all", lambda x: (x.label_start > t.label_start) & (x["rank"] <= t["rank"]) & (x.value != t.value))
+    rows = once(rows, rivals=F.filter("all", lambda x: (x["label_start"] > t["label_start"]) & (x["rank"] <= t["rank"]) & (x["value"] != t["value"])), said=F.coalesce(t, no, F.get("all", 0)))
+    rivals, said_ = F.col("rivals"), F.col("said")
     outcome = F.when(F.col("all").isNull(), "no_label").when(t.isNotNull(), "taken").when(no.isNotNull(), "refused").otherwise("no_value")
-    said = F.coalesce(t, no, F.get("all", 0))
     notes = F.array(
-        F.when(t.method == "column", "column"), F.when((t.method == "regex") & ~t.value.rlike("[0-9]"), "no_digit"), F.when(F.length(t.printed) > LONGEST, "cut"),
+        F.when(t["method"] == "column", "column"), F.when((t["method"] == "regex") & ~t["value"].rlike("[0-9]"), "no_digit"), F.when(F.length(t["printed"]) > LONGEST, "cut"),
         F.when(F.size(rivals) > 0, "competing"), F.when(F.size("wrapped") > 0, "wrapped"),
     )
-    return out.select(
-        "doc", outcome.alias("outcome"), said.label.alias("label"), said.label_start.alias("label_start"), t.value.alias("value"), t.start.alias("start"), (t.start + F.length(t.value)).alias("end"), t.method.alias("method"),
-        said.beside_refused.alias("beside_refused"), said.below_refused.alias("below_refused"), F.transform(rivals, lambda x: F.struct(x.label.alias("label"), x.label_start.alias("label_start"), x.value.alias("value"))).alias("competing"), F.array_compact(notes).alias("notes"),
-        F.length(t.printed).alias("printed_size"), F.coalesce("wrapped", F.array().cast("array<struct<start:bigint,token:string>>")).alias("wrapped"),
+    number = F.struct(
+        outcome.alias("outcome"), said_["label"].alias("label"), said_["label_start"].alias("label_start"), t["value"].alias("value"), t["start"].alias("start"), (t["start"] + F.length(t["value"])).alias("end"), t["method"].alias("method"),
+        said_["beside_refused"].alias("beside_refused"), said_["below_refused"].alias("below_refused"), F.transform(rivals, lambda x: F.struct(x["label"].alias("label"), x["label_start"].alias("label_start"), x["value"].alias("value"))).alias("competing"), F.array_compact(notes).alias("notes"),
+        F.length(t["printed"]).alias("printed_size"), F.col("wrapped"),
     )
+    return rows.select(*kept, number.alias("number"))
 
 
 def _reason(refused: Column) -> Column:

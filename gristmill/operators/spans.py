@@ -19,6 +19,11 @@ def matches(df: DataFrame, key: list[str], text: str, pattern: str) -> DataFrame
     return rows.select(*key, "pos", F.col("m.token").alias("token"), *[F.col(f"m.{c}").cast("long").alias(c) for c in ("start", "end")])
 
 
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with columns that are derived once a row, however often later steps read them (a projection may be put into each of its uses)."""
+    return df.select(*[c for c in df.columns if c not in columns], F.inline(F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))))
+
+
 def merged(spans: DataFrame, key: list[str], limit: str | None = None) -> DataFrame:
     """Spans clamped to [0, limit], empty ones dropped, touching ones merged."""
     end = F.least("end", limit) if limit else F.col("end")
