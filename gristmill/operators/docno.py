@@ -190,27 +190,26 @@ def _choice(x: Column, gstins: Column, shapes: Column) -> Column:
     return S.let(S.let(_beside(x, gstins, shapes), sides), choose)
 
 
-def doc_no(docs: DataFrame, gstins: str | None = None) -> DataFrame:
+def doc_no(docs: DataFrame) -> DataFrame:
     """One row a document: the number of its first label that yields one, within the row.
 
     outcome: taken, refused (with the first label that has a refusal), no_value or no_label.
     notes: column (chosen by layout), no_digit, cut (longer than LONGEST), competing
     (a later label, as specific, names another number), wrapped (a label broken over lines).
-    ``gstins`` is a column of GSTIN shapes, where it is at hand.
     """
-    return read(docs.select("doc", "text", *([gstins] if gstins else [])), gstins).select("doc", "number.*")
+    return read(docs.select("doc", "text")).select("doc", "number.*")
 
 
-def read(docs: DataFrame, gstins: str | None = None) -> DataFrame:
-    """docs with ``number``: what ``doc_no`` has of each."""
+def read(docs: DataFrame, gstins: str | None = None, shapes: str | None = None) -> DataFrame:
+    """docs with ``number``: what ``doc_no`` has of each. The columns hold GSTIN and date shapes, where they are at hand."""
     text = F.coalesce("text", F.lit(""))
     kept = docs.columns
     rows = once(docs, _faced=_faced(text))
     labels = F.transform("_faced", lambda x: F.struct(x["label_start"].alias("start"), (x["label_start"] + F.length(x["label"])).alias("end")))
     none = F.array().cast(S._NONE)
-    shapes, others = [F.when(F.size("_faced") > 0, x).otherwise(none) for x in (S.found(text, dates.SHAPE), S.found(text, rules.GSTIN))]
-    rows = once(rows, _shapes=shapes, _gstins=F.col(gstins) if gstins else others, wrapped=F.transform(rules.wrapped(text, labels), lambda x: F.struct(x["start"].cast("long").alias("start"), x["token"].alias("token"))))
-    rows = once(rows, all=F.when(F.size("_faced") > 0, F.transform("_faced", lambda x: _choice(x, F.col("_gstins"), F.col("_shapes")))))
+    at_hand = lambda c, pattern: F.when(F.size("_faced") > 0, F.col(c) if c else S.found(text, pattern))
+    rows = once(rows, _dates=F.coalesce(at_hand(shapes, dates.SHAPE), none), _gstins=F.transform(at_hand(gstins, rules.GSTIN), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))), wrapped=F.transform(rules.wrapped(text, labels), lambda x: F.struct(x["start"].cast("long").alias("start"), x["token"].alias("token"))))
+    rows = once(rows, all=F.when(F.size("_faced") > 0, F.transform("_faced", lambda x: _choice(x, F.col("_gstins"), F.col("_dates")))))
     t = F.get(F.filter("all", lambda x: x["value"].isNotNull()), 0)
     no = F.get(F.filter("all", lambda x: x["beside_refused"]["token"].isNotNull() | x["below_refused"]["token"].isNotNull()), 0)
     rows = once(rows, t=t, no=no)

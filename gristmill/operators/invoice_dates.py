@@ -14,12 +14,12 @@ from pyspark.sql import functions as F
 from ..functions import dates
 from ..functions import spans as S
 from ..functions.text import UNICODE, said, squeeze, warning
+from . import rules
 
 CHECK = "extract_rules"
 FIELD = "DocDtls.Dt"
 
-# Labels by tier, windows, item rows, month names, messages.
-TIERS = [r"(?i)\binvoice[ \t]+(?:date|dt)\b", r"(?i)\bdated\b", r"(?i)\b(?:date|dt)\b"]
+# Windows, item rows, month names, messages.
 WINDOW = 40
 CONTEXT = 30
 DOC_NO_LABEL = r"(?i)\btax[ \t]+invoice[ \t]+no\b|\binvoice[ \t]+number\b|\binvoice[ \t]+no\b|\binvoice[ \t]*#|\bbill[ \t]+number\b|\bbill[ \t]+no\b|\binv[ \t]+no\b"
@@ -66,8 +66,8 @@ AMBIGUOUS = (
 )
 
 
-def candidates(text: Column, claims: Column) -> Column:
-    """array<struct<token, start, end, value, first, second, year, named>> of the dates of a text; ``claims`` has the spans taken before."""
+def candidates(text: Column, claims: Column, shapes: Column | None = None) -> Column:
+    """array<struct<token, start, end, value, first, second, year, named>> of the dates of a text; ``claims`` has the spans taken before, ``shapes`` all shapes, where they are at hand."""
 
     def stands(x: Column) -> Column:
         named = x["token"].rlike("(?i)[a-z]")
@@ -80,7 +80,7 @@ def candidates(text: Column, claims: Column) -> Column:
         first, second, year, named = dates.parts(x["token"])
         return F.struct(x["token"].alias("token"), x["start"].alias("start"), x["end"].alias("end"), dates.normalise(x["token"]).alias("value"), first.alias("first"), second.alias("second"), year.alias("year"), named.alias("named"))
 
-    return F.transform(F.filter(S.apart(S.found(text, dates.SHAPE), claims), stands), read)
+    return F.transform(F.filter(S.apart(S.found(text, dates.SHAPE) if shapes is None else shapes, claims), stands), read)
 
 
 def as_printed(text: Column, label: Column) -> Column:
@@ -94,8 +94,16 @@ def as_printed(text: Column, label: Column) -> Column:
 
 def labels(text: Column) -> Column:
     """array<struct<tier, token, start, end>> of the date labels, by tier, then place."""
-    tier = lambda k, p: F.transform(S.found(text, p), lambda x: F.struct(F.lit(k).alias("tier"), x["token"].alias("token"), x["start"].alias("start"), x["end"].alias("end")))
-    return F.concat(*[tier(k, p) for k, p in enumerate(TIERS)])
+    row = lambda k, token, x: F.struct(F.lit(k).alias("tier"), token.alias("token"), (x["end"] - F.length(token)).alias("start"), x["end"].alias("end"))
+
+    def by_tier(found: Column) -> Column:
+        # one pass for all tiers: the last word of the first tier's label is one of the last tier as well
+        long = F.filter(found, lambda x: F.length(x["token"]) > 5)
+        dated = F.filter(found, lambda x: F.length(x["token"]) == 5)
+        short = F.filter(found, lambda x: F.length(x["token"]) != 5)
+        return F.concat(F.transform(long, lambda x: row(0, x["token"], x)), F.transform(dated, lambda x: row(1, x["token"], x)), F.transform(short, lambda x: row(2, F.regexp_extract(x["token"], r"[A-Za-z]+\z", 0), x)))
+
+    return S.let(S.found(text, rules.DATE_LABEL), by_tier)
 
 
 def named_by(found: Column, labels_: Column) -> Column:
@@ -112,16 +120,16 @@ def named_by(found: Column, labels_: Column) -> Column:
     return F.filter(F.transform(labels_, reach), names)
 
 
-def doc_date(docs: DataFrame, claims: str | None = None) -> DataFrame:
+def doc_date(docs: DataFrame, claims: str | None = None, shapes: str | None = None) -> DataFrame:
     """docs (text and any other columns) with ``date``: struct(printed, value, start, end, tier, consumed) or null, and ``date_warnings``.
 
-    ``claims`` is a column of spans that hold no date. The date with the best label
+    ``claims`` is a column of spans that hold no date, ``shapes`` one of date shapes where they are at hand. The date with the best label
     (tier, then place) counts, else the first. ``consumed`` is false where the date
     opens a line that reads as an item row.
     """
     text = F.coalesce("text", F.lit(""))
     taken = F.col(claims) if claims else F.array().cast("array<struct<start:int,end:int>>")
-    rows = docs.withColumn("_dates", candidates(text, taken)).withColumn("_labels", labels(text)).withColumn("_named", named_by(F.col("_dates"), F.col("_labels")))
+    rows = docs.withColumn("_dates", candidates(text, taken, F.col(shapes) if shapes else None)).withColumn("_labels", labels(text)).withColumn("_named", named_by(F.col("_dates"), F.col("_labels")))
     best = F.array_min(F.transform("_named", lambda r: F.struct(r["tier"].alias("tier"), r["at"].alias("at"))))
     rows = rows.withColumn("_best", best).withColumn("_d", F.get(F.filter("_dates", lambda d: F.coalesce(d["start"] == F.col("_best")["at"], F.lit(True))), 0))
     d, tier = F.col("_d"), F.col("_best")["tier"]

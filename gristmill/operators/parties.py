@@ -44,7 +44,8 @@ def labels(text: Column) -> Column:
     def of(party: str, words: list[str]) -> Column:
         plain = [w.replace(" ", r"[ \t]+") for w in words if w not in BARE]
         bare = [w for w in words if w in BARE]
-        pattern = rf"(?i)\b(?:{'|'.join(plain)})\b|(?<=[\n\r:|]|^)[ \t]*\b(?:{'|'.join(bare)})\b"
+        begins = "".join(sorted({w[0] for w in words}))
+        pattern = rf"(?i)(?=[ \t{begins}])(?:\b(?:{'|'.join(plain)})\b|(?<![^\n\r:|])[ \t]*\b(?:{'|'.join(bare)})\b)"
         return F.transform(S.found(text, pattern), lambda x: F.struct(F.lit(party).alias("party"), (x["start"] + F.length(F.regexp_extract(x["token"], r"^[ \t]*", 0))).alias("start"), x["end"].alias("end")))
 
     return F.concat(of("seller", SELLER), of("buyer", BUYER))
